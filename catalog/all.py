@@ -1,3 +1,3 @@
 """Imports every catalog module so that its queries register."""
 
-from catalog import detection  # noqa: F401
+from catalog import detection, digital, signals  # noqa: F401

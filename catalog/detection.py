@@ -9,16 +9,16 @@ from catalog.views import BLOCK, EV, KEYS, OTHERS, TRUTH, events, lengths, other
 from tracewell.operators import matching, peaks, quantiles, sweep
 from tracewell.session import cut_lineage
 
-REACH, TOLERANCE, HEIGHT = 30, 15, 9000
+REACH, TOLERANCE, HEIGHT = 10, 2, 9000
 
 NMS = """win as (
   select recording_id, sample, v as score,
-    max(v) over (partition by recording_id order by sample range between 30 preceding and 1 preceding) as l,
-    max(v) over (partition by recording_id order by sample range between 1 following and 30 following) as r
+    max(v) over (partition by recording_id order by sample range between 10 preceding and 1 preceding) as l,
+    max(v) over (partition by recording_id order by sample range between 1 following and 10 following) as r
   from ev),
 pk as (select recording_id, sample, score from win
        where score > coalesce(l, -1) and score > coalesce(r, -1))"""
-NEAR_T = "exists (select 1 from truth x where x.recording_id = p.recording_id and abs(x.t - p.sample) <= 15)"
+NEAR_T = "exists (select 1 from truth x where x.recording_id = p.recording_id and abs(x.t - p.sample) <= 2)"
 FP = f"fp as (select p.* from pk p where not {NEAR_T})"
 GRID = """ends as (
   select recording_id, quantile_cont(cast(score as double), 0.5) as lo,
@@ -29,7 +29,7 @@ grid as (select recording_id, cast(i as int) as idx, lo + (hi - lo) * i / 59 as
 SWEEP = f"""pkf as (select p.*, not {NEAR_T} as is_fp from pk p),
 hit as (select g.recording_id, g.idx, count(*) as hits from grid g
         join (select t.recording_id, t.t, max(p.score) as best from truth t join pk p
-              on p.recording_id = t.recording_id and abs(p.sample - t.t) <= 15 group by 1, 2) b
+              on p.recording_id = t.recording_id and abs(p.sample - t.t) <= 2 group by 1, 2) b
         on b.recording_id = g.recording_id and b.best > g.threshold group by 1, 2),
 det as (select g.recording_id, g.idx, count(*) as n_detections,
                count(*) filter (where p.is_fp) as total_fp
@@ -70,9 +70,8 @@ RATES = ("threshold", "recall", "precision", "f1", "fp_rate_hz")
 
 
 def curve(spark, sf):
-    candidates = cut_lineage(found(spark, sf))
     return with_seconds(
-        sweep.sweep(candidates, truth(spark, sf), KEYS, TOLERANCE, block=BLOCK), spark, sf
+        sweep.sweep(found(spark, sf), truth(spark, sf), KEYS, TOLERANCE, block=BLOCK), spark, sf
     )
 
 
@@ -88,7 +87,7 @@ def nms_window(spark, sf):
     "nms_window_live",
     f"""with {EV}, {NMS}, last as (select recording_id, max(sample) as newest from ev group by 1)
     select recording_id, sample, score from pk join last using (recording_id)
-    where score > {HEIGHT} and sample + 30 <= newest""",
+    where score > {HEIGHT} and sample + 10 <= newest""",
 )
 def nms_window_live(spark, sf):
     return peaks.window_peaks(
@@ -133,7 +132,7 @@ def run_peaks(spark, sf):
 @query(
     "match_hits",
     f"""with {EV}, {TRUTH}, {NMS} select recording_id, t as spike_time from truth t where exists
-    (select 1 from pk p where p.recording_id = t.recording_id and abs(p.sample - t.t) <= 15)""",
+    (select 1 from pk p where p.recording_id = t.recording_id and abs(p.sample - t.t) <= 2)""",
 )
 def match_hits(spark, sf):
     return matching.match_within(truth(spark, sf), found(spark, sf), KEYS, "spike_time", "sample", TOLERANCE)
@@ -148,7 +147,7 @@ def match_false_positives(spark, sf):
     "fp_attribution",
     f"""with {EV}, {TRUTH}, {OTHERS}, {NMS}, {FP}
     select fp.recording_id, unit_id, count(distinct sample) as fp from fp join others o
-    on o.recording_id = fp.recording_id and abs(o.t - fp.sample) <= 15 group by 1, 2""",
+    on o.recording_id = fp.recording_id and abs(o.t - fp.sample) <= 2 group by 1, 2""",
 )
 def fp_attribution(spark, sf):
     named = matching.attribute(
@@ -217,16 +216,15 @@ def threshold_sweep(spark, sf):
     "sweep_attribution",
     f"""with {EV}, {TRUTH}, {OTHERS}, {NMS}, {GRID}, {FP},
     near as (select distinct fp.recording_id, fp.sample, fp.score, o.unit_id from fp join others o
-             on o.recording_id = fp.recording_id and abs(o.t - fp.sample) <= 15)
+             on o.recording_id = fp.recording_id and abs(o.t - fp.sample) <= 2)
     select g.recording_id, g.idx, u.unit_id, count(n.sample) as fp from grid g
     join (select distinct recording_id, unit_id from others) u on u.recording_id = g.recording_id
     left join near n on n.recording_id = g.recording_id and n.unit_id = u.unit_id and n.score > g.threshold
     group by 1, 2, 3""",
 )
 def sweep_attribution(spark, sf):
-    candidates = cut_lineage(found(spark, sf))
     with_map = sweep.sweep(
-        candidates, truth(spark, sf), KEYS, TOLERANCE, interferers=others(spark, sf), block=BLOCK
+        found(spark, sf), truth(spark, sf), KEYS, TOLERANCE, interferers=others(spark, sf), block=BLOCK
     )
     return with_map.select("recording_id", "idx", F.explode("fp_by_interferer").alias("unit_id", "fp"))
 
@@ -280,10 +278,10 @@ def mad_threshold(spark, sf):
             from hi group by recording_id, grp),
     k as (select distinct method, recording_id from det),
     h as (select k.method, k.recording_id, count(*) as n_truth, count(*) filter (where exists (select 1 from det d
-            where d.method = k.method and d.recording_id = k.recording_id and abs(d.sample - t.t) <= 15)) as hits
+            where d.method = k.method and d.recording_id = k.recording_id and abs(d.sample - t.t) <= 2)) as hits
           from k join truth t using (recording_id) group by 1, 2),
     f as (select d.method, d.recording_id, count(*) as n_detections, count(*) filter (where not exists (select 1 from truth t
-            where t.recording_id = d.recording_id and abs(d.sample - t.t) <= 15)) as total_fp from det d group by 1, 2)
+            where t.recording_id = d.recording_id and abs(d.sample - t.t) <= 2)) as total_fp from det d group by 1, 2)
     select method, recording_id, n_truth, hits, n_truth - hits as misses, n_detections, total_fp,
       round(hits / greatest(n_truth, 1)::double, 6) as recall,
       round(hits / greatest(hits + total_fp, 1)::double, 6) as precision

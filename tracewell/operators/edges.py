@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.blocks import BLOCK, Running, block_of, ordinal, runs, scan
+from tracewell.session import cut_lineage
 
 
 def rising_edges(
@@ -25,6 +26,7 @@ def rising_edges(
     bits = stream.select(*keys, sample, bit.cast("int").alias("_bit"))
     seen = scan(bits, keys, sample, {"_before": Running("last", F.col("_bit"), False)}, block)
     edges = seen.where((F.col("_before") == 0) & (F.col("_bit") != 0)).select(*keys, sample)
+    edges = cut_lineage(edges)
     return ordinal(edges, keys, sample, "edge_seq", block)
 
 
@@ -38,7 +40,7 @@ def last_edge(
 ) -> DataFrame:
     """As-of join: the last edge at or before each event (null when there is none yet).
 
-    With a rate `fs`, `time_rel_s` is the time since that edge in seconds.
+    `edges` has the shape `rising_edges` returns; `sample` names the events' position. With a rate `fs`, `time_rel_s` is the time since that edge in seconds.
     """
     carried = [c for c in events.columns if c not in keys]
     left = events.select(
@@ -48,7 +50,7 @@ def last_edge(
         F.lit(None).cast("bigint").alias("_seq"),
     )
     right = edges.select(
-        *keys, F.col(sample).cast("bigint").alias("_at"), F.col("edge_seq").alias("_seq")
+        *keys, F.col("sample").cast("bigint").alias("_at"), F.col("edge_seq").alias("_seq")
     )
     both = left.unionByName(right, allowMissingColumns=True)
     both = both.withColumn("_late", F.col("_seq").isNull())
@@ -92,6 +94,7 @@ def code_onsets(
         .where(F.col("run_length") >= debounce)
         .select(*keys, F.col("run_start").alias(sample), "code")
     )
+    stable = cut_lineage(stable)
     seen = scan(stable, keys, sample, {"_last": Running("last", F.col("code"), False)}, block)
     return seen.where(
         (F.col("code") != F.coalesce("_last", F.lit(0))) & (F.col("code") != 0)
@@ -173,7 +176,7 @@ def map_samples(
     by the ratio of the rates.
     """
     stamped = last_edge(events, source_edges, keys, sample, None, block)
-    target = target_edges.select(*keys, "edge_seq", F.col(sample).alias("_target_edge"))
+    target = target_edges.select(*keys, "edge_seq", F.col("sample").alias("_target_edge"))
     offset = (F.col(sample) - F.col("edge_sample")) * F.lit(fs_target) / F.lit(fs_source)
     return (
         stamped.join(target, [*keys, "edge_seq"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.blocks import BLOCK, Running, scan
+from tracewell.session import cut_lineage
 
 
 def _covered_until(
@@ -67,6 +68,7 @@ def merge_intervals(
     starts = _covered_until(intervals, keys, lo, hi, block).where(
         F.col("covered").isNull() | (F.col("lo") > F.col("covered"))
     )
+    starts = cut_lineage(starts.select(*keys, "lo", "covered"))
     last = (
         intervals.select(*keys, hi.cast("bigint").alias("hi"), lo.cast("bigint").alias("lo"))
         .where("hi > lo")
@@ -74,7 +76,7 @@ def merge_intervals(
         .agg(F.max("hi").alias("_last"))
     )
     ahead = scan(
-        starts.select(*keys, "lo", "covered"),
+        starts,
         keys,
         "lo",
         {"_end": Running("last", F.col("covered"), False)},

@@ -40,7 +40,7 @@ def local_maxima(
     )
     v = F.col(score)
     sharp = seen.where((v > F.col("_prev")) & (v > F.col("_next"))).select(*keys, sample, score)
-    flat = seen.where((v == F.col("_prev")) | (v == F.col("_next")))
+    flat = cut_lineage(seen.where((v == F.col("_prev")) | (v == F.col("_next"))))
     # Rows of one flat top share the position of the row that starts it.
     tops = runs(flat, keys, sample, score, block)
     rising = flat.where(v > F.col("_prev")).select(*keys, F.col(sample).alias("run_start"))

@@ -234,7 +234,8 @@ def score(
     """Score chunks of every filter: sum over taps and channels around each sample.
 
     `edge="zero"` pads recording ends with zeros and scores every sample; `"valid"` keeps
-    only samples whose whole window exists. Cleaning runs in the same task.
+    only samples whose whole window exists; `"open"` also leaves out the last of those, as
+    the sliding learned score does. Cleaning runs in the same task.
     """
     step = cleaning or Cleaning(highpass=None, reference=False)
     before, after = step.reach()
@@ -246,13 +247,13 @@ def score(
             left = spec["left_margin"]
             d = correlate(x[:, columns], taps, left)
             lo, hi = block.lead, block.lead + block.n
-            if edge == "valid":
+            if edge != "zero":
                 lo = max(lo, left)
-                hi = min(hi, len(x) - (len(taps) - 1 - left))
+                hi = min(hi, len(x) - (len(taps) - 1 - left) - (edge == "open"))
             if hi > lo:
                 yield (block.recording_id, spec["target_id"], block.chunk_id, block.start + lo - block.lead, d[lo:hi])
 
-    reach = template_length - 1
+    reach = template_length
     haloed = attach_halo(chunks, length, before + reach, after + reach)
     return map_blocks(with_filters(haloed, filters), run, SCORE_SCHEMA)
 

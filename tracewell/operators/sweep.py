@@ -11,6 +11,7 @@ from tracewell.blocks import BLOCK
 from tracewell.functions.metrics import with_metrics
 from tracewell.operators.matching import NEAR, attribute, best_nearby, mark_near
 from tracewell.operators.quantiles import exact_quantiles
+from tracewell.session import cut_lineage
 
 GRID_STEPS = 60
 
@@ -62,6 +63,7 @@ def sweep(
     false positives.
     """
     keys = list(keys)
+    peaks = cut_lineage(peaks.select(*keys, sample, score))
     if grid is None:
         grid = threshold_grid(peaks, keys, score, method=method)
     packed = grid.groupBy(*keys).agg(

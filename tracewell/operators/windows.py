@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.blocks import BLOCK, Running, block_of, ordinal, scan
+from tracewell.session import cut_lineage
 
 
 def interval_join(
@@ -54,7 +55,7 @@ def window_counts(
     anchor at every step, however many windows and events overlap.
     """
     at = events.select(*keys, F.col(event).cast("bigint").alias("_at"))
-    numbered = ordinal(at, keys, "_at", "_n", block)
+    numbered = cut_lineage(ordinal(at, keys, "_at", "_n", block))
     carried = [c for c in anchors.columns if c not in keys]
     row = F.struct(*carried).alias("_row")
     base = F.col(anchor).cast("bigint")
