@@ -1,3 +1,3 @@
 """Imports every catalog module so that its queries register."""
 
-from catalog import detection, digital, files, signals  # noqa: F401
+from catalog import detection, digital, files, fitting, learning, signals, streams  # noqa: F401

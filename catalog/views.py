@@ -29,7 +29,7 @@ MULTI = f"""{EV}, m as (
 TRUTH = "truth as (select recording_id, sample as t from ev where event_type = 'purchase')"
 OTHERS = "others as (select recording_id, sample as t, user_id % 3 as unit_id from ev where event_type = 'click')"
 UNITS = f"""spk as (
-  select distinct recording_id, sample // {CHANNELS} as t, user_id % 10 as unit_id
+  select distinct recording_id, sample // {CHANNELS} as t, user_id % 50 as unit_id
   from ev where event_type in ('click', 'purchase'))"""
 
 
@@ -87,14 +87,14 @@ def others(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
-    """Spikes of ten units on the eight-channel signal's sample axis."""
+    """Spikes of fifty units on the eight-channel signal's sample axis."""
     return (
         events(spark, sf)
         .where(F.col("event_type").isin("click", "purchase"))
         .select(
             "recording_id",
             F.floor(F.col("sample") / CHANNELS).alias("spike_time"),
-            (F.col("user_id") % 10).alias("unit_id"),
+            (F.col("user_id") % 50).alias("unit_id"),
         )
         .distinct()
     )

@@ -90,14 +90,14 @@ def cut_chunks(chunks: DataFrame, splits: DataFrame, side: str) -> DataFrame:
         n = F.least(end, F.col("split")) - F.col("start_sample")
         cut = joined.where(F.col("start_sample") < F.col("split")).select(
             "recording_id", "chunk_id", "start_sample", n.cast("int").alias("n_samples"), "channels",
-            F.slice("values", F.lit(1), (n * width).cast("int")).alias("values"),
+            F.slice("values", F.lit(1), F.greatest(n * width, F.lit(0)).cast("int")).alias("values"),
         )
         return cut
     skip = F.greatest(F.col("split") - F.col("start_sample"), F.lit(0))
     return joined.where(end > F.col("split")).select(
         "recording_id", "chunk_id", (F.col("start_sample") + skip).alias("start_sample"),
         (F.col("n_samples") - skip).cast("int").alias("n_samples"), "channels",
-        F.slice("values", (skip * width + 1).cast("int"), ((F.col("n_samples") - skip) * width).cast("int")).alias("values"),
+        F.slice("values", (skip * width + 1).cast("int"), F.greatest((F.col("n_samples") - skip) * width, F.lit(0)).cast("int")).alias("values"),
     )
 
 
