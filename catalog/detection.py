@@ -97,14 +97,12 @@ def nms_window_live(spark, sf):
 
 @query(
     "local_maxima",
-    f"""with {EV}, s as (select recording_id, sample, v as score, lag(v) over w as prev,
+    f"""with {EV}, s as (select recording_id, sample, v as score,
         row_number() over (partition by recording_id order by sample)
-        - row_number() over (partition by recording_id, v order by sample) as grp from ev
-        window w as (partition by recording_id order by sample)),
+        - row_number() over (partition by recording_id, v order by sample) as grp from ev),
     runs as (select recording_id, score, grp, min(sample) as a, max(sample) as b from s group by 1, 2, 3),
-    n as (select r.recording_id, r.score, a, b, p.v as before, q.v as after from runs r
-          join ev p on p.recording_id = r.recording_id and p.sample = a - 1
-          join ev q on q.recording_id = r.recording_id and q.sample = b + 1)
+    n as (select *, lag(score) over w as before, lead(score) over w as after from runs
+          window w as (partition by recording_id order by a))
     select recording_id, (a + b) // 2 as sample, score from n where score > before and score > after""",
 )
 def local_maxima(spark, sf):

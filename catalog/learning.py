@@ -11,7 +11,7 @@ from catalog.views import CHANNELS, CHUNK, EV, KEYS, MULTI, UNITS, lengths, read
 from tracewell.operators import learned, signal, sweep, templates as tp
 from tracewell.sources.filters import left_margin
 
-N_OUT = 40
+N_OUT = 10
 SNIP = f"""{VALID}, sn as (select v.recording_id, v.unit_id, v.t as spike_time,
   list(m.value::double order by m.channel, m.sample) as vals from vs v join m on m.recording_id = v.recording_id
   and m.sample between v.t - {OFF} and v.t - {OFF} + {T - 1} group by 1, 2, 3),

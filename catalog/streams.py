@@ -99,11 +99,10 @@ def decision_rows(spark, sf):
     end = events(spark, sf).groupBy("recording_id").agg((F.max("sample") + 1000).alias("sample")).select(
         "recording_id", F.lit("clock").alias("kind"), "sample", F.lit(0).alias("code")
     )
-    rows = anchors.unionByName(hits).unionByName(end)
-    return rows.withColumn("event_ts", st.event_time(F.col("sample"), FS))
+    return anchors.unionByName(hits).unionByName(end)
 
 
-ROWS = "recording_id string, kind string, sample bigint, code int, event_ts timestamp"
+ROWS = "recording_id string, kind string, sample bigint, code int"
 
 
 def decision_stream(spark, sf):

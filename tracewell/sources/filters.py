@@ -1,4 +1,4 @@
-"""Filter tables: parquet partitioned by target, legacy three-file import, threshold update."""
+"""Filter tables: parquet partitioned by target bucket, legacy three-file import, threshold update."""
 
 from __future__ import annotations
 
@@ -6,42 +6,54 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.session import cut_lineage
 
 
+# Targets share this many partitions, so a table of millions of filters stays in few files.
+BUCKETS = 16
+
+
+def _bucketed(filters: DataFrame) -> DataFrame:
+    bucketed = filters.withColumn("target_bucket", F.pmod(F.col("target_id"), F.lit(BUCKETS)).cast("int"))
+    return bucketed.repartition("target_bucket")
+
+
 def write_filters(filters: DataFrame, path: str) -> None:
-    filters.write.mode("overwrite").partitionBy("target_id").parquet(path)
+    _bucketed(filters).write.mode("overwrite").partitionBy("target_bucket").parquet(path)
 
 
 def read_filters(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("target_id", F.col("target_id").cast("bigint"))
+    return spark.read.parquet(path).drop("target_bucket")
 
 
 def update_thresholds(spark: SparkSession, path: str, thresholds: DataFrame) -> None:
     """Replaces the threshold of the given (recording_id, target_id); taps stay as they are.
 
-    Only the partitions of those targets are rewritten.
+    Only the partitions that hold those targets are rewritten.
     """
     new = thresholds.select("recording_id", "target_id", F.col("threshold").alias("_new"))
-    touched = read_filters(spark, path).join(new.select("target_id").distinct(), "target_id", "left_semi")
+    buckets = new.select(F.pmod(F.col("target_id"), F.lit(BUCKETS)).cast("int").alias("target_bucket")).distinct()
+    touched = spark.read.parquet(path).join(F.broadcast(buckets), "target_bucket", "left_semi").drop("target_bucket")
     updated = touched.join(new, ["recording_id", "target_id"], "left")
     columns = [c for c in touched.columns if c != "threshold"]
     fresh = cut_lineage(updated.select(*columns, F.coalesce("_new", "threshold").alias("threshold")))
     (
-        fresh.write.mode("overwrite")
+        _bucketed(fresh)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("target_id")
+        .partitionBy("target_bucket")
         .parquet(path)
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _doubles(content: pd.Series) -> pd.Series:
     return content.map(lambda b: np.frombuffer(b, dtype="<f8").tolist())
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _ints(content: pd.Series) -> pd.Series:
     return content.map(lambda b: np.frombuffer(b, dtype="<i4").tolist())
 

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.functions.kernels import correlate, highpass_coefficients, recursive_filter, median_reference, window_peak_mask
 from tracewell.operators.signal import PEAK_SCHEMA, Cleaning, column_index, with_filters
-from tracewell.streaming.chunks import use_rocksdb
+from tracewell.streaming.chunks import ORIGIN_MS, event_time, use_rocksdb
 
 
 def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -195,7 +195,7 @@ class WindowDecider(StatefulProcessor):
 
     def due(self, anchor: int) -> int:
         """First millisecond at which no event of the window can be missing."""
-        return int((anchor + self.end) * 1000 / self.fs) + 1
+        return ORIGIN_MS + int((anchor + self.end) * 1000 / self.fs) + 1
 
     def load(self):
         if not self.state.exists():
@@ -204,7 +204,7 @@ class WindowDecider(StatefulProcessor):
         return dict(zip(anchors, codes)), list(events)
 
     def save(self, anchors: dict, events: list, watermark: int) -> None:
-        passed = watermark * self.fs / 1000 + self.start - 1
+        passed = (watermark - ORIGIN_MS) * self.fs / 1000 + self.start - 1
         oldest = min([*[a + self.start for a in anchors], passed])
         kept = [e for e in events if e >= oldest]
         if anchors or kept:
@@ -264,10 +264,12 @@ def decide_stream(
     """Decisions from one stream of anchors and events.
 
     `rows`: recording_id, kind ("anchor", "event", anything else only moves time), sample,
-    code, event_ts. Rows later than the allowed lateness are dropped by the watermark.
+    code. Rows later than the allowed lateness are dropped by the watermark.
     """
     use_rocksdb(rows.sparkSession)
-    timed = rows.select("recording_id", "kind", "sample", F.col("code").cast("int").alias("code"), "event_ts")
+    timed = rows.select("recording_id", "kind", "sample", F.col("code").cast("int").alias("code"),
+        event_time(F.col("sample"), fs).alias("event_ts"),
+    )
     return timed.withWatermark("event_ts", lateness).groupBy("recording_id").transformWithStateInPandas(
         statefulProcessor=WindowDecider(start, end, k, fs),
         outputStructType=DECISIONS, outputMode="Append", timeMode="EventTime",
