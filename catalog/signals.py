@@ -64,12 +64,13 @@ FIR = f"""{taps_sql(SINGLE)}, d as (
 
 
 def packed(spark, sf):
-    return ch.pack(signal(spark, sf), CHUNK)
+    """The chunk table: ingested once per query, then read as stored."""
+    return cut_lineage(ch.pack(signal(spark, sf), CHUNK))
 
 
 def packed_single(spark, sf):
     one = series(spark, sf).select("recording_id", "sample", F.lit(0).alias("channel"), F.col("score").alias("value"))
-    return ch.pack(one, 4 * CHUNK)
+    return cut_lineage(ch.pack(one, 4 * CHUNK))
 
 
 def bank(spark, sf, taps, channels, left, threshold=0.0):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import cut_lineage, join_dimension
+
 ACCURACY = 20_000
 SLACK = 10 / ACCURACY
 
@@ -52,7 +54,10 @@ def exact_quantiles(
         ]
     )
     asked = stats.select(*keys, F.explode(wanted).alias("_q"))
-    joined = values.join(asked, list(keys)) if keys else values.crossJoin(F.broadcast(asked))
+    if keys:
+        joined = join_dimension(values, asked, list(keys), spread=F.xxhash64("_v"))
+    else:  # one row per probability
+        joined = values.crossJoin(F.broadcast(cut_lineage(asked)))
     banded = (
         joined.where(F.col("_v") <= F.col("_q.high"))
         .withColumn("_band", F.when(F.col("_q.low").isNull() | (F.col("_v") >= F.col("_q.low")), F.col("_v")))

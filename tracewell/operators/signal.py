@@ -31,7 +31,7 @@ from tracewell.functions.kernels import (
 )
 from tracewell.operators.matching import mark_near
 from tracewell.session import join_dimension
-from tracewell.sources.chunks import attach_halo, unpack_scores
+from tracewell.sources.chunks import attach_halo, decode_int16, unpack_scores
 
 CHUNK_SCHEMA = (
     "recording_id string, chunk_id bigint, start_sample bigint, n_samples int, "
@@ -65,13 +65,17 @@ class Block:
 
 def blocks_of(batch: pa.RecordBatch) -> Iterator[Block]:
     names = batch.schema.names
-    extra = [c for c in names if c not in ("values", "channels")]
-    values, channels = batch.column("values"), batch.column("channels")
+    packed = "data" in names
+    extra = [c for c in names if c not in ("values", "data", "channels")]
+    values, channels = batch.column("data" if packed else "values"), batch.column("channels")
     rows = {c: batch.column(c).to_pylist() for c in extra}
     for i in range(batch.num_rows):
         row = {c: rows[c][i] for c in extra}
         ids = channels[i].values.to_numpy(zero_copy_only=False)
-        x = values[i].values.to_numpy(zero_copy_only=False).reshape(-1, len(ids))
+        if packed:
+            x = decode_int16(values[i].as_buffer(), len(ids)).astype(float)
+        else:
+            x = values[i].values.to_numpy(zero_copy_only=False).reshape(-1, len(ids))
         yield Block(
             row["recording_id"], row["chunk_id"], row["start_sample"], row["n_samples"],
             ids, x, row.get("lead") or 0, row.get("trail") or 0, row,

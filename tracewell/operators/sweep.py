@@ -11,7 +11,7 @@ from tracewell.blocks import BLOCK
 from tracewell.functions.metrics import with_metrics
 from tracewell.operators.matching import NEAR, attribute, best_nearby, mark_near
 from tracewell.operators.quantiles import exact_quantiles
-from tracewell.session import cut_lineage
+from tracewell.session import cut_lineage, join_dimension
 
 GRID_STEPS = 60
 
@@ -71,21 +71,24 @@ def sweep(
             F.array_sort(F.collect_list(F.struct("idx", "threshold"))), lambda s: s["threshold"]
         ).alias("_grid")
     )
+    packed = cut_lineage(packed)
     best = best_nearby(truth.select(*keys, truth_time), peaks, keys, truth_time, sample, score, tolerance, "_best", block)
     hit_levels = (
-        best.join(packed, keys)
+        join_dimension(best, packed, keys, spread=truth_time, stage=False)
         .groupBy(*keys, F.coalesce(_passed(F.col("_best")), F.lit(0)).alias("_level"))
         .agg(F.count(F.lit(1)).alias("_truth"))
     )
     marked = mark_near(peaks.select(*keys, sample, score), truth, keys, sample, truth_time, tolerance, tolerance)
-    levelled = marked.join(packed, keys).withColumn("_level", _passed(F.col(score)))
+    levelled = join_dimension(marked, packed, keys, spread=sample, stage=False).withColumn("_level", _passed(F.col(score)))
     peak_levels = levelled.groupBy(*keys, "_level").agg(
         F.count(F.lit(1)).alias("_detections"),
         F.count_if(~F.col(NEAR)).alias("_fp"),
     )
     # Level L means thresholds 0 .. L-1 are exceeded: threshold i counts all levels > i.
     levels = hit_levels.unionByName(peak_levels, allowMissingColumns=True)
-    steps = grid.select(*keys, (F.col("idx") + 1).alias("_level"), "idx", "threshold")
+    steps = packed.select(*keys, F.posexplode("_grid").alias("idx", "threshold")).withColumn(
+        "_level", F.col("idx") + 1
+    )
     down = Window.partitionBy(*keys).orderBy(F.col("_level").desc())
 
     def upto(name: str) -> Column:
@@ -217,10 +220,11 @@ def robust_threshold(
     masked = mark_near(scores, spikes, list(spike_keys or keys), sample, spike_time, before, after, "_busy")
     free = masked.groupBy(*keys).agg(F.count_if(~F.col("_busy")).alias("_free"))
     # Only keys that have no free sample at all fall back to everything.
-    used = masked.join(free, keys).where(~F.col("_busy") | (F.col("_free") == 0))
-    middle = exact_quantiles(used, keys, F.col(score), {"median": 0.5})
+    used = join_dimension(masked, free, keys, spread=sample).where(~F.col("_busy") | (F.col("_free") == 0))
+    middle = cut_lineage(exact_quantiles(used, keys, F.col(score), {"median": 0.5}))
+    centred = join_dimension(used, middle, keys, spread=sample, stage=False)
     spread = exact_quantiles(
-        used.join(middle, keys), keys, F.abs(F.col(score) - F.col("median")), {"mad": 0.5}
+        centred, keys, F.abs(F.col(score) - F.col("median")), {"mad": 0.5}
     )
     scale = F.lit(1.4826)  # fixed value: MAD -> Gaussian standard deviation
     return middle.join(spread, keys).withColumn(

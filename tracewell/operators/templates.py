@@ -110,10 +110,16 @@ def with_spikes(chunks: DataFrame, spikes: DataFrame, length: int) -> DataFrame:
 
 
 def snippets(
-    chunks: DataFrame, length: int, spikes: DataFrame, template_length: int, offset: int
+    chunks: DataFrame,
+    length: int,
+    spikes: DataFrame,
+    template_length: int,
+    offset: int,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """One row per valid spike: its window, flattened channel by channel."""
-    valid = valid_spikes(spikes, lengths_of(chunks), template_length, offset)
+    lengths = lengths_of(chunks) if lengths is None else lengths
+    valid = valid_spikes(spikes, lengths, template_length, offset)
     ready = with_spikes(attach_halo(chunks, length, offset, template_length), valid, length)
 
     def cut(block):
@@ -134,13 +140,15 @@ def mean_waveforms(
     offset: int,
     max_spikes: int | None = 2000,
     order: Column | None = None,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Spike-triggered average per unit: (recording_id, unit_id, k, channel, value, n_used).
 
     Windows are summed inside the task that holds the chunk; only one partial sum per unit
     and task is shuffled, never the windows.
     """
-    used = valid_spikes(spikes, lengths_of(chunks), template_length, offset)
+    lengths = lengths_of(chunks) if lengths is None else lengths
+    used = valid_spikes(spikes, lengths, template_length, offset)
     if max_spikes is not None:
         by = hash_order(0, "spike_time") if order is None else order
         used = cap_per_group(used, ["recording_id", "unit_id"], max_spikes, by)

@@ -53,8 +53,9 @@ def fit(
         targets.select("recording_id", F.col("target_id").alias("unit_id"))
     ).distinct()
     used = spikes.join(wanted, ["recording_id", "unit_id"], "left_semi")
+    lengths = cut_lineage(templates.lengths_of(chunks))
     waveforms = cut_lineage(
-        templates.mean_waveforms(chunks, length, used, T, off, settings.max_spikes, order)
+        templates.mean_waveforms(chunks, length, used, T, off, settings.max_spikes, order, lengths)
     )
     selected = cut_lineage(
         templates.select_channels(
@@ -65,7 +66,7 @@ def fit(
         targets.select(*KEYS, F.col("target_id").alias("unit_id"))
     )
     times = local.join(spikes, ["recording_id", "unit_id"]).select(*KEYS, "spike_time").distinct()
-    spans = targets.join(templates.lengths_of(chunks), "recording_id")
+    spans = targets.join(lengths, "recording_id")
     quiet = solve.quiet_segments(times, spans, T, off, settings.max_noise_samples)
     chans = selected.groupBy(*KEYS).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "channel"))), lambda s: s["channel"]).alias("channels")

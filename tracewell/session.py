@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,6 +25,8 @@ def build_session(app: str = "tracewell", cores: int | str = "*", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # Call-site capture costs a round trip per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     )
     for key, value in conf.items():
@@ -70,19 +72,24 @@ def join_dimension(
     on: list[str],
     how: str = "inner",
     max_rows: int = 20_000,
-    spread: str | None = None,
+    spread: str | Column | None = None,
     salts: int = 64,
+    stage: bool = True,
 ) -> DataFrame:
-    """Join a dimension table; broadcast only when a bounded count proves it small.
+    """Join a dimension table; broadcast only when its counted size proves it small.
 
-    Beyond `max_rows` the dimension is replicated over `salts` values and the big side
-    is salted by `spread` (any well distributed integer column), so one hot key is
-    still handled by many tasks.
+    The dimension is computed once into a stage (skip with `stage=False` when it already
+    is one), so counting it costs a look at file footers. Beyond `max_rows` it is copied
+    per salt and the big side is salted by `spread` (anything well distributed), so one
+    hot key is still handled by many tasks.
     """
+    if stage:
+        small = cut_lineage(small)
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     if spread is None or how not in ("inner", "left", "left_semi"):
         return big.join(small, on, how)
-    salted = big.withColumn("_salt", F.pmod(F.col(spread), F.lit(salts)).cast("int"))
+    by = spread if isinstance(spread, Column) else F.col(spread)
+    salted = big.withColumn("_salt", F.pmod(by, F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
