@@ -86,6 +86,7 @@ def raw_detection(spark) -> float:
         "recording_id string, target_id bigint, channels array<int>, taps array<double>, left_margin int, threshold double",
     )
     cleaning = signal.Cleaning(float(FS), 300.0, "causal", True)
+    run(scan.limit(1))  # start the workers of the scan
     start = time.perf_counter()
     run(signal.detect(scan, CHUNK, filters, TAPS, cleaning, haloed=True))
     return time.perf_counter() - start
