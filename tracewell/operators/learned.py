@@ -17,7 +17,7 @@ from tracewell.blocks import ordinal
 from tracewell.functions.hashing import integer_between, normal, uniform
 from tracewell.operators.intervals import free_segments
 from tracewell.operators.templates import cap_per_group, hash_order
-from tracewell.session import cut_lineage
+from tracewell.session import cut_lineage, join_dimension
 
 UNIT = ["recording_id", "unit_id"]
 NOISE_UNIT = -1
@@ -137,8 +137,12 @@ def weighted(examples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     counts = examples.groupBy(*keys).agg(
         F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") != 1).alias("_neg")
     )
-    joined = examples.join(F.broadcast(counts), list(keys)) if keys else examples.crossJoin(F.broadcast(counts))
-    ratio = F.col("_neg") / F.greatest(F.col("_pos"), F.lit(1))
+    if keys:
+        joined = join_dimension(examples, counts, list(keys), spread=F.xxhash64("values"))
+        ratio = F.col("_neg") / F.greatest(F.col("_pos"), F.lit(1))
+    else:
+        joined, total = examples, counts.first()
+        ratio = F.lit(total["_neg"] / max(total["_pos"], 1))
     return joined.withColumn("weight", F.when(F.col("label") == 1, ratio).otherwise(F.lit(1.0))).drop("_pos", "_neg")
 
 

@@ -169,14 +169,13 @@ def data_fractions(
 
     The fraction becomes part of the recording id, so all fractions run in one job.
     """
-    shares = chunks.sparkSession.createDataFrame([(float(f),) for f in fractions], "train_fraction double")
+    shares = F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
     tag = F.concat_ws("@", "recording_id", F.col("train_fraction").cast("string"))
 
     def repeat(df: DataFrame) -> DataFrame:
-        tagged = df.crossJoin(F.broadcast(shares)).withColumn("recording_id", tag)
-        return tagged.drop("train_fraction")
+        return df.withColumn("train_fraction", shares).withColumn("recording_id", tag).drop("train_fraction")
 
-    lengths = templates.lengths_of(chunks).crossJoin(F.broadcast(shares)).withColumn("recording_id", tag)
+    lengths = templates.lengths_of(chunks).withColumn("train_fraction", shares).withColumn("recording_id", tag)
     splits = cut_lineage(templates.split_at(lengths, F.col("train_fraction")))
     many = repeat(chunks)
     all_spikes, all_targets, all_rivals = repeat(spikes), repeat(targets), repeat(interferers)
