@@ -237,6 +237,25 @@ def fit_filters(spark, sf):
     return result.select("recording_id", "target_id", "channels", F.transform("taps", lambda w: F.round(w, 9)).alias("taps"))
 
 
+@query(
+    "fit_problems",
+    f"""with {MULTI}, {UNITS}, {ACTIVE}, {VALID}, {QUIET},
+    t as (select recording_id, target_id from tg union all select distinct recording_id, cast(-7 as bigint) from tg)
+    select recording_id, target_id, case when target_id = -7 then 'no spikes'
+      when not exists (select 1 from vs where vs.recording_id = t.recording_id and vs.unit_id = target_id) then 'no usable spikes'
+      else 'no spike-free segment' end as reason
+    from t where not exists (select 1 from seg where seg.recording_id = t.recording_id and seg.target_id = t.target_id)""",
+)
+def fit_problems(spark, sf):
+    """Targets that got no filter; one unit that never fires is asked for on purpose."""
+    known = cut_lineage(targets(spark, sf))
+    silent = known.select("recording_id").distinct().withColumn("target_id", F.lit(-7).cast("bigint"))
+    asked = cut_lineage(known.unionByName(silent))
+    spikes = units(spark, sf)
+    result = plans.fit(packed(spark, sf), CHUNK, spikes, asked, cut_lineage(rivals(spark, sf)), SETTINGS, order())
+    return plans.problems(result, asked, spikes)
+
+
 @query("calibration")
 def calibration(spark, sf):
     """Fit on the first half, sweep the second, one operating point per target."""

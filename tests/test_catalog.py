@@ -9,6 +9,8 @@ from catalog.registry import QUERIES, SQL
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
+# The smallest tables leave no stretch without spikes, so fits without SQL run one size up.
+SF_ROWS = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 
@@ -23,9 +25,9 @@ def test_every_statement_belongs_to_a_query():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
-    result = QUERIES[name](spark, SF)
     if name in SQL:
+        result = QUERIES[name](spark, SF)
         same, message = compare(result, tables, SQL[name])
         assert same, message
     else:
-        assert result.count() > 0
+        assert QUERIES[name](spark, SF_ROWS).count() > 0

@@ -66,6 +66,17 @@ def test_fit_equals_the_sequential_one(spark, made):
     assert np.isclose(gains[0], 1) and abs(gains[1]) < 1e-9 and abs(gains[2]) < 1e-9
 
 
+def test_targets_that_cannot_be_fitted_are_named(spark, made):
+    x, times, chunks, spikes, targets, rivals = made
+    asked = targets.unionByName(spark.createDataFrame([("r", 9), ("r", 8)], "recording_id string, target_id bigint"))
+    edge_only = spikes.unionByName(spark.createDataFrame([("r", 0, 8)], "recording_id string, spike_time bigint, unit_id bigint"))
+    result = plans.fit(chunks, L, edge_only, asked, rivals, SETTINGS)
+    got = {r.target_id: r.reason for r in plans.problems(result, asked, edge_only).collect()}
+    assert got == {8: "no usable spikes", 9: "no spikes"}
+    with pytest.raises(ValueError, match="no usable spikes"):
+        plans.require_filters(result, asked, edge_only)
+
+
 def test_chunk_length_does_not_change_the_fit(spark, made):
     x, _, chunks, spikes, targets, rivals = made
     a = plans.fit(chunks, L, spikes, targets, rivals, SETTINGS).filters.first()

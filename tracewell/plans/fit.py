@@ -79,6 +79,29 @@ def fit(
     return Fit(filters, waveforms, selected, products)
 
 
+def problems(fitted: Fit, targets: DataFrame, spikes: DataFrame) -> DataFrame:
+    """Targets without a filter and why: no spikes, no usable spikes, no quiet segment."""
+    own = spikes.select("recording_id", F.col("unit_id").alias("target_id")).distinct()
+    seen = own.withColumn("_spikes", F.lit(True))
+    usable = fitted.selected.select(*KEYS).distinct().withColumn("_usable", F.lit(True))
+    left = targets.join(fitted.filters, KEYS, "left_anti").select(*KEYS)
+    reason = (
+        F.when(F.col("_spikes").isNull(), "no spikes")
+        .when(F.col("_usable").isNull(), "no usable spikes")
+        .otherwise("no spike-free segment")
+    )
+    return left.join(seen, KEYS, "left").join(usable, KEYS, "left").select(*KEYS, reason.alias("reason"))
+
+
+def require_filters(fitted: Fit, targets: DataFrame, spikes: DataFrame) -> Fit:
+    """The fit itself, or an error naming some of the targets that could not be fitted."""
+    failed = problems(fitted, targets, spikes).limit(20).collect()
+    if failed:
+        named = ", ".join(f"{r.recording_id}/{r.target_id}: {r.reason}" for r in failed)
+        raise ValueError(f"targets without a filter: {named}")
+    return fitted
+
+
 def cut_chunks(chunks: DataFrame, splits: DataFrame, side: str) -> DataFrame:
     """The chunk rows before ("train") or from ("test") each recording's split sample.
 
