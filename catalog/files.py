@@ -20,6 +20,11 @@ from tracewell.sources.files import resolve
 from tracewell.sources.raw import register
 
 
+def make_folder(folder):
+    system, inner = resolve(folder)
+    system.create_dir(inner, recursive=True)
+
+
 def write_raw(chunks, folder):
     """Chunk rows as raw int16 parts `<recording>/part-<start>.bin`, written by the tasks."""
 
@@ -291,7 +296,7 @@ def substream_counts(spark, sf):
 )
 def spike_table_npy(spark, sf):
     folder = scratch_path(spark, "spikes")
-    resolve(folder)[0].create_dir(folder, recursive=True)
+    make_folder(folder)
     ev = read(spark, sf, "events").select("event_id", "user_id").orderBy("event_id")
     write_npy(ev.select((F.col("event_id") * 7 - 500).alias("t")), f"{folder}/spike_times.npy")
     write_npy(ev.select((F.col("user_id") % 10).cast("int").alias("u")), f"{folder}/spike_clusters.npy")
@@ -361,7 +366,7 @@ def filter_bank(spark, sf):
 def filter_import(spark, sf):
     """The three binary files per target, decoded and validated."""
     folder = scratch_path(spark, "legacy")
-    resolve(folder)[0].create_dir(folder, recursive=True)
+    make_folder(folder)
 
     def write(batches):
         system, inner = resolve(folder)
