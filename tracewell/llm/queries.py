@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tracewell.llm import hostrules, simhash, toolcalls
+from tracewell.llm import hostrules, repeats, simhash, toolcalls
 from tracewell.llm.text import documents
 
 SIMHASH_COLUMNS = ["doc_id", "fingerprint", "component_id"]
@@ -86,3 +86,9 @@ def op8_host_quality_rules(spark, sf_dir):
 def op9_tool_call_linking(spark, sf_dir):
     """Every message, call and result as canonical JSON; the table's tools have no schemas."""
     return toolcalls.link_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(spark, sf_dir):
+    """Bytes of repeated 400-byte windows removed from every document."""
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("mark")
