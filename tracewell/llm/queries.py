@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
 from catalog.registry import query
-from tracewell.llm import hostrules, repeats, simhash, toolcalls
+from tracewell.llm import hostrules, repeats, simhash, tokenfile, toolcalls
 from tracewell.llm.text import documents
 
 SIMHASH_COLUMNS = ["doc_id", "fingerprint", "component_id"]
@@ -92,3 +92,10 @@ def op9_tool_call_linking(spark, sf_dir):
 def op10_suffix_array_dedup(spark, sf_dir):
     """Bytes of repeated 400-byte windows removed from every document."""
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("mark")
+
+
+@query("op4_token_files")
+def op4_token_files(spark, sf_dir):
+    """Ids of all documents in token files, and what reading these back gives."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return tokenfile.token_files(documents(spark, sf_dir), vocabulary, end_id=2)

@@ -6,7 +6,10 @@ worked on in pieces of a few megabytes, so memory is bounded by the piece or by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +137,12 @@ def documents(spark, sf_dir: str) -> DataFrame:
 def remainder(column: str, divisor: int):
     """crc32 of a column as text, modulo the divisor; null for null."""
     return F.crc32(F.col(column).cast("string")) % divisor
+
+
+def remembered(key: tuple, make: Callable[[], Any]) -> Any:
+    """One object per Python worker, kept across its tasks (functions arrive anew with each)."""
+    name = "tracewell_worker_objects"
+    store = sys.modules.setdefault(name, ModuleType(name)).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
