@@ -5,11 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tracewell.llm import hostrules, repeats, simhash, tokenfile, toolcalls
+from tracewell.llm import decontaminate, hostrules, licenses, repeats, simhash, tokenfile, toolcalls
 from tracewell.llm.text import documents
 
-SIMHASH_COLUMNS = ["doc_id", "fingerprint", "component_id"]
-
 
 @query("op6_simhash_near_dedup")
 def op6_simhash_near_dedup(spark, sf_dir):
@@ -99,3 +97,15 @@ def op4_token_files(spark, sf_dir):
     """Ids of all documents in token files, and what reading these back gives."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return tokenfile.token_files(documents(spark, sf_dir), vocabulary, end_id=2)
+
+
+@query("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark, sf_dir):
+    """Every document and benchmark item that it holds, with score and place."""
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op7_license_scans")
+def op7_license_scans(spark, sf_dir):
+    """Places and labels of license phrases in every document."""
+    return licenses.scan(documents(spark, sf_dir)).drop("spans")
