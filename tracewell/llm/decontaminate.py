@@ -13,7 +13,8 @@ The score is the alignment's (a match counts 1, a mismatch or a gap costs one ha
 the words of the item's passage. Long items are cut into overlapping passages, so an alignment
 is bounded; documents are worked on in bounded pieces of neighbouring rows.
 
-Defined results: null and empty texts hold no leak; an item with fewer words than an n-gram
+Words are compared in lower case, of any script. Defined results: null and empty texts hold
+no leak; an item with fewer words than an n-gram
 matches nothing; repeated items and repeated documents each give their own rows; an empty
 table on either side gives an empty result. Other columns are not read.
 """
@@ -22,10 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import ALNUM, LOWER, Rolling, mixed, pieces, utf8, words
+from tracewell.llm.text import ALNUM, Rolling, mixed, pieces, utf8, words
 
 GRAM = 3
 #: neighbouring n-grams of which the rarest becomes a seed
@@ -40,7 +42,6 @@ SCHEMA = "doc_id long, item_id long, score double, n_words int, first_word int,
 
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all rows, first word of each row and the total)."""
-    data = LOWER[data]
     starts, ends, first = words(data, offs, ALNUM)
     if not len(starts):
         return np.zeros(0, np.uint64), first
@@ -69,7 +70,7 @@ class Passages:
 
     def __init__(self, ids: list[int], texts: list[str | None], size: int):
         self.size = size
-        data, offs = utf8(pa.array(texts, pa.string()))
+        data, offs = utf8(pc.utf8_lower(pa.array(texts, pa.string())))
         hashes, first = word_hashes(data, offs)
         self.item: list[int] = []
         self.words: list[np.ndarray] = []
@@ -152,7 +153,7 @@ def gram_counts(docs: DataFrame, block, size: int) -> dict[int, int]:
         known = block.value
         total = np.zeros(len(known.grams), np.int64)
         for batch in batches:
-            for _, _, data, offs in pieces(batch.column(1)):
+            for _, _, data, offs in pieces(pc.utf8_lower(batch.column(1))):
                 hashes, first = word_hashes(data, offs)
                 grams = gram_hashes(hashes, size)
                 place, at = hits(grams, known.grams, known.filter)
@@ -198,7 +199,7 @@ def find_leaks(docs: DataFrame, block, size: int, min_score: float) -> DataFrame
         known = block.value
         for batch in batches:
             rows: list[tuple] = []
-            for row, _, data, offs in pieces(batch.column(1)):
+            for row, _, data, offs in pieces(pc.utf8_lower(batch.column(1))):
                 hashes, first = word_hashes(data, offs)
                 grams = gram_hashes(hashes, size)
                 place, at = hits(grams, known.seeds, known.filter)

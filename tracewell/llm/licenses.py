@@ -40,8 +40,6 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms with or without modification": "bsd",
     "mozilla public license": "mpl",
-    "licensed under cc by nc": "cc-by-nc",
-    "licensed under cc by sa": "cc-by-sa",
     "creative commons attribution": "cc-by",
     "this work is licensed under": "licensed",
     "all rights reserved": "reserved",

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tracewell.llm import decontaminate, hostrules, licenses, repeats, simhash, tokenfile, toolcalls
-from tracewell.llm.text import documents
+from tracewell.llm import decontaminate, hostrules, licenses, repeats, simhash, tokenfile, toolcalls, toxicity
+from tracewell.llm.text import documents, remainder
 
 
 @query("op6_simhash_near_dedup")
@@ -89,7 +89,7 @@ def op9_tool_call_linking(spark, sf_dir):
 @query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark, sf_dir):
     """Bytes of repeated 400-byte windows removed from every document."""
-    return repeats.remove_repeats(documents(spark, sf_dir)).drop("mark")
+    return repeats.remove_repeats(documents(spark, sf_dir))
 
 
 @query("op4_token_files")
@@ -109,3 +109,11 @@ def op2_benchmark_decontamination(spark, sf_dir):
 def op7_license_scans(spark, sf_dir):
     """Places and labels of license phrases in every document."""
     return licenses.scan(documents(spark, sf_dir)).drop("spans")
+
+
+@query("op5_toxicity_neighbours")
+def op5_toxicity_neighbours(spark, sf_dir):
+    """Toxicity of every document, learned from the labels whose id's remainder by 5 is not 0."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_toxicity(documents(spark, sf_dir), labels, learn=remainder("doc_id", 5) != 0)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
