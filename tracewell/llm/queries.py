@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 
 from catalog.registry import query
-from tracewell.llm import decontaminate, hostrules, licenses, repeats, simhash, tokenfile, toolcalls, toxicity
+from tracewell.llm import (
+    decontaminate,
+    hostrules,
+    licenses,
+    quality,
+    repeats,
+    simhash,
+    tokenfile,
+    toolcalls,
+    toxicity,
+)
 from tracewell.llm.text import documents, remainder
 
 
@@ -117,3 +127,11 @@ def op5_toxicity_neighbours(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_toxicity(documents(spark, sf_dir), labels, learn=remainder("doc_id", 5) != 0)
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, sf_dir):
+    """Quality of every document, learned from the labels whose id's remainder by 3 is not 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score_quality(documents(spark, sf_dir), labels, learn=remainder("doc_id", 3) != 1)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
