@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from catalog.registry import query
 from tracewell.llm import (
@@ -12,6 +13,7 @@ from tracewell.llm import (
     quality,
     repeats,
     simhash,
+    subwords,
     tokenfile,
     toolcalls,
     toxicity,
@@ -135,3 +137,12 @@ def op1_quality_classifier(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.score_quality(documents(spark, sf_dir), labels, learn=remainder("doc_id", 3) != 1)
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, sf_dir):
+    """Ids of every document (long ones in chunks), and the checksum of what they decode to."""
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = subwords.decode(subwords.encode(documents(spark, sf_dir), vocabulary), vocabulary)
+    crc = F.crc32("text").alias("decoded_crc32")
+    return decoded.select("doc_id", "chunk", "n_chunks", "n_tokens", "ids", "text_crc32", crc)

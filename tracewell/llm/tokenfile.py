@@ -28,15 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import LOWER, gather, pieces, remembered, strings
+from tracewell.llm.memory import IdMemory
+from tracewell.llm.text import LOWER, pieces, remembered, strings
 from tracewell.session import cut_lineage, scratch_path
 from tracewell.sources.files import resolve
 
 BLOCK = 4096
 PERCENTILE = 0.98
 MAGIC = b"PFORBLK1"
-#: words remembered per worker; beyond it the memory starts anew
-REMEMBERED = 1_500_000
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
@@ -176,26 +175,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, int] = {}
-        self.reset()
+        self.memory = IdMemory(self.encode)
 
-    def reset(self) -> None:
-        self.known.clear()
-        self.count, self.first = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def learn(self, words: list[bytes]) -> None:
+    def encode(self, words: list[bytes]) -> list[list[int]]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        for w, found in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids, k = found.ids, len(self.known)
-            if k == len(self.count):
-                self.count, self.first = np.resize(self.count, 2 * k), np.resize(self.first, 2 * k)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat) + len(ids))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[k], self.count[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[w] = k
+        return [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, first id of each row and the total)."""
@@ -209,16 +193,7 @@ class Encoder:
         cut[offs] = True
         bounds = np.flatnonzero(cut)
         first_word = np.searchsorted(bounds, offs)
-        coded = strings(data, bounds).dictionary_encode()
-        different = coded.dictionary.to_pylist()
-        if len(self.known) + len(different) > REMEMBERED:
-            self.reset()
-        self.learn([w for w in different if w not in self.known])
-        place = np.fromiter((self.known[w] for w in different), np.int64, len(different))
-        word = place[coded.indices.to_numpy(zero_copy_only=False)]
-        counts = self.count[word]
-        ids = gather(self.flat, self.first[word], counts)
-        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids, ends = self.memory(strings(data, bounds))
         return ids, ends[first_word]
 
 
