@@ -44,7 +44,7 @@ def corpus(seed, alphabet):
 def test_like_the_definition(spark, seed, alphabet, window, digit):
     texts = corpus(seed, alphabet)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
-    rows = remove_repeats(docs, window=window, digit=digit, with_kept=True).collect()
+    rows = remove_repeats(docs, window=window, digit=digit).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
     assert got == dict(enumerate(direct(texts, window)))
 

@@ -9,9 +9,11 @@ whether a group has more than one member. The digits of a window, most significa
    be repeated.
 2. its stretch: all bytes of the windows that share the key. Equal stretches are runs of
    repeated windows, however many copies there are; one of each is kept to compare others with.
-3. for keys with different stretches only: a longer part of the stretch on either side of the
-   key. Each window holds the one or the other wholly, so halves that are alone end here.
-4. the whole window. Groups of two and more are exactly the repeated windows.
+3. for keys with different stretches only: blocks of neighbouring windows. Windows of a block
+   share its core; a core that is alone ends its windows, a block that is repeated whole
+   decides them.
+4. the whole window, where blocks differ. Groups of two and more are exactly the repeated
+   windows.
 
 Equal strings have equal digits in every pass, so no repeated window is lost; digits of 64-bit
 hashes are compared together, at least 128 bits in all for any window that is removed.
@@ -30,7 +32,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.text import PIECE_BYTES, Rolling, utf8
@@ -142,77 +144,90 @@ def with_text(docs: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
     return left.join(right, same, how)
 
 
-def digests(docs: DataFrame, ranges: DataFrame, kind: str, window: int, digit: int) -> DataFrame:
-    """Hashes of the third digit (`halves`) or of whole windows (`windows`) of given stretches.
+def refined(rows: DataFrame, group: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose kind occurs again in their group, one row of each kind of undecided groups).
 
-    `ranges`: doc_id, mark, key, lo, hi, at. The stretches of a document are gathered in its
-    row; there are never more of them than the document has keys.
+    Rows alone in their group end here. A group is undecided if it has several kinds, one of
+    them alone. Only counts and one row per kind are gathered, never a group.
+    """
+    alive = cut_lineage(rows.join(several(rows, group), group, "left_semi"))
+    kinds = cut_lineage(
+        alive.groupBy(*group, kind).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "lo", "hi", "at")).alias("one")
+        )
+    )
+    equal = alive.join(kinds.where("n > 1").select(*group, kind), [*group, kind], "left_semi")
+    mixed = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+    undecided = mixed.where("kinds > 1 and least = 1").select(*group)
+    return equal.select(*ROW, "lo", "hi"), kinds.join(undecided, group, "left_semi").select("key", "one.*")
+
+
+def digests(docs: DataFrame, ranges: DataFrame, step: int, window: int) -> DataFrame:
+    """The next digit of given stretches: of blocks of `step` neighbouring windows.
+
+    Blocks are cut by the windows' distance from the key, so equal windows are in equal blocks.
+    `core` is a hash of the bytes that all windows of a block share, `whole` of all their bytes.
+    `ranges`: doc_id, mark, key, lo, hi, at. The stretches of a document are gathered in its row;
+    there are never more of them than the document has keys.
     """
     listed = ranges.groupBy(*ROW).agg(F.collect_list(F.struct("key", "lo", "hi", "at")).alias("found"))
-    schema = "key long, side int, hash long, doc_id long, mark int, lo int, hi int, at int"
-    # how far a window reaches from the key on its longer side, at the least
-    reach = (window - digit + 1) // 2
+    schema = "key long, block int, core long, whole long, doc_id long, mark int, lo int, hi int, at int"
 
     def hashed(batch):
-        whole = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_64_intdigest
         for row, ranges_of in enumerate(batch.column(3)):
             raw = batch.column(2)[row].as_py().encode()
             for r in ranges_of.as_py():
                 key, lo, hi, at = r["key"], r["lo"], r["hi"], r["at"]
-                if kind == "windows":
-                    for p in range(lo, hi + 1):
-                        yield row, key, 2, whole(raw[p : p + window]), p, p, at
-                    continue
-                border = at - reach  # windows up to here hold all of the left half
-                if lo <= border:
-                    yield row, key, 0, whole(raw[border : at + digit]), lo, min(hi, border), at
-                if hi > border:
-                    half = whole(raw[at : border + 1 + window])
-                    yield row, key, 1, half, max(lo, border + 1), hi, at
+                for block in range((at - hi) // step, (at - lo) // step + 1):
+                    last = at - block * step
+                    low, high = max(lo, last - step + 1), min(hi, last)
+                    core = digest(raw[last : last - step + 1 + window])
+                    # the seed keeps blocks apart that are cut short on different sides
+                    whole = digest(raw[low : high + window], (last - high) * step + high - low)
+                    yield row, key, block, core, whole, low, high, at
 
     def run(batches):
         for batch in batches:
             rows = hashed(batch)
             while out := list(islice(rows, 100_000)):
-                of, key, side, digest, lo, hi, at = zip(*out)
+                of, key, block, core, whole, lo, hi, at = zip(*out)
                 yield pa.record_batch(
                     [
                         pa.array(key, pa.int64()),
-                        pa.array(side, pa.int32()),
-                        pa.array(np.array(digest, np.uint64).view(np.int64)),
+                        pa.array(block, pa.int32()),
+                        *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (core, whole)),
                         batch.column(0).take(pa.array(of)),
                         batch.column(1).take(pa.array(of)),
                         *(pa.array(x, pa.int32()) for x in (lo, hi, at)),
                     ],
-                    ["key", "side", "hash", "doc_id", "mark", "lo", "hi", "at"],
+                    ["key", "block", "core", "whole", "doc_id", "mark", "lo", "hi", "at"],
                 )
 
     joined = with_text(docs, listed, "inner").select("l.doc_id", "l.mark", "l.text", "r.found")
     return joined.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, window: int, digit: int) -> DataFrame:
-    """doc_id, mark, lo, hi (bytes from lo before hi) of all repeated windows, runs together."""
+#: windows of a block of the third digit
+STEP = 16
+
+
+def repeated_spans(docs: DataFrame, window: int, digit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, lo, hi of all repeated windows, runs together; the texts they are in).
+
+    Texts are shuffled whole once, to keep those that share any key; later passes move these.
+    """
     firsts = cut_lineage(first_digits(docs, window, digit))
-    alive = cut_lineage(firsts.join(several(firsts, ["key"]), "key", "left_semi"))
-    kinds = cut_lineage(
-        alive.groupBy("key", "stretch").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "lo", "hi", "at")).alias("one")
-        )
-    )
-    equal = alive.join(kinds.where("n > 1").select("key", "stretch"), ["key", "stretch"], "left_semi")
-    # keys with different stretches, one of which at least is alone
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    open_keys = mixed.where("kinds > 1 and least = 1").select("key")
-    ranges = kinds.join(open_keys, "key", "left_semi").select("key", "one.*")
-    halves = cut_lineage(digests(docs, ranges, "halves", window, digit))
-    side = ["key", "side", "hash"]
-    ranges = halves.join(several(halves, side), side, "left_semi").select("key", *ROW, "lo", "hi", "at")
-    windows = cut_lineage(digests(docs, ranges, "windows", window, digit))
-    twice = windows.join(several(windows, ["key", "hash"]), ["key", "hash"], "left_semi")
-    return equal.select(*ROW, "lo", "hi").union(twice.select(*ROW, "lo", "hi")).withColumn(
-        "hi", F.col("hi") + window
-    )
+    shared = cut_lineage(firsts.join(several(firsts, ["key"]), "key", "left_semi"))
+    touched = shared.select(*ROW).distinct()
+    near = cut_lineage(with_text(docs, touched, "left_semi"))
+    equal, ranges = refined(shared, ["key"], "stretch")
+    blocks = cut_lineage(digests(near, ranges, STEP, window))
+    also, ranges = refined(blocks, ["key", "block", "core"], "whole")
+    windows = cut_lineage(digests(near, ranges, 1, window))
+    same = ["key", "block", "core"]
+    twice = windows.join(several(windows, same), same, "left_semi").select(*ROW, "lo", "hi")
+    return equal.union(also).union(twice).withColumn("hi", F.col("hi") + window), near
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -225,54 +240,77 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    window: int = WINDOW,
-    digit: int = DIGIT,
-    with_kept: bool = False,
-) -> DataFrame:
-    """doc_id, mark, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept text.
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark and text; the mark tells rows with one id and different texts apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), mark_of(text_col).alias("mark"), text.alias("text")
+    )
+
+
+def mark_of(text_col: str) -> Column:
+    return F.hash(F.coalesce(F.col(text_col), F.lit("")))
 
-    Bytes are removed as they are counted; where that would halve a character, the kept text
-    leaves the rest of it out.
+
+def cleaned(docs: DataFrame, window: int = WINDOW, digit: int = DIGIT) -> DataFrame:
+    """doc_id, mark, n_removed, n_spans, kept_sha256, kept of the documents that lose bytes.
+
+    `docs` is marked(). Bytes are removed as they are counted; where that would halve a
+    character, the kept text leaves the rest of it out.
     """
-    chosen = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    spans = repeated_spans(chosen, window, digit).groupBy(*ROW).agg(
-        F.collect_set(F.struct("lo", "hi")).alias("spans")
-    )
-    joined = with_text(chosen, spans, "left").select("l.doc_id", "l.mark", "l.text", "r.spans")
-    schema = "doc_id long, mark int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    spans, near = repeated_spans(docs, window, digit)
+    spans = spans.groupBy(*ROW).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    joined = with_text(near, spans, "inner").select("l.doc_id", "l.mark", "l.text", "r.spans")
+    schema = "doc_id long, mark int, n_removed long, n_spans long, kept_sha256 string, kept string"
 
     def run(batches):
         for batch in batches:
-            size, removed, count, sha, kept = [], [], [], [], []
+            removed, count, sha, kept = [], [], [], []
             for text, found in zip(batch.column(2), batch.column(3)):
                 raw = text.as_py().encode()
-                gone = merged(found.as_py() or [])
+                gone = merged(found.as_py())
                 rest, at = [], 0
                 for lo, hi in gone:
                     rest.append(raw[at:lo])
                     at = hi
                 left = b"".join([*rest, raw[at:]])
-                size.append(len(raw))
                 removed.append(len(raw) - len(left))
                 count.append(len(gone))
                 sha.append(hashlib.sha256(left).hexdigest())
-                if with_kept:
-                    kept.append(left.decode("utf-8", "ignore"))
-            columns = [
-                batch.column(0), batch.column(1),
-                *(pa.array(x, pa.int64()) for x in (size, removed, count)), pa.array(sha, pa.string()),
-            ]
-            names = ["doc_id", "mark", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_kept:
-                columns, names = [*columns, pa.array(kept, pa.string())], [*names, "kept"]
-            yield pa.record_batch(columns, names)
-
-    return joined.mapInArrow(run, schema + (", kept string" if with_kept else ""))
+                kept.append(left.decode("utf-8", "ignore"))
+            yield pa.record_batch(
+                [
+                    batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()),
+                    pa.array(sha, pa.string()), pa.array(kept, pa.string()),
+                ],
+                ["doc_id", "mark", "n_removed", "n_spans", "kept_sha256", "kept"],
+            )
+
+    # rows that are repeated whole have equal results
+    return joined.mapInArrow(run, schema).dropDuplicates(ROW)
+
+
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    digit: int = DIGIT,
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    chosen = marked(docs, id_col, text_col)
+    changed = cleaned(chosen, window, digit).drop("kept")
+    facts = chosen.select(
+        "doc_id", "mark",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2("text", 256).alias("whole_sha256"),
+    )
+    joined = with_text(facts, changed, "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        "l.doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
+    )
