@@ -194,26 +194,29 @@ def leaks_of_row(hashes: np.ndarray, found: list[tuple[int, int, int]], known: P
     return out
 
 
+def leaks_in(known: Passages, column: pa.Array, size: int, min_score: float):
+    """(row, item, share, words, first, last word) of every leak in a text column."""
+    for row, _, data, offs in pieces(pc.utf8_lower(column)):
+        hashes, first = word_hashes(data, offs)
+        grams = gram_hashes(hashes, size)
+        place, at = hits(grams, known.seeds, known.filter)
+        whole = whole_grams(first, len(grams), size)[place]
+        place, at = place[whole], at[whole]
+        of = np.searchsorted(first, place, side="right") - 1
+        by_row: dict[int, list[tuple[int, int, int]]] = {}
+        for r, w, seed in zip(of.tolist(), place.tolist(), at.tolist()):
+            for p, offset in known.places[seed]:
+                by_row.setdefault(r, []).append((p, offset, w - int(first[r])))
+        for r, found in by_row.items():
+            mine = hashes[first[r] : first[r + 1]]
+            for item, leak in leaks_of_row(mine, found, known, min_score).items():
+                yield row + r, item, *leak
+
+
 def find_leaks(docs: DataFrame, block, size: int, min_score: float) -> DataFrame:
     def run(batches):
-        known = block.value
         for batch in batches:
-            rows: list[tuple] = []
-            for row, _, data, offs in pieces(pc.utf8_lower(batch.column(1))):
-                hashes, first = word_hashes(data, offs)
-                grams = gram_hashes(hashes, size)
-                place, at = hits(grams, known.seeds, known.filter)
-                whole = whole_grams(first, len(grams), size)[place]
-                place, at = place[whole], at[whole]
-                of = np.searchsorted(first, place, side="right") - 1
-                by_row: dict[int, list[tuple[int, int, int]]] = {}
-                for r, w, seed in zip(of.tolist(), place.tolist(), at.tolist()):
-                    for p, offset in known.places[seed]:
-                        by_row.setdefault(r, []).append((p, offset, w - int(first[r])))
-                for r, found in by_row.items():
-                    mine = hashes[first[r] : first[r + 1]]
-                    for item, leak in leaks_of_row(mine, found, known, min_score).items():
-                        rows.append((row + r, item, *leak))
+            rows = list(leaks_in(block.value, batch.column(1), size, min_score))
             if rows:
                 of, item, score, n, lo, hi = zip(*rows)
                 yield pa.record_batch(
@@ -227,6 +230,32 @@ def find_leaks(docs: DataFrame, block, size: int, min_score: float) -> DataFrame
     return docs.mapInArrow(run, SCHEMA)
 
 
+def drop_leaks(docs: DataFrame, block, text_col: str, size: int, min_score: float) -> DataFrame:
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[leak[0] for leak in leaks_in(block.value, batch.column(place), size, min_score)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def seeded_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, size: int, stretch: int, block_bytes: int):
+    """The benchmark in blocks with their seeds, each sent to the executors; docs: id, text."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("body"))
+    total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()
+        known = Passages([r.item for r in rows], [r.body for r in rows], size)
+        if len(known.grams):
+            known.choose(gram_counts(docs, spark.sparkContext.broadcast(known), size), stretch)
+            yield spark.sparkContext.broadcast(known)
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -243,19 +272,27 @@ def contamination(
 
     A passage that leaked with a run of stretch + size - 1 words unharmed is always found.
     """
-    spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("body"))
-    total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    out = spark.createDataFrame([], SCHEMA)
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()
-        known = Passages([r.item for r in rows], [r.body for r in rows], size)
-        if not len(known.grams):
-            continue
-        block = spark.sparkContext.broadcast(known)
-        known.choose(gram_counts(chosen, block, size), stretch)
-        seeds = spark.sparkContext.broadcast(known)
-        out = out.union(find_leaks(chosen, seeds, size, min_score))
+    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    for block in seeded_blocks(chosen, benchmark, item_col, item_text_col, size, stretch, block_bytes):
+        out = out.union(find_leaks(chosen, block, size, min_score))
     return out
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    size: int = GRAM,
+    stretch: int = STRETCH,
+    min_score: float = MIN_SCORE,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents that hold no leak, with all their columns; no shuffle."""
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    for block in seeded_blocks(chosen, benchmark, item_col, item_text_col, size, stretch, block_bytes):
+        docs = drop_leaks(docs, block, text_col, size, min_score)
+    return docs

@@ -272,7 +272,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_do
     return sorted(rows.distinct().collect(), key=lambda r: (r.doc_id, r.text))
 
 
-def score_quality(
+def learned(
     docs: DataFrame,
     labels: DataFrame,
     label: str = "quality",
@@ -281,35 +281,52 @@ def score_quality(
     text_col: str = "text",
     max_docs: int = MAX_DOCS,
     max_chars: int = MAX_CHARS,
-    teachers: DataFrame | None = None,
-) -> DataFrame:
-    """doc_id, score, predicted, n_lines, bad_share of every document.
+) -> Field:
+    """The model of labelled documents; `learn` tells the labels to learn from."""
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = sample(known, labels, label, F.lit(True) if learn is None else learn, max_docs, max_chars)
+    return train([r.text for r in rows], np.array([r.y for r in rows], np.int64))
+
 
-    `learn` tells the labels to learn from; `teachers` are the documents they belong to where
-    these are not `docs` themselves.
-    """
+def scored(model: Field, column: pa.Array):
+    """(first row, end row, scores, lines per row, bad shares) of pieces of a text column."""
+    for row, end, data, offs in pieces(column):
+        lines = lines_of(data, offs)
+        shares = model.bad_shares(lines)
+        yield row, end, model.scores(shares), np.bincount(lines.row, minlength=lines.rows), shares
+
+
+def score_quality(
+    docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, score, predicted, n_lines, bad_share of every document."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = chosen if teachers is None else teachers.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = sample(known, labels, label, F.lit(True) if learn is None else learn, max_docs, max_chars)
-    model = train([r.text for r in rows], np.array([r.y for r in rows], np.int64))
-    sent = chosen.sparkSession.sparkContext.broadcast(model)  # weights of a fixed number of inputs
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of a fixed number of inputs
 
     def run(batches):
-        model = sent.value
         for batch in batches:
-            for row, end, data, offs in pieces(batch.column(1)):
-                lines = lines_of(data, offs)
-                shares = model.bad_shares(lines)
-                score = model.scores(shares)
+            for row, end, score, count, shares in scored(sent.value, batch.column(1)):
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(row, end - row),
                         pa.array(score),
                         pa.array((score >= 0.5).astype(np.int32)),
-                        pa.array(np.bincount(lines.row, minlength=lines.rows).astype(np.int32)),
+                        pa.array(count.astype(np.int32)),
                         pa.array(np.nan_to_num(shares)),
                     ],
                     ["doc_id", "score", "predicted", "n_lines", "bad_share"],
                 )
 
     return chosen.mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores one half or more, with all their columns; no shuffle."""
+    sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for row, end, score, _, _ in scored(sent.value, batch.column(place)):
+                yield batch.slice(row, end - row).filter(pa.array(score >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

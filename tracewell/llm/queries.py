@@ -135,7 +135,8 @@ def op5_toxicity_neighbours(spark, sf_dir):
 def op1_quality_classifier(spark, sf_dir):
     """Quality of every document, learned from the labels whose id's remainder by 3 is not 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score_quality(documents(spark, sf_dir), labels, learn=remainder("doc_id", 3) != 1)
+    docs = documents(spark, sf_dir)
+    scored = quality.score_quality(docs, quality.learned(docs, labels, learn=remainder("doc_id", 3) != 1))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 

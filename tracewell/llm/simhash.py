@@ -88,19 +88,26 @@ def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3
 ) -> DataFrame:
-    """doc_id and fp (64 bits as a long) of every row; one narrow pass over the texts."""
+    """doc_id, mark (a hash of the text) and fp (64 bits as a long) of every row; one narrow pass."""
 
     def hashed(batches):
         for batch in batches:
             found = [
                 majority(*shingle_hashes(data, offs, size))
-                for _, _, data, offs in pieces(batch.column(1))
+                for _, _, data, offs in pieces(batch.column(2))
             ]
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), batch.column(1), pa.array(fp.view(np.int64))]
+            yield pa.record_batch(columns, ["doc_id", "mark", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(hashed, "doc_id long, fp long")
+    chosen = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), mark_of(text_col).alias("mark"), F.col(text_col).alias("text")
+    )
+    return chosen.mapInArrow(hashed, "doc_id long, mark long, fp long")
+
+
+def mark_of(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def ball(half: int) -> list[int]:
@@ -135,6 +142,16 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return edges.where(F.col("a") < F.col("b")).distinct()
 
 
+def grouped(hashed: DataFrame, radius: int) -> DataFrame:
+    """fp and root of every fingerprint, and first: the least (no id, doc_id, mark) of its rows."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    distinct = cut_lineage(hashed.groupBy("fp").agg(F.min(row).alias("first")))
+    found = components(links(distinct.select("fp"), radius))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "first"
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -144,15 +161,30 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id of the group)."""
     hashed = cut_lineage(fingerprints(docs, id_col, text_col, size))
-    distinct = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    grouped = components(links(distinct.select("fp"), radius))
-    named = distinct.join(grouped, F.col("fp") == F.col("node"), "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "first_id"
-    )
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
+    named = grouped(hashed, radius)
+    smallest = named.groupBy("root").agg(F.min("first").alias("least"))
+    named = named.join(smallest, "root").select("fp", F.col("least.doc_id").alias("component_id"))
     return hashed.join(named, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 3,
+    radius: int = 2,
+) -> DataFrame:
+    """One row of each group, its smallest id (and least mark), with all columns of `docs`.
+
+    Rows that are equal in id and text are one document, so one of them stays.
+    """
+    hashed = cut_lineage(fingerprints(docs, id_col, text_col, size))
+    least = grouped(hashed, radius).groupBy("root").agg(F.min("first").alias("least"))
+    stay = least.select(F.col("least.doc_id").alias("_stay_id"), F.col("least.mark").alias("_stay_mark"))
+    keyed = docs.withColumn("_row_mark", mark_of(text_col)).withColumn("_row_id", F.col(id_col).cast("long"))
+    same = F.col("_row_id").eqNullSafe(F.col("_stay_id")) & (F.col("_row_mark") == F.col("_stay_mark"))
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["_row_id", "_row_mark"]).select(*docs.columns)
