@@ -12,13 +12,13 @@ from tracewell.plans import fit as plans
 from tracewell.session import cut_lineage
 
 T, OFF, CAP, PICKED, RIVALS, FS = 5, 2, 20, 3, 2, 100.0
-SETTINGS = plans.FitSettings(T, OFF, PICKED, 1e-3, CAP)
+SETTINGS = plans.FitSettings(T, OFF, PICKED, 1e-3)
 
 LEN = "len as (select recording_id, max(sample) + 1 as n from m group by 1)"
 VALID = f"""{LEN}, vs as (select s.* from spk s join len using (recording_id) where t > {OFF} and t < n - {T} + {OFF}),
 cs as (select * from (select *, row_number() over (partition by recording_id, unit_id order by md5(t::varchar)) as rn from vs) where rn <= {CAP})"""
 WAVE = f"""{VALID}, wf as (select c.recording_id, c.unit_id, cast(k as int) as k, m.channel, sum(m.value)::double / count(*) as value,
-  count(*) as n_used from cs c, range({T}) r(k) join m on m.recording_id = c.recording_id and m.sample = c.t - {OFF} + k group by 1, 2, 3, 4),
+  count(*) as n_used from vs c, range({T}) r(k) join m on m.recording_id = c.recording_id and m.sample = c.t - {OFF} + k group by 1, 2, 3, 4),
 en as (select recording_id, unit_id, channel, sum(value * value) as energy, max(value) - min(value) as peak_to_peak from wf group by 1, 2, 3)"""
 LABELS = "lab as (select distinct user_id % 50 as unit_id, case when user_id % 50 % 7 = 3 then 'Noise' else 'good' end as label from ev)"
 ACTIVE = f"""{LABELS}, act as (select recording_id, unit_id, count(*) as n_spikes,
@@ -59,7 +59,7 @@ def labels(spark, sf):
 
 
 def waveforms(spark, sf):
-    return tp.mean_waveforms(packed(spark, sf), CHUNK, units(spark, sf), T, OFF, CAP, order())
+    return tp.mean_waveforms(packed(spark, sf), CHUNK, units(spark, sf), T, OFF)
 
 
 def ranked(spark, sf):
@@ -77,7 +77,7 @@ def rivals(spark, sf):
 def fitted(spark, sf):
     return plans.fit(
         packed(spark, sf), CHUNK, units(spark, sf), cut_lineage(targets(spark, sf)),
-        cut_lineage(rivals(spark, sf)), SETTINGS, order(),
+        cut_lineage(rivals(spark, sf)), SETTINGS,
     )
 
 
@@ -157,9 +157,8 @@ def activity_topn(spark, sf):
     pc as (select recording_id, unit_id, channel from (select *, row_number() over
       (partition by recording_id, unit_id order by peak_to_peak desc, channel) as rn from en) where rn = 1),
     pos as (select pc.*, (channel % 2) * 30.0::double as x, channel * 20.0::double as y from pc),
-    pool as (select * from (select tg.recording_id, target_id, a.unit_id, activity_rank,
-      row_number() over (partition by tg.recording_id, target_id order by activity_rank) as rn
-      from tg join act a on a.recording_id = tg.recording_id and a.unit_id <> target_id) where rn <= 30),
+    pool as (select tg.recording_id, target_id, a.unit_id, activity_rank
+      from tg join act a on a.recording_id = tg.recording_id and a.unit_id <> target_id),
     d as (select p.recording_id, p.target_id, p.unit_id, activity_rank, sqrt(power(u.x - o.x, 2) + power(u.y - o.y, 2)) as distance
       from pool p join pos u on u.recording_id = p.recording_id and u.unit_id = p.unit_id
       join pos o on o.recording_id = p.recording_id and o.unit_id = p.target_id)
@@ -252,26 +251,26 @@ def fit_problems(spark, sf):
     silent = known.select("recording_id").distinct().withColumn("target_id", F.lit(-7).cast("bigint"))
     asked = cut_lineage(known.unionByName(silent))
     spikes = units(spark, sf)
-    result = plans.fit(packed(spark, sf), CHUNK, spikes, asked, cut_lineage(rivals(spark, sf)), SETTINGS, order())
+    result = plans.fit(packed(spark, sf), CHUNK, spikes, asked, cut_lineage(rivals(spark, sf)), SETTINGS)
     return plans.problems(result, asked, spikes)
 
 
 @query("calibration")
 def calibration(spark, sf):
     """Fit on the first half, sweep the second, one operating point per target."""
-    filters, _ = plans.calibrate(
+    filters = plans.calibrate(
         packed(spark, sf), CHUNK, units(spark, sf), cut_lineage(targets(spark, sf)),
-        cut_lineage(rivals(spark, sf)), FS, SETTINGS, suppression="window", order=order(),
-    )
+        cut_lineage(rivals(spark, sf)), FS, SETTINGS, suppression="window",
+    ).filters
     return filters.select("recording_id", "target_id", F.round("threshold", 6).alias("threshold"))
 
 
 @query("calibration_priority")
 def calibration_priority(spark, sf):
-    _, curve = plans.calibrate(
+    curve = plans.calibrate(
         packed(spark, sf), CHUNK, units(spark, sf), cut_lineage(targets(spark, sf)),
-        cut_lineage(rivals(spark, sf)), FS, SETTINGS, criterion="best_recall", order=order(),
-    )
+        cut_lineage(rivals(spark, sf)), FS, SETTINGS, criterion="best_recall",
+    ).curve
     return curve.drop("fp_by_interferer").select(
         "recording_id", "target_id", "idx", "hits", "total_fp", "n_detections", F.round("f1", 6).alias("f1")
     )
@@ -281,7 +280,7 @@ def calibration_priority(spark, sf):
 def data_fraction(spark, sf):
     out = plans.data_fractions(
         packed(spark, sf), CHUNK, units(spark, sf), cut_lineage(targets(spark, sf)),
-        cut_lineage(rivals(spark, sf)), FS, 0.5, (0.25, 0.5), SETTINGS, order(),
+        cut_lineage(rivals(spark, sf)), FS, 0.5, (0.25, 0.5), SETTINGS,
     )
     return out.select("recording_id", "target_id", "train_fraction", "n_truth", "hits", "total_fp", F.round("f1", 6).alias("f1"))
 

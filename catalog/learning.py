@@ -39,14 +39,17 @@ def snippets(spark, sf):
     "noise_sample",
     f"""with {EV}, tr as (select recording_id, sample as t from ev where event_type = 'purchase'),
     n as (select recording_id, max(sample) + 1 as n from ev group by 1),
-    fr as (select e.recording_id, e.sample from ev e join n using (recording_id) where e.sample > 1 and e.sample < n - 3 + 1
-      and not exists (select 1 from tr where tr.recording_id = e.recording_id and e.sample >= tr.t - 4 and e.sample < tr.t + 4))
-    select recording_id, sample as spike_time, cast(-1 as bigint) as unit_id from (select *,
-      row_number() over (partition by recording_id order by md5(sample::varchar)) as rn from fr) where rn <= 300""",
+    fr as (select distinct e.recording_id, e.sample from ev e join n using (recording_id) where e.sample > 1 and e.sample < n - 3 + 1
+      and not exists (select 1 from tr where tr.recording_id = e.recording_id and e.sample >= tr.t - 4 and e.sample < tr.t + 4)),
+    nr as (select *, row_number() over (partition by recording_id order by sample) - 1 as r, count(*) over (partition by recording_id) as total from fr),
+    d as (select recording_id, total, i, i * total // least(300, total) as lo, (i + 1) * total // least(300, total) as hi
+      from (select distinct recording_id, total from nr), range(300) r(i) where i < least(300, total))
+    select d.recording_id, sample as spike_time, cast(-1 as bigint) as unit_id from d join nr on nr.recording_id = d.recording_id
+      and nr.r = lo + cast(floor({uniform_sql('noise', 'd.recording_id', 'i')} * (hi - lo)) as bigint)""",
 )
 def noise_sample(spark, sf):
     """Template length 3, offset 1: centres outside [t - 4, t + 4) of every spike."""
-    return learned.noise_centres(truth(spark, sf), lengths(spark, sf), 3, 1, 300, order())
+    return learned.noise_centres(truth(spark, sf), lengths(spark, sf), 3, 1, 300, "noise")
 
 
 @query(

@@ -89,7 +89,9 @@ def test_chunk_length_does_not_change_the_fit(spark, made):
 def test_calibration_finds_the_planted_spikes(spark, made, suppression):
     x, times, chunks, spikes, targets, rivals = made
     inner = spikes.where(f"spike_time > {fx.T} and spike_time < {fx.N - fx.T}")
-    filters, curve = plans.calibrate(chunks, L, inner, targets, rivals, fx.FS, SETTINGS, suppression=suppression)
+    asked = targets.unionByName(targets.withColumn("target_id", F.lit(99).cast("bigint")))
+    filters, curve, failed = plans.calibrate(chunks, L, inner, asked, rivals, fx.FS, SETTINGS, suppression=suppression)
+    assert [(r.target_id, r.reason) for r in failed.collect()] == [(99, "no spikes")]
     best = curve.orderBy(F.desc("f1")).first()
     assert best.recall >= 0.95 and best.precision >= 0.95
     assert filters.first().threshold is not None and curve.count() == 60
@@ -137,3 +139,34 @@ def test_robust_threshold_falls_back_to_all_samples(spark):
     everywhere = spark.createDataFrame([("r", 3)], "recording_id string, spike_time bigint")
     row = sweep.robust_threshold(trace, ["recording_id"], everywhere, 20, 4).first()
     assert row["median"] == 2.5 and row["mad"] == 1.5
+
+
+def test_noise_centres_of_a_day_without_spikes(spark):
+    from tracewell.operators.learned import noise_centres
+
+    spikes = spark.createDataFrame([("a", 1_000_000_000, 1), ("b", 50, 1)], "recording_id string, spike_time bigint, unit_id bigint")
+    lengths = spark.createDataFrame([("a", 2_600_000_000), ("b", 120)], "recording_id string, n_samples bigint")
+    got = noise_centres(spikes, lengths, 10, 3, 1000).collect()
+    a = sorted(r.spike_time for r in got if r.recording_id == "a")
+    assert len(a) == len(set(a)) == 1000 and a[0] > 3 and a[-1] < 2_600_000_000 - 7
+    assert not any(1_000_000_000 - 13 <= t < 1_000_000_000 + 13 for t in a)
+    # fewer free samples than wanted: all of them
+    assert sorted(r.spike_time for r in got if r.recording_id == "b") == [t for t in range(4, 113) if not 37 <= t < 63]
+
+
+def test_fractions_keep_any_recording_id(spark, made):
+    _, _, chunks, spikes, targets, rivals = made
+    rename = lambda df: df.withColumn("recording_id", F.lit("1:lab@r"))
+    out = plans.data_fractions(*(chunks.transform(rename), L, *map(rename, (spikes, targets, rivals))), fx.FS, 0.6, (0.5,), SETTINGS)
+    assert {r.recording_id for r in out.collect()} == {"1:lab@r"}
+
+
+def test_nearest_units_sees_quiet_neighbours(spark):
+    from tracewell.operators import templates
+
+    ranked = spark.createDataFrame([("r", u, 100 - u, u + 1) for u in range(60)], "recording_id string, unit_id bigint, n_spikes bigint, activity_rank int")
+    peaks = spark.createDataFrame([("r", u, 0 if u in (0, 59) else u) for u in range(60)], "recording_id string, unit_id bigint, channel int")
+    sites = spark.createDataFrame([("r", c, 0.0, 20.0 * c) for c in range(60)], "recording_id string, channel int, x double, y double")
+    target = spark.createDataFrame([("r", 0)], "recording_id string, target_id bigint")
+    assert [r.unit_id for r in templates.nearest_units(ranked, target, peaks, sites, 1).collect()] == [59]
+    assert [r.unit_id for r in templates.nearest_units(ranked, target, peaks, sites, 1, pool=10).collect()] == [1]

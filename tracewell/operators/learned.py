@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.blocks import ordinal
+from tracewell.blocks import BLOCK, Running, ordinal, scan
 from tracewell.functions.hashing import integer_between, normal, uniform
 from tracewell.operators.intervals import free_segments
 from tracewell.operators.templates import cap_per_group, hash_order
@@ -29,25 +29,49 @@ def noise_centres(
     template_length: int,
     offset: int,
     n: int = 5000,
-    order: Column | None = None,
+    seed: int | str = 0,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Up to n samples per recording away from all spikes, as spikes of unit -1.
 
-    Free means outside [t - offset - T, t + T + offset) of every spike.
+    Free means outside [t - offset - T, t + T + offset) of every spike. Gaps are never unfolded:
+    the free samples are numbered by the running total of the gaps' lengths, one number is
+    drawn from each of n equal parts, and an as-of scan finds the gap that holds it.
     """
     free = free_segments(
         spikes, ["recording_id"], "spike_time", offset + template_length, template_length + offset, lengths
     )
     n_samples = lengths.select("recording_id", F.col("n_samples").alias("_n"))
-    t = F.col("spike_time")
-    centres = (
+    start = F.greatest(F.col("start"), F.lit(offset + 1))
+    end = F.least(F.col("end"), F.col("_n") - template_length + offset)
+    gaps = (
         free.join(n_samples, "recording_id")
-        .select("recording_id", "_n", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("spike_time"))
-        .where((t > offset) & (t < F.col("_n") - template_length + offset))
-        .select("recording_id", "spike_time")
+        .select("recording_id", start.cast("bigint").alias("start"), (end - start).cast("bigint").alias("_size"))
+        .where(F.col("_size") > 0)
+    )
+    gaps = cut_lineage(
+        scan(gaps, ["recording_id"], "start", {"_at": Running("sum", F.col("_size"), False)}, block)
+        .withColumn("_at", F.coalesce("_at", F.lit(0)))
+    )
+    total, i = F.col("_total"), F.col("_i")
+    parts = F.least(F.lit(n).cast("bigint"), total)
+    drawn = gaps.groupBy("recording_id").agg(F.sum("_size").alias("_total")).select(
+        "recording_id", total, parts.alias("_m"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_i")
+    )
+    low = F.floor((i * total - F.pmod(i * total, F.col("_m"))) / F.col("_m"))
+    high = F.floor(((i + 1) * total - F.pmod((i + 1) * total, F.col("_m"))) / F.col("_m"))
+    number = low + F.floor(uniform(seed, F.col("recording_id"), i) * (high - low))
+    both = gaps.select(
+        "recording_id", "_at", F.struct("start", F.col("_at").alias("first")).alias("_gap"), F.lit(0).alias("_drawn")
+    ).unionByName(
+        drawn.select("recording_id", number.cast("bigint").alias("_at"), F.lit(1).alias("_drawn")), allowMissingColumns=True
+    )
+    found = scan(both, ["recording_id"], "_at", {"_in": Running("last", F.col("_gap"))}, block, ties=["_drawn"])
+    return found.where("_drawn = 1").select(
+        "recording_id",
+        (F.col("_in.start") + F.col("_at") - F.col("_in.first")).alias("spike_time"),
+        F.lit(NOISE_UNIT).cast("bigint").alias("unit_id"),
     )
-    by = hash_order(0, "recording_id", "spike_time") if order is None else order
-    return cap_per_group(centres, ["recording_id"], n, by).withColumn("unit_id", F.lit(NOISE_UNIT).cast("bigint"))
 
 
 def roll(values: Column, length: int, shift: Column) -> Column:

@@ -138,7 +138,7 @@ def mean_waveforms(
     spikes: DataFrame,
     template_length: int,
     offset: int,
-    max_spikes: int | None = 2000,
+    max_spikes: int | None = None,
     order: Column | None = None,
     lengths: DataFrame | None = None,
 ) -> DataFrame:
@@ -270,12 +270,15 @@ def nearest_units(
     n: int,
     pool: int | None = None,
 ) -> DataFrame:
-    """The n units closest to a target among its most active others.
+    """The n units closest to a target; with `pool` only among so many most active others.
 
     `positions` (recording_id, channel, x, y); units without a waveform drop out, equal
     distances keep the order of activity.
     """
-    shortlist = most_active(ranked, targets, pool or max(3 * n, 30))
+    if pool is None:
+        shortlist = targets.join(ranked, "recording_id").where(F.col("unit_id") != F.col("target_id"))
+    else:
+        shortlist = most_active(ranked, targets, pool)
     where = peaks.join(positions, ["recording_id", "channel"]).select("recording_id", "unit_id", "x", "y")
     own = where.select("recording_id", F.col("unit_id").alias("target_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     placed = shortlist.join(where, ["recording_id", "unit_id"]).join(own, ["recording_id", "target_id"])

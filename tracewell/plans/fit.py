@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ class FitSettings:
     offset: int = 20
     n_channels: int = 5
     ridge: float = 1e-3
-    max_spikes: int | None = 2000
+    max_spikes: int | None = None
     max_noise_samples: int | None = None
     orientation: str = "reference"
 
@@ -125,6 +126,14 @@ def cut_chunks(chunks: DataFrame, splits: DataFrame, side: str) -> DataFrame:
     )
 
 
+class Calibration(NamedTuple):
+    """Filters with thresholds, the curves, and (recording_id, target_id, reason) without."""
+
+    filters: DataFrame
+    curve: DataFrame
+    failed: DataFrame
+
+
 def calibrate(
     chunks: DataFrame,
     length: int,
@@ -138,10 +147,11 @@ def calibrate(
     criterion: str = "best_f1",
     max_fp_rate_hz: float = 1.0,
     order=None,
-) -> tuple[DataFrame, DataFrame]:
+) -> Calibration:
     """Fit on the first part, sweep the rest, keep that very filter with its threshold.
 
-    Returns (filters, curve). `suppression` is "priority" (highest first) or "window".
+    `suppression` is "priority" (highest first) or "window". Every target asked for is either
+    among the filters or among the failed ones, with the reason.
     """
     T = settings.template_length
     lengths = templates.lengths_of(chunks)
@@ -173,7 +183,16 @@ def calibrate(
         else sweep.best_recall(rates, KEYS, max_fp_rate_hz)
     )
     filters = fitted.filters.drop("threshold").join(best.select(*KEYS, "threshold"), KEYS)
-    return filters, curve
+    silent = (
+        fitted.filters.select(*KEYS).join(curve.select(*KEYS).distinct(), KEYS, "left_anti")
+        .withColumn("reason", F.lit("no candidate peaks"))
+    )
+    unmet = (
+        curve.select(*KEYS).distinct().join(best.select(*KEYS), KEYS, "left_anti")
+        .withColumn("reason", F.lit("no threshold within the false positive rate"))
+    )
+    failed = problems(fitted, targets, train_spikes).unionByName(silent).unionByName(unmet)
+    return Calibration(filters, curve, failed)
 
 
 def data_fractions(
@@ -190,15 +209,21 @@ def data_fractions(
 ) -> DataFrame:
     """Refit on growing first parts and score the rest at one fixed threshold.
 
-    The fraction becomes part of the recording id, so all fractions run in one job.
+    All fractions run in one job: a recording appears once per fraction, its id after the
+    fraction's number, which is taken off again whatever the id holds.
     """
-    shares = F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
-    tag = F.concat_ws("@", "recording_id", F.col("train_fraction").cast("string"))
+    shares = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("number"), F.lit(float(f)).alias("fraction")) for i, f in enumerate(fractions)
+    ]))
+    tag = F.concat_ws(":", F.col("_share.number").cast("string"), "recording_id")
 
     def repeat(df: DataFrame) -> DataFrame:
-        return df.withColumn("train_fraction", shares).withColumn("recording_id", tag).drop("train_fraction")
+        return df.withColumn("_share", shares).withColumn("recording_id", tag).drop("_share")
 
-    lengths = templates.lengths_of(chunks).withColumn("train_fraction", shares).withColumn("recording_id", tag)
+    lengths = (
+        templates.lengths_of(chunks).withColumn("_share", shares).withColumn("recording_id", tag)
+        .withColumn("train_fraction", F.col("_share.fraction")).drop("_share")
+    )
     splits = cut_lineage(templates.split_at(lengths, F.col("train_fraction")))
     many = repeat(chunks)
     all_spikes, all_targets, all_rivals = repeat(spikes), repeat(targets), repeat(interferers)
@@ -222,5 +247,5 @@ def data_fractions(
     return (
         result.join(seconds, "recording_id")
         .withColumn("fp_rate_hz", F.col("total_fp") / F.col("test_s"))
-        .withColumn("recording_id", F.substring_index("recording_id", "@", 1))
+        .withColumn("recording_id", F.regexp_replace("recording_id", "^[0-9]+:", ""))
     )
