@@ -18,6 +18,14 @@ def fingerprint(text, size):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def jaccard(a, b, size=5):
+    sets = []
+    for text in (a, b):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets.append({" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if any(sets) else 1.0
+
+
 def groups(rows, size, radius):
     prints = [fingerprint(t, size) for _, t in rows]
     parent = list(range(len(rows)))
@@ -85,3 +93,34 @@ def test_long_chains_are_one_group(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1400)]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in found} == {**{i: 0 for i in range(301)}, **{k: 1000 for k in range(1000, 1400)}}
+
+
+def edited(rng, words, rate):
+    return [w if rng.random() > rate else rng.choice(words) for w in words]
+
+
+def test_similar_texts_are_one_group(spark):
+    rng = random.Random(9)
+    rows, families = [], []
+    for k in range(40):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(40, 400))]
+        family = [words] + [edited(rng, words, 0.012) for _ in range(rng.randint(0, 4))]
+        families.append([len(rows) + i for i in range(len(family))])
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(family)]
+    shared = " ".join(rng.choice("xyz") * rng.randint(1, 5) for _ in range(60))
+    rows += [(1000 + i, shared + " " + " ".join(rng.choice("klmnop") * rng.randint(1, 6) + str(i) for _ in range(200))) for i in range(60)]
+    rows += [(2000, None), (2001, ""), (2002, rows[0][1].upper()), (None, rows[3][1]), (2003, "x" * 30_000), (2004, "y " * 9_000), (2004, "y " * 9_000)]
+    docs = spark.createDataFrame([(*r, "b") for r in rows], "doc_id long, text string, form string")
+    got = [r.doc_id for r in simhash.one_of_similar(docs).collect()]
+    assert len(got) == len(set(got)) and None not in got
+    # texts that only share a passage all stay
+    assert {1000 + i for i in range(60)} <= set(got) and {2000, 2003, 2004} <= set(got) and not {2001, 2002} & set(got)
+    links = [(i, j) for f in families for i in f for j in f if i < j and jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    parent = {i: i for i in range(len(rows))}
+    for i, j in links:
+        old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+        parent = {k: new if p == old else p for k, p in parent.items()}
+    gone = {i for f in families for i in f if parent[i] != i}
+    assert len(gone) > 30 and not {i for f in families for i in f if parent[i] == i} - set(got)
+    assert len(gone - set(got)) >= 0.9 * len(gone)
+    assert simhash.one_of_similar(docs.limit(0)).count() == 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.text import LOWER, SPACE, pieces, words
+from tracewell.llm.text import LOWER, SPACE, mixed, pieces, words
 from tracewell.session import cut_lineage
 
 SEED = 42
@@ -183,8 +183,134 @@ def one_of_each(
     Rows that are equal in id and text are one document, so one of them stays.
     """
     hashed = cut_lineage(fingerprints(docs, id_col, text_col, size))
-    least = grouped(hashed, radius).groupBy("root").agg(F.min("first").alias("least"))
+    return _only(docs, grouped(hashed, radius).groupBy("root").agg(F.min("first").alias("least")), id_col, text_col)
+
+
+def _only(docs: DataFrame, least: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` with the ids and marks of `least`, each once."""
     stay = least.select(F.col("least.doc_id").alias("_stay_id"), F.col("least.mark").alias("_stay_mark"))
     keyed = docs.withColumn("_row_mark", mark_of(text_col)).withColumn("_row_id", F.col(id_col).cast("long"))
     same = F.col("_row_id").eqNullSafe(F.col("_stay_id")) & (F.col("_row_mark") == F.col("_stay_mark"))
     return keyed.join(stay, same, "left_semi").dropDuplicates(["_row_id", "_row_mark"]).select(*docs.columns)
+
+
+# Near duplicates by similarity ---------------------------------------------------------------
+#
+# Texts that share 80 % of their shingles differ in about 15 % of a SimHash's bits, far beyond any
+# ball that can be emitted for a long fingerprint. So several short fingerprints are used, each
+# within a block: the least of one hash of the shingles. Similar texts mostly share the block
+# and nearly the fingerprint; other texts share no block, however many there are.
+
+TABLES, BITS = 7, 12
+#: one hash function per table, as odd multipliers: fixed values
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
+               0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
+
+
+def forms(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, mark, form, blocks, prints of every row; `docs` has doc_id, mark and text.
+
+    The form is a hash of the set of shingles: rows of one form are copies of each other.
+    """
+    schema = "doc_id long, mark long, form long, blocks array<long>, prints array<int>"
+
+    def run(batches):
+        for batch in batches:
+            for row, end, data, offs in pieces(batch.column(2)):
+                hashes, bounds = shingle_hashes(data, offs, size)
+                n = end - row
+                own = np.repeat(np.arange(n), np.diff(bounds))
+                sets = np.unique(np.stack([own.astype(np.uint64), hashes]), axis=1)
+                form = np.zeros(n, np.uint64)
+                np.add.at(form, sets[0].astype(np.int64), mixed(sets[1]))
+                filled = np.flatnonzero(np.diff(bounds))
+                blocks, prints = np.zeros((n, TABLES), np.uint64), np.zeros((n, TABLES), np.uint64)
+                for t, by in enumerate(MULTIPLIERS):
+                    other = mixed(hashes * np.uint64(by))
+                    if len(filled):
+                        blocks[filled, t] = np.minimum.reduceat(other, bounds[:-1][filled])
+                    prints[:, t] = majority(other, bounds) & np.uint64((1 << BITS) - 1)
+                yield pa.record_batch(
+                    [
+                        batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(form.view(np.int64)),
+                        pa.array(blocks.view(np.int64).tolist(), pa.list_(pa.int64())),
+                        pa.array(prints.astype(np.int32).tolist(), pa.list_(pa.int32())),
+                    ],
+                    ["doc_id", "mark", "form", "blocks", "prints"],
+                )
+
+    return docs.mapInArrow(run, schema)
+
+
+def colliding(kinds: DataFrame) -> DataFrame:
+    """Pairs (a, b) of forms that share a block and a variant of their fingerprints.
+
+    A bucket is never gathered: each member meets the bucket's centre, the least by a hash of
+    its own per table, and of its buckets in a table those with the least and the greatest one.
+    """
+    table = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
+    masks = F.array(F.lit(0), *[F.lit(1 << b) for b in range(BITS)])
+    rows = (
+        kinds.withColumn("t", table)
+        .select("form", "t", F.get("blocks", F.col("t")).alias("block"), F.get("prints", F.col("t")).alias("print"))
+        .withColumn("mask", F.explode(masks))
+        .select("form", F.xxhash64("t", "block", F.col("print").bitwiseXOR(F.col("mask"))).alias("bucket"), "t")
+    )
+    rank = F.struct(F.xxhash64("t", "form").alias("rank"), F.col("form").alias("centre"))
+    centres = rows.groupBy("bucket").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"))
+    centres = cut_lineage(centres.where("n > 1").select("bucket", "least"))
+    met = rows.join(centres, "bucket").groupBy("form", "t").agg(F.min("least").alias("x"), F.max("least").alias("y"))
+    both = met.select(F.col("form").alias("b"), F.explode(F.array("x.centre", "y.centre")).alias("a"))
+    pairs = both.where("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """form and its distinct shingles, as 32-bit hashes; `docs` has form and text."""
+
+    def run(batches):
+        for batch in batches:
+            for row, end, data, offs in pieces(batch.column(1)):
+                hashes, bounds = shingle_hashes(data, offs, size)
+                sets = [np.unique(hashes[a:b].astype(np.uint32)).view(np.int32) for a, b in zip(bounds, bounds[1:])]
+                yield pa.record_batch(
+                    [batch.column(0).slice(row, end - row), pa.array(sets, pa.list_(pa.int32()))], ["form", "shingles"]
+                )
+
+    return docs.mapInArrow(run, "form long, shingles array<int>")
+
+
+def one_of_similar(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """One row of each group of similar texts, its smallest id, with all columns of `docs`.
+
+    Links join texts whose sets of shingles have a Jaccard similarity of at least `similarity`,
+    verified on the whole sets; groups are the components of links.
+    """
+    chosen = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), mark_of(text_col).alias("mark"), F.col(text_col).alias("text")
+    )
+    hashed = cut_lineage(forms(chosen, size))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    kinds = cut_lineage(
+        hashed.groupBy("form").agg(F.min(row).alias("first"), F.first("blocks").alias("blocks"), F.first("prints").alias("prints"))
+    )
+    pairs = cut_lineage(colliding(kinds))
+    wanted = pairs.select(F.col("a").alias("form")).union(pairs.select(F.col("b").alias("form"))).distinct()
+    where = kinds.join(wanted, "form").select("form", "first.*").alias("r")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.mark") == F.col("r.mark"))
+    texts = chosen.alias("l").join(where, same).select("r.form", "l.text")
+    sets = cut_lineage(shingle_sets(texts, size).dropDuplicates(["form"]))
+    compared = pairs.join(sets.select(F.col("form").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("form").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    common = F.size(F.array_intersect("x", "y"))
+    edges = compared.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = components(edges)
+    named = kinds.join(found, F.col("form") == F.col("node"), "left").select(F.coalesce("root", "form").alias("root"), "first")
+    return _only(docs, named.groupBy("root").agg(F.min("first").alias("least")), id_col, text_col)
