@@ -46,3 +46,11 @@ def test_decisions_with_events_before_their_anchor(spark, tmp_path):
     out = processors.decide_stream(st.read_stream(spark, folder, schema, 1), 0, 10, 3, 100.0, "2 seconds")
     got = sorted(tuple(r) for r in st.run_available(out).collect())
     assert got == [("r", 100, 4, "TRIGGER", 3, 110), ("r", 300, 2, "NO_TRIGGER", 1, None)]
+
+
+def test_zero_phase_is_refused_in_a_stream():
+    from tracewell.operators.signal import Cleaning
+    from tracewell.streaming import processors
+
+    with pytest.raises(ValueError, match="zero phase"):
+        processors.detect_stream(None, None, 5, Cleaning(30_000.0, 300.0, "zero_phase", True))

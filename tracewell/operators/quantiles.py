@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewell.session import join_dimension
 
-# The sketch is off by at most 1 / ACCURACY of the rows; brackets allow three times that,
-# so the band that is ranked exactly holds 6 rows in 100,000.
+# The sketch is off by at most 1 / accuracy of the rows; brackets allow three times that,
+# so by default the band that is ranked exactly holds 6 rows in 100,000.
 ACCURACY = 100_000
-SLACK = 3 / ACCURACY
 
 
 def exact_quantiles(
@@ -21,21 +20,23 @@ def exact_quantiles(
     value: Column,
     probabilities: dict[str, float],
     method: str = "linear",
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One column per named probability, exact.
 
     A mergeable sketch brackets every requested rank; a second pass counts what lies
     below each bracket and keeps, pre-aggregated by value, only the narrow band inside
-    it. Groups of up to `ACCURACY` values, too small for a bracket, use their full range. `linear` interpolates between the two closest ranks, `nearest` takes rank
+    it. Groups of up to `accuracy` values, too small for a bracket, use
+    their full range. `linear` interpolates between the two closest ranks, `nearest` takes rank
     floor(p * (n - 1) + 0.5).
     """
     values = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null")
-    names = list(probabilities)
-    lows = [max(p - SLACK, 0.0) for p in probabilities.values()]
-    highs = [min(p + SLACK, 1.0) for p in probabilities.values()]
+    names, slack = list(probabilities), 3 / accuracy
+    lows = [max(p - slack, 0.0) for p in probabilities.values()]
+    highs = [min(p + slack, 1.0) for p in probabilities.values()]
 
     def bracket(points: list[float]) -> Column:
-        return F.percentile_approx("_v", [float(p) for p in points], ACCURACY)
+        return F.percentile_approx("_v", [float(p) for p in points], accuracy)
 
     stats = values.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -43,7 +44,7 @@ def exact_quantiles(
         bracket(lows).alias("_lows"),
         bracket(highs).alias("_highs"),
     )
-    small = F.col("_n") <= ACCURACY
+    small = F.col("_n") <= accuracy
     wanted = F.array(
         *[
             F.struct(

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import os
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -87,10 +88,12 @@ class RawReader(DataSourceReader):
         for name, pieces in self.recordings().items():
             first, end = pieces[0].start, pieces[-1].start + pieces[-1].n
             step = self.per_task
+            starts, ends = [p.start for p in pieces], [p.start + p.n for p in pieces]
             for chunk in range(first // self.length, -(-end // self.length), step):
                 low = chunk * self.length - self.before
                 high = (chunk + step) * self.length + self.after
-                near = [p for p in pieces if p.start < high and p.start + p.n > low]
+                # parts are in order and do not overlap
+                near = pieces[bisect_right(ends, low) : bisect_left(starts, high)]
                 if near:
                     plan.append(ChunkRange(name, chunk, chunk + step, first, end, near))
         return plan

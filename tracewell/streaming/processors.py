@@ -100,7 +100,12 @@ def detect_stream(
     chunks: DataFrame, filters: DataFrame, template_length: int, cleaning: Cleaning,
     suppress: int | None = None, thresholded: bool = True,
 ) -> DataFrame:
-    """Detections of a stream of chunk rows; a point is decided once its right side is seen."""
+    """Detections of a stream of chunk rows; a point is decided once its right side is seen.
+
+    A zero-phase filter needs the samples to come, so it is an error here.
+    """
+    if cleaning.highpass == "zero_phase":
+        raise ValueError("a stream cannot be filtered with zero phase; use highpass='causal'")
     use_rocksdb(chunks.sparkSession)
     m = template_length // 2 if suppress is None else suppress
     return with_filters(chunks, filters).groupBy("recording_id").transformWithStateInPandas(
