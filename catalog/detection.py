@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.views import BLOCK, EV, KEYS, OTHERS, TRUTH, events, lengths, others, series, truth
+from catalog.signals import FIR, SINGLE, WIN, bank, packed_single
+from catalog.views import BLOCK, CHUNK, EV, KEYS, OTHERS, TRUTH, events, lengths, others, series, truth
 from tracewell.operators import matching, peaks, quantiles, sweep
+from tracewell.plans import fit as plans
 from tracewell.session import cut_lineage
 
 REACH, TOLERANCE, HEIGHT = 10, 2, 9000
@@ -301,3 +303,26 @@ def method_comparison(spark, sf):
     expected = both.select("method", "recording_id").distinct().join(truth(spark, sf), KEYS)
     out = sweep.evaluate(both, expected, ["method", *KEYS], TOLERANCE)
     return rounded(out.drop("f1"), "recall", "precision")
+
+
+# The queries above match within 2 samples; half a window of five taps matches within 1.
+SWEEP_NEAR = SWEEP.replace("<= 2", "<= 1")
+
+
+@query(
+    "calibration_existing",
+    f"""with {EV}, {TRUTH}, {FIR}, {WIN}, pk as (select recording_id, sample, score from win
+      where score > coalesce(l, -1e18) and score > coalesce(r, -1e18)), {GRID}, {SWEEP_NEAR},
+    pick as (select *, row_number() over (partition by recording_id order by f1 desc, idx) as rn from curve)
+    select recording_id, round(p.threshold, 6) as threshold, c.idx, c.hits, c.total_fp, c.n_detections, round(c.f1, 6) as f1
+    from curve c join (select recording_id, threshold from pick where rn = 1) p using (recording_id)""",
+)
+def calibration_existing(spark, sf):
+    """A known filter over whole recordings: the curve and, on every row, the chosen threshold."""
+    filters = bank(spark, sf, SINGLE, [0], 2, 0.0)
+    spikes = truth(spark, sf).join(filters.select(*KEYS, F.col("target_id").alias("unit_id")), KEYS)
+    nobody = filters.select(*KEYS, "target_id", F.lit(-1).cast("bigint").alias("unit_id")).limit(0)
+    done = plans.calibrate_existing(packed_single(spark, sf), 4 * CHUNK, filters, spikes, nobody, 100.0, 5)
+    chosen = done.filters.select("recording_id", "threshold")
+    out = done.curve.drop("threshold").join(chosen, KEYS)
+    return rounded(out.select("recording_id", "threshold", "idx", "hits", "total_fp", "n_detections", "f1"), "threshold", "f1")

@@ -160,21 +160,56 @@ def calibrate(
     train = cut_chunks(chunks, splits, "train")
     fitted = fit(train, length, train_spikes, targets, interferers, settings, order)
     test = cut_chunks(chunks, splits, "test")
+    late = spikes.join(splits, "recording_id").where(F.col("spike_time") >= F.col("split")).drop("split")
+    seconds = splits.join(lengths, "recording_id").select(
+        "recording_id", ((F.col("n_samples") - F.col("split")) / F.lit(float(fs))).alias("_seconds")
+    )
+    done = _operating_points(
+        test, length, fitted.filters, late, targets, interferers, seconds, T, suppression, criterion, max_fp_rate_hz
+    )
+    return done._replace(failed=problems(fitted, targets, train_spikes).unionByName(done.failed))
+
+
+def calibrate_existing(
+    chunks: DataFrame,
+    length: int,
+    filters: DataFrame,
+    spikes: DataFrame,
+    interferers: DataFrame,
+    fs: float,
+    template_length: int,
+    suppression: str = "window",
+    criterion: str = "best_f1",
+    max_fp_rate_hz: float = 1.0,
+) -> Calibration:
+    """Thresholds for filters as they are, swept over whole recordings; nothing is fitted.
+
+    The targets are those of `filters`; their own thresholds are replaced.
+    """
+    targets = filters.select(*KEYS).distinct()
+    seconds = templates.lengths_of(chunks).select(
+        "recording_id", (F.col("n_samples") / F.lit(float(fs))).alias("_seconds")
+    )
+    return _operating_points(
+        chunks, length, filters, spikes, targets, interferers, seconds, template_length, suppression, criterion, max_fp_rate_hz
+    )
+
+
+def _operating_points(
+    chunks: DataFrame, length: int, filters: DataFrame, spikes: DataFrame, targets: DataFrame,
+    interferers: DataFrame, seconds: DataFrame, T: int, suppression: str, criterion: str, max_fp_rate_hz: float,
+) -> Calibration:
     tolerance, apart = T // 4, T // 2
     if suppression == "window":
-        found = signal.detect(test, length, fitted.filters, T, suppress=apart, edge="zero", thresholded=False)
+        found = signal.detect(chunks, length, filters, T, suppress=apart, edge="zero", thresholded=False)
     else:
-        trace = signal.score_trace(test, length, fitted.filters, T)
+        trace = signal.score_trace(chunks, length, filters, T)
         found = pk.priority_peaks(pk.local_maxima(trace, KEYS), KEYS, apart)
-    late = spikes.join(splits, "recording_id").where(F.col("spike_time") >= F.col("split")).drop("split")
-    truth = targets.join(late.withColumnRenamed("unit_id", "target_id"), KEYS).select(*KEYS, "spike_time")
-    others = interferers.join(late, ["recording_id", "unit_id"]).select(*KEYS, "unit_id", "spike_time")
-    duration = splits.join(lengths, "recording_id").select(
-        "recording_id", ((F.col("n_samples") - F.col("split")) / F.lit(float(fs))).alias("_seconds")
-    )
+    truth = targets.join(spikes.withColumnRenamed("unit_id", "target_id"), KEYS).select(*KEYS, "spike_time")
+    others = interferers.join(spikes, ["recording_id", "unit_id"]).select(*KEYS, "unit_id", "spike_time")
     curve = sweep.sweep(found, truth, KEYS, tolerance, interferers=others, guard=1e-9)
     curve = cut_lineage(
-        curve.join(duration, "recording_id").withColumn("fp_rate_hz", F.col("total_fp") / F.col("_seconds")).drop("_seconds")
+        curve.join(seconds, "recording_id").withColumn("fp_rate_hz", F.col("total_fp") / F.col("_seconds")).drop("_seconds")
     )
     rates = curve.drop("fp_by_interferer")
     best = (
@@ -182,17 +217,13 @@ def calibrate(
         if criterion == "best_f1"
         else sweep.best_recall(rates, KEYS, max_fp_rate_hz)
     )
-    filters = fitted.filters.drop("threshold").join(best.select(*KEYS, "threshold"), KEYS)
-    silent = (
-        fitted.filters.select(*KEYS).join(curve.select(*KEYS).distinct(), KEYS, "left_anti")
-        .withColumn("reason", F.lit("no candidate peaks"))
-    )
-    unmet = (
-        curve.select(*KEYS).distinct().join(best.select(*KEYS), KEYS, "left_anti")
-        .withColumn("reason", F.lit("no threshold within the false positive rate"))
+    chosen = filters.drop("threshold").join(best.select(*KEYS, "threshold"), KEYS)
+    swept = curve.select(*KEYS).distinct()
+    silent = filters.select(*KEYS).distinct().join(swept, KEYS, "left_anti").withColumn("reason", F.lit("no candidate peaks"))
+    unmet = swept.join(best.select(*KEYS), KEYS, "left_anti").withColumn(
+        "reason", F.lit("no threshold within the false positive rate")
     )
-    failed = problems(fitted, targets, train_spikes).unionByName(silent).unionByName(unmet)
-    return Calibration(filters, curve, failed)
+    return Calibration(chosen, curve, silent.unionByName(unmet))
 
 
 def data_fractions(
