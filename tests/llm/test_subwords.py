@@ -24,7 +24,7 @@ def texts():
 
 
 def total(words, ids):
-    weight = {hit[1]: hit[0] for hit in words.weight.values() if hit}
+    weight = {i: words.weight[text] for text, i in words.ids.items()}
     spelled = b"".join(words.bytes_of[i] for i in ids if i not in weight)
     return sum(weight.get(i, 0) for i in ids) + words.unknown * len(spelled.decode())
 

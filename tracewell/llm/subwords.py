@@ -55,7 +55,9 @@ class Vocabulary:
         n = model.vocab_size()
         self.bytes_of: list[bytes] = [b""] * n
         self.byte_id = [-1] * 256
-        self.weight: dict[str, tuple[int, int] | None] = {}
+        #: weights of pieces, NEVER for what only begins a piece
+        self.weight: dict[str, int] = {}
+        self.ids: dict[str, int] = {}
         found: list[tuple[str, int, float]] = []
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -67,62 +69,48 @@ class Vocabulary:
                 self.bytes_of[i] = text.encode()
                 found.append((text, i, model.get_score(i)))
         for text, i, score in found:
-            self.weight[text] = (round(score * SCALE) + (i * 2654435761 >> 7) % (SCALE // 4), i)
+            self.weight[text] = round(score * SCALE) + (i * 2654435761 >> 7) % (SCALE // 4)
+            self.ids[text] = i
         self.unknown = round((min(s for _, _, s in found if s > -1e6) - 10) * SCALE)
         self.longest = max(len(text) for text, _, _ in found)
         for text, _, _ in found:  # what pieces begin with: a search ends where nothing goes on
             for k in range(1, len(text)):
-                self.weight.setdefault(text[:k], None)
+                self.weight.setdefault(text[:k], NEVER)
         # a text may be cut before a blank that follows another character, and around line ends
         self.cuttable = not any("\n" in t or " " in t.lstrip(" ") for t, _, _ in found)
         self.memory = IdMemory(self.encode_words)
 
-    def forward(self, text: str, start: int) -> list[int]:
-        """Best score from `start` to every position (NEVER where no path leads)."""
-        weight, longest, n = self.weight, self.longest, len(text)
-        best = [NEVER] * (n + 1)
+    def search(self, text: str, start: int) -> tuple[list[int], list[int]]:
+        """Best score from `start` to every position (NEVER where no path leads), and whence."""
+        weight, known, longest, n = self.weight.get, self.ids, self.longest, len(text)
+        best, back = [NEVER] * (n + 1), [0] * (n + 1)
         best[start] = 0
         for i in range(start, n):
             here = best[i]
             if here == NEVER:
                 continue
-            single = False
             for j in range(i + 1, min(n, i + longest) + 1):
-                part = text[i:j]
-                if part not in weight:
+                score = weight(text[i:j])
+                if score is None:
                     break
-                hit = weight[part]
-                if hit is not None:
-                    single |= j == i + 1
-                    if here + hit[0] > best[j]:
-                        best[j] = here + hit[0]
-            if not single and here + self.unknown > best[i + 1]:
-                best[i + 1] = here + self.unknown
-        return best
+                score += here
+                if score > best[j]:
+                    best[j], back[j] = score, i
+            if text[i] not in known and here + self.unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = here + self.unknown, i
+        return best, back
+
+    def forward(self, text: str, start: int) -> list[int]:
+        return self.search(text, start)[0]
 
     def encode_word(self, text: str) -> list[int]:
-        weight, longest, n = self.weight, self.longest, len(text)
-        best, back = [NEVER] * (n + 1), [(0, -1)] * (n + 1)
-        best[0] = 0
-        for i in range(n):
-            here = best[i]
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                part = text[i:j]
-                if part not in weight:
-                    break
-                hit = weight[part]
-                if hit is not None:
-                    single |= j == i + 1
-                    if here + hit[0] > best[j]:
-                        best[j], back[j] = here + hit[0], (i, hit[1])
-            if not single and here + self.unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.unknown, (i, -1)
-        out: list[int] = []
+        _, back = self.search(text, 0)
+        n, out = len(text), []
         while n:
-            i, piece = back[n]
-            out += [piece] if piece >= 0 else [self.byte_id[b] for b in reversed(text[i:n].encode())]
-            n = i
+            part = text[back[n] : n]
+            piece = self.ids.get(part)
+            out += [self.byte_id[b] for b in reversed(part.encode())] if piece is None else [piece]
+            n = back[n]
         return out[::-1]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
