@@ -68,7 +68,7 @@ def test_quality_edges(spark):
 def test_marginals_are_those_of_all_label_sequences():
     rng = np.random.default_rng(4)
     model = quality.Field(weights=rng.normal(0, 1, quality.INPUTS), change=rng.normal(0, 1, (2, 2)))
-    lines = quality.lines_of(*quality.utf8(pa.array(["one two\nTHREE!!\nfour\nfive | six", "alone", "", "x\ny\nz"])))
+    lines = quality.joined(pa.array(["one two\nTHREE!!\nfour\nfive | six", "alone", "", "x\ny\nz"]))
     got, _ = model.marginals(lines)
     score = model.potentials(lines)
     at = 0

@@ -13,7 +13,7 @@ from tracewell.llm.text import gather
 class IdMemory:
     """Remembers the ids of words; beyond `limit` words the memory starts anew."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self.reset()
 

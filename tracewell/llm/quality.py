@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import SPACE, Rolling, mixed, pieces, utf8, words
+from tracewell.llm.text import SPACE, Rolling, mixed, pieces, words
 
-MAX_DOCS, MAX_CHARS = 3000, 16_000
+MAX_DOCS, MAX_CHARS = 2500, 12_000
 ROUNDS, STEPS, RIDGE = 3, 120, 1.0
 SCHEMA = "doc_id long, score double, predicted int, n_lines int, bad_share double"
 
@@ -85,7 +85,7 @@ def lines_of(data: np.ndarray, offs: np.ndarray) -> Lines:
     rows = len(offs) - 1
     starts, ends, first = words(data, offs, ~SPACE)
     if not len(starts):
-        return Lines(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int64), rows)
+        return Lines(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int32), rows)
     cut = np.zeros(len(data) + 1, bool)
     cut[1:] = data == 0x0A
     cut[offs] = True
@@ -132,7 +132,18 @@ def lines_of(data: np.ndarray, offs: np.ndarray) -> Lines:
     follower = np.zeros_like(bins)
     follower[:-1] = np.where((row[1:] == row[:-1])[:, None], bins[1:], 0)
     every = np.concatenate([neighbour, bins, follower], axis=1)
-    return Lines(row, length, every + WIDTH * np.arange(FEATURES), rows)
+    return Lines(row, length, (every + WIDTH * np.arange(FEATURES)).astype(np.int32), rows)
+
+
+def joined(texts: pa.Array) -> Lines:
+    """The lines of all texts, found a piece at a time."""
+    parts = [(row, lines_of(data, offs)) for row, _, data, offs in pieces(texts)]
+    return Lines(
+        np.concatenate([row + part.row for row, part in parts]),
+        np.concatenate([part.length for _, part in parts]),
+        np.concatenate([part.inputs for _, part in parts]),
+        len(texts),
+    )
 
 
 @dataclass
@@ -237,7 +248,7 @@ def train(texts: list[str], good: np.ndarray, rounds: int = ROUNDS, steps: int =
     if not len(good) or good.min() == good.max():
         model.constant = float(good.mean()) if len(good) else 0.5
         return model
-    lines = lines_of(*utf8(pa.array(texts, pa.string())))
+    lines = joined(pa.array(texts, pa.string()))
     of_doc = 1 - good[lines.row]
     bad = of_doc.copy()
     for _ in range(rounds):
