@@ -1,7 +1,7 @@
 """Whole-batch text helpers: many documents of an Arrow column at once as NumPy arrays.
 
 Texts are UTF-8 bytes in one buffer with row offsets. Null texts are empty texts. Batches are
-worked on in pieces of a few megabytes, so memory is bounded by the piece or by one text.
+worked on in pieces of about a megabyte, so memory is bounded by the piece or by one text.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -130,7 +130,19 @@ class Rolling:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
-def documents(spark, sf_dir: str) -> DataFrame:
+#: rows of whole texts that travel together to a Python worker
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch: both ends hold a whole batch of texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
