@@ -133,8 +133,11 @@ def first_digits(docs: DataFrame, window: int, digit: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def several(rows: DataFrame, by: list[str], atleast: int = 2) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= atleast).select(*by)
+def several(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Groups of two rows and more. They are staged: a join with them then reads both sides from
+    shuffles, so a hot group's partition can be split."""
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return cut_lineage(found.select(*by))
 
 
 def with_text(docs: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
@@ -144,13 +147,17 @@ def with_text(docs: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
     return left.join(right, same, how)
 
 
-def refined(rows: DataFrame, group: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
+def shared_rows(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Rows that are not alone in their group."""
+    return cut_lineage(rows.join(several(rows, group), group, "left_semi"))
+
+
+def refined(alive: DataFrame, group: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose kind occurs again in their group, one row of each kind of undecided groups).
 
-    Rows alone in their group end here. A group is undecided if it has several kinds, one of
-    them alone. Only counts and one row per kind are gathered, never a group.
+    A group is undecided if it has several kinds, one of them alone. Only counts and one row
+    per kind are gathered, never a group.
     """
-    alive = cut_lineage(rows.join(several(rows, group), group, "left_semi"))
     kinds = cut_lineage(
         alive.groupBy(*group, kind).agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "lo", "hi", "at")).alias("one")
@@ -158,7 +165,7 @@ def refined(rows: DataFrame, group: list[str], kind: str) -> tuple[DataFrame, Da
     )
     equal = alive.join(kinds.where("n > 1").select(*group, kind), [*group, kind], "left_semi")
     mixed = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    undecided = mixed.where("kinds > 1 and least = 1").select(*group)
+    undecided = cut_lineage(mixed.where("kinds > 1 and least = 1").select(*group))
     return equal.select(*ROW, "lo", "hi"), kinds.join(undecided, group, "left_semi").select("key", "one.*")
 
 
@@ -218,14 +225,14 @@ def repeated_spans(docs: DataFrame, window: int, digit: int) -> tuple[DataFrame,
     Texts are shuffled whole once, to keep those that share any key; later passes move these.
     """
     firsts = cut_lineage(first_digits(docs, window, digit))
-    shared = cut_lineage(firsts.join(several(firsts, ["key"]), "key", "left_semi"))
+    shared = shared_rows(firsts, ["key"])
     touched = shared.select(*ROW).distinct()
     near = cut_lineage(with_text(docs, touched, "left_semi"))
     equal, ranges = refined(shared, ["key"], "stretch")
     blocks = cut_lineage(digests(near, ranges, STEP, window))
-    also, ranges = refined(blocks, ["key", "block", "core"], "whole")
-    windows = cut_lineage(digests(near, ranges, 1, window))
     same = ["key", "block", "core"]
+    also, ranges = refined(shared_rows(blocks, same), same, "whole")
+    windows = cut_lineage(digests(near, ranges, 1, window))
     twice = windows.join(several(windows, same), same, "left_semi").select(*ROW, "lo", "hi")
     return equal.union(also).union(twice).withColumn("hi", F.col("hi") + window), near
 
