@@ -27,6 +27,7 @@ with a null label or id are not learned from. Only the named columns are read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import ALNUM, pieces, strings, words
+from tracewell.llm.text import ALNUM, gather, pieces, strings, words
+from tracewell.session import cut_lineage
 
 MAX_EXAMPLES = 6000
 MAX_TERMS = 4000
-MIN_CHI2 = 20.0
+MIN_CHI2 = 25.0
 NEIGHBOURS = 15
 BLOCK = 32
 PREFIXES = range(3, 10)
@@ -81,7 +83,7 @@ class Terms:
     def of_word(self, word: bytes) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             found = tuple(self.stems[t] for t in prefixes_of(word) if t in self.stems)
             self.known[word] = found
@@ -119,6 +121,8 @@ class Index:
     offset: float = 0.0
 
     def __post_init__(self):
+        #: neighbours of vectors met before; the object stays in its worker from task to task
+        self.answers: dict[bytes, tuple[list[int], list[float]]] = {}
         n, terms = len(self.ids), len(self.idf)
         self.blocks = -(-n // BLOCK) if n else 0
         lists: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
@@ -145,23 +149,49 @@ class Index:
         bound = np.zeros(self.blocks)
         for t, w in zip(terms.tolist(), weight.tolist()):
             bound[self.block_of[t]] += w * self.block_max[t]
-        best: list[tuple[float, int, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            # bounds and similarities are summed in the same order, a tie may hold a smaller id
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1][0] - 1e-12:
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, score, at, take = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(order):
+            # a tie may hold a smaller id, so only lower bounds end the search
+            if len(found) == k and bound[order[at]] < score[-1] - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weight.tolist()):
-                at = int(np.searchsorted(self.block_of[t], block))
-                if at < len(self.block_of[t]) and self.block_of[t][at] == block:
-                    a, b = self.block_start[t][at : at + 2]
-                    score[self.examples[t][a:b] - block * BLOCK] += w * self.weights[t][a:b]
-            for i in np.flatnonzero(score > 0).tolist():
-                example = block * BLOCK + i
-                if example != without:
-                    best.append((float(score[i]), -int(self.ids[example]), example))
-            best = sorted(best, reverse=True)[:k]
-        return [b[2] for b in best], [b[0] for b in best]
+            # ever more blocks at once, so many ties cost few steps
+            opened = order[at : at + take]
+            at, take = at + take, 2 * take
+            part = self.similarities(opened, terms, weight)
+            where = np.flatnonzero(part > 0)
+            example = opened[where // BLOCK] * BLOCK + where % BLOCK
+            kept = example != without
+            found = np.concatenate([found, example[kept]])
+            score = np.concatenate([score, part[where[kept]]])
+            best = np.lexsort((self.ids[found], -score))[:k]
+            found, score = found[best], score[best]
+        return found.tolist(), score.tolist()
+
+    def similarities(self, opened: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Similarity to all examples of the opened blocks, block by block."""
+        out = np.zeros(len(opened) * BLOCK)
+        for t, w in zip(terms.tolist(), weight.tolist()):
+            if not len(self.block_of[t]):
+                continue
+            at = np.searchsorted(self.block_of[t], opened)
+            at[at == len(self.block_of[t])] = 0
+            place = np.flatnonzero(self.block_of[t][at] == opened)
+            first, last = self.block_start[t][at[place]], self.block_start[t][at[place] + 1]
+            posts = gather(np.arange(len(self.weights[t])), first, last - first)
+            where = self.examples[t][posts] % BLOCK + np.repeat(place, last - first) * BLOCK
+            out[where] += w * self.weights[t][posts]
+        return out
+
+    def neighbours(self, terms: np.ndarray, k: int) -> tuple[list[int], list[float]]:
+        """nearest() of a text's terms; texts with equal terms have equal vectors."""
+        key = terms.tobytes()
+        if key not in self.answers:
+            if len(self.answers) > 100_000:
+                self.answers.clear()
+            self.answers[key] = self.nearest(terms, self.vector(terms), k)
+        return self.answers[key]
 
     def vote(self, examples: list[int], similar: list[float]) -> float:
         """Log odds of the votes, similarities as weights, one vote for the prior."""
@@ -191,8 +221,8 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30))))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> list:
-    """At most `limit` labelled rows (id, text, label) to learn from, the first by hash of id."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
+    """doc_id, y, text of at most `limit` labelled rows to learn from, the first by hash of id."""
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn
     )
@@ -204,36 +234,64 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
         F.broadcast(chosen), "doc_id"
     )
-    return rows.dropDuplicates(["text"]).collect()
+    one = rows.groupBy(F.xxhash64("text").alias("same"), "text").agg(F.min(F.struct("doc_id", "y")).alias("first"))
+    return cut_lineage(one.select("first.doc_id", "first.y", "text").repartition(32, "doc_id"))
 
 
-def choose_terms(texts: list[str], y: np.ndarray, limit: int, min_chi2: float) -> list[tuple[bytes, int]]:
+def choose_terms(rows: DataFrame, limit: int, min_chi2: float) -> list[tuple[bytes, int]]:
     """Terms whose presence goes with the label, by chi-squared, the strongest first."""
-    n, positive = len(y), int(y.sum())
-    total: dict[tuple[bytes, int], int] = {}
-    toxic: dict[tuple[bytes, int], int] = {}
-    for row, _, distinct, codes, first in coded_words(pa.array(texts, pa.string())):
-        stems = [prefixes_of(w) for w in distinct.to_pylist()]
-        for r in range(len(first) - 1):
-            count: dict[bytes, int] = {}
-            for w, c in zip(*(x.tolist() for x in np.unique(codes[first[r] : first[r + 1]], return_counts=True))):
-                for stem in stems[w]:
-                    count[stem] = count.get(stem, 0) + c
-            for stem, c in count.items():
-                for times in TIMES:
-                    if c < times:
-                        break
-                    total[stem, times] = total.get((stem, times), 0) + 1
-                    if y[row + r]:
-                        toxic[stem, times] = toxic.get((stem, times), 0) + 1
-    scored = []
-    for term, c in total.items():
-        a = toxic.get(term, 0)
-        top = n * (a * (n - positive - c + a) - (c - a) * (positive - a)) ** 2
-        under = c * (n - c) * positive * (n - positive)
-        if c > 1 and under and top / under >= min_chi2:
-            scored.append((-top / under, term))
-    return [term for _, term in sorted(scored)[:limit]]
+
+    def run(batches):
+        total: dict[tuple[bytes, int], list[int]] = {}
+        for batch in batches:
+            y = batch.column(1).to_pylist()
+            for row, _, distinct, codes, first in coded_words(batch.column(2)):
+                stems = [prefixes_of(w) for w in distinct.to_pylist()]
+                for r in range(len(first) - 1):
+                    count: dict[bytes, int] = {}
+                    mine = np.unique(codes[first[r] : first[r + 1]], return_counts=True)
+                    for w, c in zip(*(x.tolist() for x in mine)):
+                        for stem in stems[w]:
+                            count[stem] = count.get(stem, 0) + c
+                    for stem, c in count.items():
+                        for times in TIMES:
+                            if c >= times:
+                                both = total.setdefault((stem, times), [0, 0])
+                                both[0] += 1
+                                both[1] += y[row + r]
+        items = iter(total.items())
+        while part := list(islice(items, 50_000)):
+            terms, counts = zip(*part)
+            yield pa.record_batch(
+                [
+                    pa.array([t for t, _ in terms], pa.binary()), pa.array([n for _, n in terms], pa.int32()),
+                    pa.array([n for n, _ in counts], pa.int64()), pa.array([n for _, n in counts], pa.int64()),
+                ],
+                ["stem", "times", "n", "toxic"],
+            )
+
+    n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counted = rows.mapInArrow(run, "stem binary, times int, n long, toxic long").groupBy("stem", "times").agg(
+        F.sum("n").cast("double").alias("c"), F.sum("toxic").cast("double").alias("a")
+    )
+    a, c = F.col("a"), F.col("c")
+    top = n * F.pow(a * (n - positive - c + a) - (c - a) * (positive - a), F.lit(2))
+    under = c * (n - c) * (float(positive) * (n - positive))
+    strong = counted.where((c > 1) & (under > 0)).withColumn("chi2", top / under).where(F.col("chi2") >= min_chi2)
+    best = strong.orderBy(F.desc("chi2"), "stem", "times").limit(limit)
+    return [(bytes(r.stem), r.times) for r in best.collect()]
+
+
+def examples(rows: DataFrame, terms: list[tuple[bytes, int]]) -> list:
+    """doc_id, y and terms of the examples; not their texts."""
+
+    def run(batches):
+        known = Terms(terms)
+        for batch in batches:
+            found = [t.tolist() for _, t in known.found(batch.column(2))]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "y", "terms"])
+
+    return sorted(rows.mapInArrow(run, "doc_id long, y int, terms array<long>").collect())
 
 
 def document_frequencies(docs: DataFrame, terms: list[tuple[bytes, int]]) -> tuple[np.ndarray, int]:
@@ -264,24 +322,22 @@ def fit(
     min_chi2: float = MIN_CHI2,
     k: int = NEIGHBOURS,
 ) -> tuple[list[tuple[bytes, int]], Index] | None:
-    rows = sorted(sample(docs, labels, label, learn, max_examples), key=lambda r: r.doc_id)
-    if not rows:
+    rows = sample(docs, labels, label, learn, max_examples)
+    terms = choose_terms(rows, max_terms, min_chi2)
+    found = examples(rows, terms)
+    if not found:
         return None
-    y = np.array([r.y for r in rows])
-    texts = [r.text for r in rows]
-    terms = choose_terms(texts, y, max_terms, min_chi2)
     frequency, n = document_frequencies(docs, terms)
     idf = np.log((1 + n) / (1 + frequency)) + 1 if terms else np.zeros(0)
-    counter = Terms(terms)
-    index = Index(np.zeros(0, np.int64), y[:0], [], idf, 0.5)
-    vectors = [(t, index.vector(t)) for _, t in counter.found(pa.array(texts, pa.string()))]
+    y = np.array([r.y for r in found])
+    blank = Index(np.zeros(0, np.int64), y[:0], [], idf, 0.5)
+    at = [np.array(r.terms, np.int64) for r in found]
+    vectors = [(t, blank.vector(t)) for t in at]
     # examples with the same leading term are neighbours, so blocks differ in their maxima
     lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
-    order = sorted(range(len(rows)), key=lambda i: (y[i], lead[i], rows[i].doc_id))
+    order = sorted(range(len(found)), key=lambda i: (y[i], lead[i], found[i].doc_id))
     prior = float(np.clip(y.mean(), 0.5 / len(y), 1 - 0.5 / len(y)))
-    index = Index(
-        np.array([rows[i].doc_id for i in order]), y[order], [vectors[i] for i in order], idf, prior
-    )
+    index = Index(np.array([found[i].doc_id for i in order]), y[order], [vectors[i] for i in order], idf, prior)
     index.calibrate(k)
     return terms, index
 
@@ -311,7 +367,7 @@ def score_toxicity(
         for batch in batches:
             scores, evidence = [], []
             for _, found in counter.found(batch.column(1)):
-                examples, similar = index.nearest(found, index.vector(found), k)
+                examples, similar = index.neighbours(found, k)
                 scores.append(index.score(index.vote(examples, similar)))
                 evidence.append(
                     [
