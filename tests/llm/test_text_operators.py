@@ -188,6 +188,36 @@ def test_exact_and_edited_leaks_are_found(spark, block_bytes):
     assert decontaminate.contamination(table.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("exact_copy", [False, True])
+def test_leaks_edited_every_five_words_are_those_of_alignment(spark, exact_copy):
+    rng = random.Random(12)
+    item = lambda n: [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+    items = [item(15 + k) for k in range(26)]
+    docs = [items[k] if exact_copy else item(20) for k in range(26)]
+    for k, words in enumerate(items):
+        for kind in ("replace", "delete", "insert", "mixed"):
+            copy = list(words)
+            for at in reversed(range(4, len(copy), 5)):
+                how = rng.choice(["replace", "delete", "insert"]) if kind == "mixed" else kind
+                copy[at : at + (how != "insert")] = [] if how == "delete" else [f"new{k}"]
+            docs.append(item(30) + copy + item(30))
+    # a leak may be stretched by nearly as many gaps as it has words
+    docs.append(item(5) + [w for i, v in enumerate(items[25]) for w in ([v] if i % 4 else [*item(3), v])] + item(5))
+    got = decontaminate.contamination(
+        spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"),
+    ).collect()
+    number = {w: i for i, w in enumerate(sorted({w for words in items + docs for w in words}))}
+    coded = lambda words: np.array([number[w] for w in words])
+    exact = {
+        (d, k): score / len(words)
+        for d, text in enumerate(docs) for k, words in enumerate(items)
+        if (score := decontaminate.smith_waterman(coded(words), coded(text))[0]) >= 0.5 * len(words)
+    }
+    assert len(exact) >= 26 * 4
+    assert {(r.doc_id, r.item_id): r.score for r in got} == pytest.approx(exact)
+
+
 def test_a_common_item_is_found_everywhere(spark):
     rng = random.Random(5)
     item = [rng.choice(WORDS) + str(k) for k in range(20)]

@@ -1,13 +1,11 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman on what they find.
+"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman on what they find.
 
 The benchmark is a stated set of queries. It is worked on in blocks of a bounded number of bytes,
-and only a block is sent to the executors. For each block:
-
-1. one pass counts, over all documents, how often each n-gram of the block occurs;
-2. of every few neighbouring n-grams of an item the rarest becomes a seed. Rare is relative: an
-   item that a third of all documents hold has seeds like any other;
-3. a second pass finds the seeds in the documents and aligns the words around them with the item
-   by Smith-Waterman. The texts are at hand there, so only verified leaks leave a task.
+and only a block is sent to the executors. For each block one pass finds its n-grams in the
+documents and aligns the words around them with the item by Smith-Waterman. Every n-gram of a
+passage is a seed: an edited copy breaks the n-grams around its edits, and which ones are left
+cannot be told from how often they occur. The texts are at hand in the pass, so only verified
+leaks leave a task.
 
 The score is the alignment's (a match counts 1, a mismatch or a gap costs one half) divided by
 the words of the item's passage. Long items are cut into overlapping passages, so an alignment
@@ -30,8 +28,6 @@ from pyspark.sql import functions as F
 from tracewell.llm.text import ALNUM, Rolling, mixed, pieces, utf8, words
 
 GRAM = 3
-#: neighbouring n-grams of which the rarest becomes a seed
-STRETCH = 6
 PASSAGE, OVERLAP = 128, 32
 MIN_SCORE = 0.5
 PENALTY = 0.5
@@ -66,7 +62,7 @@ def whole_grams(first: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 class Passages:
-    """A block of items: their passages as word hashes, all n-grams, and the chosen seeds."""
+    """A block of items: their passages as word hashes, and all their n-grams as seeds."""
 
     def __init__(self, ids: list[int], texts: list[str | None], size: int):
         self.size = size
@@ -81,24 +77,13 @@ class Passages:
                 if len(part) >= size:
                     self.item.append(item)
                     self.words.append(part)
-        grams = [gram_hashes(w, size) for w in self.words]
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        self.filter = bits_of(self.grams)
-
-    def choose(self, counts: dict[int, int], stretch: int) -> None:
-        """Seeds, sorted, and the (passage, offset) places of each."""
         seeds: dict[int, list[tuple[int, int]]] = {}
         for p, w in enumerate(self.words):
-            grams = gram_hashes(w, self.size).tolist()
-            rank = [(counts.get(g, 0), g) for g in grams]
-            chosen = {
-                min(range(a, min(a + stretch, len(grams))), key=lambda i: (rank[i], i))
-                for a in range(max(1, len(grams) - stretch + 1))
-            }
-            for i in chosen:
-                seeds.setdefault(grams[i], []).append((p, i))
+            for i, gram in enumerate(gram_hashes(w, size).tolist()):
+                seeds.setdefault(gram, []).append((p, i))
+        #: seeds, sorted, and the (passage, offset) places of each
         self.seeds = np.array(sorted(seeds), np.uint64)
-        self.places = [seeds[g] for g in sorted(seeds)]
+        self.places = [seeds[g] for g in self.seeds.tolist()]
         self.filter = bits_of(self.seeds)
 
 
@@ -146,33 +131,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best, end - back, end
 
 
-def gram_counts(docs: DataFrame, block, size: int) -> dict[int, int]:
-    """How often the block's n-grams occur in all documents; summed in the tasks first."""
-
-    def run(batches):
-        known = block.value
-        total = np.zeros(len(known.grams), np.int64)
-        for batch in batches:
-            for _, _, data, offs in pieces(pc.utf8_lower(batch.column(1))):
-                hashes, first = word_hashes(data, offs)
-                grams = gram_hashes(hashes, size)
-                place, at = hits(grams, known.grams, known.filter)
-                whole = whole_grams(first, len(grams), size)[place]
-                total += np.bincount(at[whole], minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(known.grams[found].view(np.int64)), pa.array(total[found])], ["gram", "n"])
-
-    counted = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    # as many rows at most as the block has n-grams
-    return {r.gram & ((1 << 64) - 1): r.n for r in counted.collect()}
-
-
 def leaks_of_row(hashes: np.ndarray, found: list[tuple[int, int, int]], known: Passages, min_score: float) -> dict:
     """item -> (score, passage words, first, last word); found: (passage, offset, place)."""
     ranges: dict[int, list[list[int]]] = {}
     for p, offset, place in sorted(found, key=lambda f: (f[0], f[2])):
         m = len(known.words[p])
-        lo, hi = max(0, place - offset - m // 2), min(len(hashes), place - offset + m + m // 2)
+        # a leak's gaps are fewer than the item's words, so it lies within them on either side
+        lo, hi = max(0, place - offset - m), min(len(hashes), place - offset + 2 * m)
         mine = ranges.setdefault(p, [])
         # neighbouring candidates share a window, but a window stays bounded
         if mine and lo <= mine[-1][1] and hi - mine[-1][0] <= 8 * m:
@@ -242,17 +207,16 @@ def drop_leaks(docs: DataFrame, block, text_col: str, size: int, min_score: floa
     return docs.mapInArrow(run, docs.schema)
 
 
-def seeded_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, size: int, stretch: int, block_bytes: int):
-    """The benchmark in blocks with their seeds, each sent to the executors; docs: id, text."""
-    spark = docs.sparkSession
+def seeded_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, size: int, block_bytes: int):
+    """The benchmark in blocks with their seeds, each sent to the executors."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("body"))
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()
         known = Passages([r.item for r in rows], [r.body for r in rows], size)
-        if len(known.grams):
-            known.choose(gram_counts(docs, spark.sparkContext.broadcast(known), size), stretch)
+        if len(known.seeds):
             yield spark.sparkContext.broadcast(known)
 
 
@@ -264,17 +228,16 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     size: int = GRAM,
-    stretch: int = STRETCH,
     min_score: float = MIN_SCORE,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """doc_id, item_id, score, n_words, first_word, last_word of every leak, the best per pair.
 
-    A passage that leaked with a run of stretch + size - 1 words unharmed is always found.
+    A passage that leaked with a run of `size` words unharmed is always found.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for block in seeded_blocks(chosen, benchmark, item_col, item_text_col, size, stretch, block_bytes):
+    for block in seeded_blocks(benchmark, item_col, item_text_col, size, block_bytes):
         out = out.union(find_leaks(chosen, block, size, min_score))
     return out
 
@@ -287,12 +250,10 @@ def without_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     size: int = GRAM,
-    stretch: int = STRETCH,
     min_score: float = MIN_SCORE,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The documents that hold no leak, with all their columns; no shuffle."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for block in seeded_blocks(chosen, benchmark, item_col, item_text_col, size, stretch, block_bytes):
+    for block in seeded_blocks(benchmark, item_col, item_text_col, size, block_bytes):
         docs = drop_leaks(docs, block, text_col, size, min_score)
     return docs
