@@ -124,3 +124,31 @@ def test_similar_texts_are_one_group(spark):
     assert len(gone) > 30 and not {i for f in families for i in f if parent[i] == i} - set(got)
     assert len(gone - set(got)) >= 0.9 * len(gone)
     assert simhash.one_of_similar(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [64, 4])
+def test_similar_texts_as_by_all_pairs_on_a_hot_passage(spark, bucket):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(120)]
+    texts = []
+    for k in range(150):
+        own = [word() for _ in range(rng.choice([3, 8, 14, 20, 30, 60]))]
+        words = passage[: rng.choice([60, 120])] + own if k % 2 else own + passage
+        texts += [words, edited(rng, words, rng.choice([0.01, 0.02, 0.03]))][: 1 + (k % 3 == 0)]
+    for k in range(40):
+        words = [word() for _ in range(rng.randint(5, 150))]
+        texts += [words, edited(rng, words, 0.02), words + [word() for _ in range(len(words) // 5)]]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_similar(docs, bucket=bucket).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert got == set(root) and 40 < len(got) < len(texts) - 40

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
@@ -197,72 +197,157 @@ def _only(docs: DataFrame, least: DataFrame, id_col: str, text_col: str) -> Data
 # Near duplicates by similarity ---------------------------------------------------------------
 #
 # Texts that share 80 % of their shingles differ in about 15 % of a SimHash's bits, far beyond any
-# ball that can be emitted for a long fingerprint. So several short fingerprints are used, each
-# within a block: the least of one hash of the shingles. Similar texts mostly share the block
-# and nearly the fingerprint; other texts share no block, however many there are.
+# ball that can be emitted. So the join is by prefixes: with all shingles in one order, two sets
+# of that similarity share a shingle within their first fifth. Any order is right; common shingles
+# come last, so that a passage of many texts is in few prefixes.
 
-TABLES, BITS = 7, 12
-#: one hash function per table, as odd multipliers: fixed values
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
-               0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
+#: counters by which shingles are ordered, and rows they are summed in
+SLOTS, SLOT_PARTS = 1 << 20, 64
+#: members of a bucket up to which all its pairs are candidates at once
+BUCKET = 64
 
 
-def forms(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, mark, form, blocks, prints of every row; `docs` has doc_id, mark and text.
+def slot_counts(docs: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of all texts fall on each counter; `docs` has text."""
+    step = SLOTS // SLOT_PARTS
 
-    The form is a hash of the set of shingles: rows of one form are copies of each other.
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, data, offs in pieces(batch.column(0)):
+                hashes, _ = shingle_hashes(data, offs, size)
+                total += np.bincount((hashes & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        parts = [total[k * step : (k + 1) * step].tobytes() for k in range(SLOT_PARTS)]
+        yield pa.record_batch([pa.array(range(SLOT_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = np.zeros(step, np.int64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_py(), np.int64)
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    found = docs.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(summed, schema).collect()
+    out = np.zeros(SLOTS, np.int64)  # a fixed number of counters
+    for r in found:
+        out[r.part * step : (r.part + 1) * step] = np.frombuffer(bytes(r.counts), np.int64)
+    return out
+
+
+def forms(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc_id, mark, form, n, prefix of every row; `docs` has doc_id, mark and text.
+
+    The form is a hash of the set of shingles: rows of one form are copies of each other. n is the
+    size of the set, prefix those shingles of which similar sets share at least one.
     """
-    schema = "doc_id long, mark long, form long, blocks array<long>, prints array<int>"
+    schema = "doc_id long, mark long, form long, n int, prefix array<long>"
+    order = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, size))
 
     def run(batches):
         for batch in batches:
             for row, end, data, offs in pieces(batch.column(2)):
                 hashes, bounds = shingle_hashes(data, offs, size)
-                n = end - row
-                own = np.repeat(np.arange(n), np.diff(bounds))
-                sets = np.unique(np.stack([own.astype(np.uint64), hashes]), axis=1)
-                form = np.zeros(n, np.uint64)
-                np.add.at(form, sets[0].astype(np.int64), mixed(sets[1]))
-                filled = np.flatnonzero(np.diff(bounds))
-                blocks, prints = np.zeros((n, TABLES), np.uint64), np.zeros((n, TABLES), np.uint64)
-                for t, by in enumerate(MULTIPLIERS):
-                    other = mixed(hashes * np.uint64(by))
-                    if len(filled):
-                        blocks[filled, t] = np.minimum.reduceat(other, bounds[:-1][filled])
-                    prints[:, t] = majority(other, bounds) & np.uint64((1 << BITS) - 1)
+                rows = end - row
+                own = np.repeat(np.arange(rows), np.diff(bounds))
+                rank = order.value[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
+                by = np.lexsort((hashes, rank, own))
+                own, hashes = own[by], hashes[by]
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])
+                own, hashes = own[new], hashes[new]
+                form = np.zeros(rows, np.uint64)
+                np.add.at(form, own, mixed(hashes))
+                n = np.bincount(own, minlength=rows)
+                place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                length = n - np.ceil(similarity * n - 1e-6).astype(np.int64) + (n > 0)
+                kept = hashes[place < length[own]] >> np.uint64(20)
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(form.view(np.int64)),
-                        pa.array(blocks.view(np.int64).tolist(), pa.list_(pa.int64())),
-                        pa.array(prints.astype(np.int32).tolist(), pa.list_(pa.int32())),
+                        batch.column(0).slice(row, rows), batch.column(1).slice(row, rows), pa.array(form.view(np.int64)),
+                        pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(kept.astype(np.int64))),
                     ],
-                    ["doc_id", "mark", "form", "blocks", "prints"],
+                    ["doc_id", "mark", "form", "n", "prefix"],
                 )
 
     return docs.mapInArrow(run, schema)
 
 
-def colliding(kinds: DataFrame) -> DataFrame:
-    """Pairs (a, b) of forms that share a block and a variant of their fingerprints.
+def buckets(kinds: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(token, form, n, at, prior) of tokens that 2 to `bucket` prefixes hold, and of more common ones.
 
-    A bucket is never gathered: each member meets the bucket's centre, the least by a hash of
-    its own per table, and of its buckets in a table those with the least and the greatest one.
+    prior: the form's token before, of those that other prefixes hold too.
     """
-    table = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
-    masks = F.array(F.lit(0), *[F.lit(1 << b) for b in range(BITS)])
-    rows = (
-        kinds.withColumn("t", table)
-        .select("form", "t", F.get("blocks", F.col("t")).alias("block"), F.get("prints", F.col("t")).alias("print"))
-        .withColumn("mask", F.explode(masks))
-        .select("form", F.xxhash64("t", "block", F.col("print").bitwiseXOR(F.col("mask"))).alias("bucket"), "t")
+    rows = kinds.select("form", "n", F.posexplode("prefix").alias("at", "token"))
+    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    prior = F.lag("token").over(Window.partitionBy("form").orderBy("at"))
+    shared = cut_lineage(rows.join(counted, "token").withColumn("prior", prior))
+    return shared.where(F.col("members") <= bucket).drop("members"), shared.where(F.col("members") > bucket).drop("members")
+
+
+def may_link(l: str, r: str, similarity: float):
+    """Whether two members of a bucket can be similar if its token is the first they share.
+
+    With the same token before, they also met there, so it is not the first.
+    """
+    rest = F.least(F.col(f"{l}.n") - F.col(f"{l}.at"), F.col(f"{r}.n") - F.col(f"{r}.at"))
+    first = F.coalesce(F.col(f"{l}.prior") != F.col(f"{r}.prior"), F.lit(True))
+    return (rest >= similarity / (1 + similarity) * (F.col(f"{l}.n") + F.col(f"{r}.n")) - 1e-6) & first
+
+
+def paired(left: DataFrame, right: DataFrame, condition) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of forms with a common token."""
+    met = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & condition)
+    return met.select(F.least("l.form", "r.form").alias("a"), F.greatest("l.form", "r.form").alias("b")).distinct()
+
+
+def compared(pairs: DataFrame, kinds: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """a, b and their similarity, on whole sets."""
+    pairs = cut_lineage(pairs)
+    wanted = pairs.select(F.col("a").alias("form")).union(pairs.select(F.col("b").alias("form"))).distinct()
+    where = kinds.join(wanted, "form").select("form", "first.*").alias("r")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.mark") == F.col("r.mark"))
+    texts = chosen.alias("l").join(where, same).select("r.form", "l.text")
+    sets = cut_lineage(shingle_sets(texts, size).dropDuplicates(["form"]))
+    both = pairs.join(sets.select(F.col("form").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("form").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
+    return cut_lineage(common.select("a", "b", (F.col("common") / (F.col("all") - F.col("common"))).alias("similarity")))
+
+
+def similar_pairs(kinds: DataFrame, chosen: DataFrame, size: int, similarity: float, bucket: int) -> DataFrame:
+    """Links (a, b) of similar forms that connect all of them.
+
+    In small buckets all pairs are compared. In a large one every member is compared with the
+    centre; those similar to it are connected. The others are compared with all members whose
+    distance to the centre does not rule them out (it is a metric); such a bucket is joined by
+    its token, so its rows are never one task's alone.
+    """
+    few, many = buckets(kinds, bucket)
+    near = may_link("l", "r", similarity)
+    pairs = paired(few, few, (F.col("l.form") < F.col("r.form")) & near)
+    # the member with the fewest shingles of its own is what copies with edits have in common
+    own = many.groupBy("form").agg((-F.count(F.lit(1)) / F.first("n")).alias("own"))
+    rank = F.min(F.struct("own", F.xxhash64("form").alias("rank"), F.col("form").alias("centre")))
+    centres = cut_lineage(many.join(own, "form").groupBy("token").agg(rank.alias("least")).select("token", "least.centre"))
+    met = many.join(centres, "token").where("form != centre")
+    pairs = pairs.union(met.select(F.least("form", "centre"), F.greatest("form", "centre"))).distinct()
+    found = compared(pairs, kinds, chosen, size)
+    known = found.select("a", "b", "similarity").union(found.select("b", "a", "similarity")).toDF("form", "centre", "similarity")
+    far = 1 - F.coalesce("similarity", F.lit(1.0))  # the centre itself is at 0
+    members = cut_lineage(
+        many.join(centres, "token").join(known, ["form", "centre"], "left").select("token", "form", "n", "at", "prior", far.alias("far"))
     )
-    rank = F.struct(F.xxhash64("t", "form").alias("rank"), F.col("form").alias("centre"))
-    centres = rows.groupBy("bucket").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"))
-    centres = cut_lineage(centres.where("n > 1").select("bucket", "least"))
-    met = rows.join(centres, "bucket").groupBy("form", "t").agg(F.min("least").alias("x"), F.max("least").alias("y"))
-    both = met.select(F.col("form").alias("b"), F.explode(F.array("x.centre", "y.centre")).alias("a"))
-    pairs = both.where("a != b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    away = 1 - similarity + 1e-9
+    open_ones = members.where(F.col("far") > away)
+    if not open_ones.isEmpty():
+        # of two open members the pair is made once
+        once = (F.col("r.far") <= away) | (F.col("l.form") < F.col("r.form"))
+        rest = paired(open_ones, members, once & near & (F.abs(F.col("l.far") - F.col("r.far")) <= away))
+        new = rest.join(found, ["a", "b"], "left_anti")
+        found = found.union(compared(new, kinds, chosen, size))
+    return found.where(F.col("similarity") >= similarity - 1e-12).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -286,31 +371,23 @@ def one_of_similar(
     text_col: str = "text",
     size: int = 5,
     similarity: float = 0.8,
+    bucket: int = BUCKET,
 ) -> DataFrame:
     """One row of each group of similar texts, its smallest id, with all columns of `docs`.
 
-    Links join texts whose sets of shingles have a Jaccard similarity of at least `similarity`,
-    verified on the whole sets; groups are the components of links.
+    Links join all texts whose sets of shingles have a Jaccard similarity of at least
+    `similarity`, on the whole sets; groups are the components of links.
     """
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), mark_of(text_col).alias("mark"), F.col(text_col).alias("text")
     )
-    hashed = cut_lineage(forms(chosen, size))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     kinds = cut_lineage(
-        hashed.groupBy("form").agg(F.min(row).alias("first"), F.first("blocks").alias("blocks"), F.first("prints").alias("prints"))
-    )
-    pairs = cut_lineage(colliding(kinds))
-    wanted = pairs.select(F.col("a").alias("form")).union(pairs.select(F.col("b").alias("form"))).distinct()
-    where = kinds.join(wanted, "form").select("form", "first.*").alias("r")
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.mark") == F.col("r.mark"))
-    texts = chosen.alias("l").join(where, same).select("r.form", "l.text")
-    sets = cut_lineage(shingle_sets(texts, size).dropDuplicates(["form"]))
-    compared = pairs.join(sets.select(F.col("form").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("form").alias("b"), F.col("shingles").alias("y")), "b"
+        forms(chosen, size, similarity).groupBy("form").agg(
+            F.min(row).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        )
     )
-    common = F.size(F.array_intersect("x", "y"))
-    edges = compared.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    edges = similar_pairs(kinds, chosen, size, similarity, bucket)
     found = components(edges)
     named = kinds.join(found, F.col("form") == F.col("node"), "left").select(F.coalesce("root", "form").alias("root"), "first")
     return _only(docs, named.groupBy("root").agg(F.min("first").alias("least")), id_col, text_col)
