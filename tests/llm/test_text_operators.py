@@ -255,6 +255,28 @@ def test_license_places_and_fuzzy_notices(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_every_notice_of_a_row_of_notices_has_its_span(spark):
+    rng = random.Random(4)
+    notice = "mozilla public license"
+    texts, planted = ["mozila public license x y mozilla public license "], [[(0, 2, 1), (5, 7, 0)]]
+    for _ in range(40):
+        words, spans = [], []
+        for _ in range(rng.randint(1, 12)):
+            words += ["zz"] * rng.randint(0, 3)
+            copy, edits = list(notice), rng.randint(0, 2)
+            for at in rng.sample([i for i, c in enumerate(notice) if c != " "], edits):
+                copy[at] = "q"
+            spans.append((len(words), len(words) + 2, edits))
+            words += "".join(copy).split()
+        texts.append(" ".join(words))
+        planted.append(spans)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in licenses.scan(docs).collect()}
+    for i, spans in enumerate(planted):
+        mine = [(s.first_word, s.last_word, s.edits) for s in got[i] if s.notice == notice]
+        assert mine == spans
+
+
 # host rules ----------------------------------------------------------------------------------
 
 

@@ -86,6 +86,22 @@ def occurrences(raw: bytes, piece: bytes) -> list[int]:
     return out
 
 
+def matches(pattern, part: bytes) -> list[tuple[int, bytes, int]]:
+    """(start, match, edits) of matches that do not overlap, in order; better ones are taken first.
+
+    The search gives the best match of a stretch, so the stretches before and behind it follow.
+    They reach to the blanks around it: words stay whole.
+    """
+    out, todo = [], [(0, len(part))]
+    while todo:
+        lo, hi = todo.pop()
+        if lo < hi and (m := pattern.search(part, lo, hi)):
+            out.append((m.start(), m.group(), sum(m.fuzzy_counts)))
+            if m.start() < m.end():
+                todo += [(lo, m.start()), (m.end(), hi)]
+    return sorted(out)
+
+
 class Searcher:
     """Patterns and pieces of the phrase lists; made once per task."""
 
@@ -123,15 +139,10 @@ class Searcher:
                     ranges.append([lo, hi])
             for lo, hi in ranges:
                 hi = len(raw) if (end := raw.find(b" ", hi)) < 0 else end
-                part = raw[lo:hi]
-                at = 0
-                while m := pattern.search(part, at):
-                    first = word(lo + m.start())
-                    last = first + m.group().strip().count(b" ")
-                    spans.append(
-                        {"label": label, "notice": notice, "edits": sum(m.fuzzy_counts), "first_word": first, "last_word": last}
-                    )
-                    at = max(m.end(), at + 1)
+                for start, match, n in matches(pattern, raw[lo:hi]):
+                    first = word(lo + start)
+                    last = first + match.strip().count(b" ")
+                    spans.append({"label": label, "notice": notice, "edits": n, "first_word": first, "last_word": last})
         return exact, spans
 
 
