@@ -36,6 +36,31 @@ def test_stream_equals_batch_across_a_gap_and_out_of_order_chunks(spark, tmp_pat
     assert [s for s, _ in got] == [s for s, _ in want] and got == want
 
 
+def test_late_chunks_are_held_or_put_out_with_a_tag(spark, tmp_path):
+    x, _ = fx.recording()
+    long = fx.long_frame(spark, x[:1500])
+    taps = np.random.default_rng(9).integers(-3, 4, (7, 2))
+    filters = spark.createDataFrame(
+        [("r", 1, [2, 4], [float(v) for v in taps.ravel()], 3, 20.0)],
+        "recording_id string, target_id bigint, channels array<int>, taps array<double>, left_margin int, threshold double",
+    )
+    cleaning = Cleaning(fx.FS, 300.0, "causal", True)
+    pieces = ch.pack(long, 100).persist()
+    folder = str(tmp_path / "in")
+    write_each([pieces.where(c) for c in ("chunk_id < 3", "chunk_id between 5 and 8", "chunk_id in (3, 4)", "chunk_id > 8")], folder)
+
+    def found(lateness):
+        stream = processors.detect_stream(
+            st.read_stream(spark, folder, CHUNK_SCHEMA, 1), filters, 7, cleaning, suppress=3, lateness=lateness
+        )
+        return [tuple(r) for r in st.run_available(stream).select("target_id", "sample", "score").collect()]
+
+    batch = sg.detect(ch.pack(long, 100), 100, filters, 7, cleaning, suppress=3)
+    want = sorted((r.sample, round(r.score, 6)) for r in batch.collect() if r.sample < 1500 - 3 - 3)
+    assert sorted((s, round(v, 6)) for _, s, v in found(1000)) == want
+    assert sorted(s for t, s, v in found(0) if t is None and v is None) == [300, 400]
+
+
 def test_decisions_with_events_before_their_anchor(spark, tmp_path):
     rows = [("r", "event", 105, 0), ("r", "anchor", 100, 4), ("r", "event", 101, 0)]
     later = [("r", "event", 110, 0), ("r", "anchor", 300, 2), ("r", "event", 310, 0)]

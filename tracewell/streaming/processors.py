@@ -31,22 +31,32 @@ class Detector(StatefulProcessor):
     """Clean, correlate and suppress chunk by chunk.
 
     State: the recursive filter's registers, the cleaned samples still needed, the first
-    sample that is not decided yet. A gap in the sample numbers restarts the signal state.
+    sample that is not decided yet, and chunks that came before an earlier one. These are held
+    until the gap before them is filled or the newest sample is more than `lateness` samples
+    past it; only then the gap restarts the signal state. A chunk that comes later still is
+    given up and put out as a row of its first sample without target and score.
     """
 
-    def __init__(self, cleaning: Cleaning, template_length: int, suppress: int, thresholded: bool):
+    def __init__(self, cleaning: Cleaning, template_length: int, suppress: int, thresholded: bool, lateness: int = 0):
         self.cleaning, self.taps = cleaning, template_length
-        self.suppress, self.thresholded = suppress, thresholded
+        self.suppress, self.thresholded, self.lateness = suppress, thresholded, lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.signal = handle.getValueState(
             "signal", "next bigint, decided bigint, first bigint, registers array<double>, tail array<double>"
         )
+        self.held = handle.getListState("held", "start_sample bigint, channels array<int>, values array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _sorted(rows, ["start_sample"])
         if batch.empty:
             return
+        filters = batch["filters"].iloc[0]
+        waiting = list(zip(batch["start_sample"].tolist(), batch["channels"], batch["values"]))
+        if self.held.exists():
+            waiting = sorted([*waiting, *self.held.get()], key=lambda c: c[0])
+            self.held.clear()
+        newest_end = max(start + len(values) // len(channels) for start, channels, values in waiting)
         state = self.signal.get() if self.signal.exists() else None
         width = len(batch["channels"].iloc[0])
         upcoming, decided, first = (state[0], state[1], state[2]) if state else (None, -1, 0)
@@ -55,20 +65,27 @@ class Detector(StatefulProcessor):
         b, a = highpass_coefficients(self.cleaning.fc, self.cleaning.fs)
         m, T = self.suppress, self.taps
         out = []
-        for chunk in batch.itertuples():
-            x = np.asarray(chunk.values, dtype=float).reshape(-1, width)
-            if upcoming != chunk.start_sample:
-                registers, tail, first = np.zeros((2, width)), np.empty((0, width)), chunk.start_sample
-                decided = max(decided, chunk.start_sample - 1)
-            upcoming = chunk.start_sample + len(x)
+        for k, (start, channels, values) in enumerate(waiting):
+            x = np.asarray(values, dtype=float).reshape(-1, width)
+            if upcoming is not None and start < upcoming:
+                out.append((key[0], None, start, None))
+                continue
+            if upcoming != start:
+                # a recording begins at sample 0
+                if start > (upcoming or 0) and newest_end - (upcoming or 0) <= self.lateness:
+                    self.held.put([(s, [int(c) for c in cs], [float(v) for v in vs]) for s, cs, vs in waiting[k:]])
+                    break
+                registers, tail, first = np.zeros((2, width)), np.empty((0, width)), start
+                decided = max(decided, start - 1)
+            upcoming = start + len(x)
             if self.cleaning.highpass is not None:
                 x, registers = recursive_filter(x, b, a, registers)
             if self.cleaning.reference:
                 x = median_reference(x)
             tail = np.concatenate([tail, x])
             reached = decided
-            for spec in chunk.filters:
-                columns = column_index(np.asarray(chunk.channels), spec["chs"])
+            for spec in filters:
+                columns = column_index(np.asarray(channels), spec["chs"])
                 taps = np.asarray(spec["taps"], dtype=float).reshape(T, len(columns))
                 left = spec["left_margin"]
                 if len(tail) < T:
@@ -90,7 +107,8 @@ class Detector(StatefulProcessor):
             tail, first = tail[keep_from - first :], keep_from
         self.signal.update((upcoming, decided, first, registers.ravel().tolist(), tail.ravel().tolist()))
         if out:
-            yield pd.DataFrame(out, columns=["recording_id", "target_id", "sample", "score"])
+            frame = pd.DataFrame(out, columns=["recording_id", "target_id", "sample", "score"])
+            yield frame.astype({"target_id": "Int64", "score": float})
 
     def close(self) -> None:
         pass
@@ -98,10 +116,12 @@ class Detector(StatefulProcessor):
 
 def detect_stream(
     chunks: DataFrame, filters: DataFrame, template_length: int, cleaning: Cleaning,
-    suppress: int | None = None, thresholded: bool = True,
+    suppress: int | None = None, thresholded: bool = True, lateness: int = 0,
 ) -> DataFrame:
     """Detections of a stream of chunk rows; a point is decided once its right side is seen.
 
+    Chunks may come out of order by up to `lateness` samples; later ones give a row without
+    target and score, so that nothing goes unseen.
     A zero-phase filter needs the samples to come, so it is an error here.
     """
     if cleaning.highpass == "zero_phase":
@@ -109,7 +129,7 @@ def detect_stream(
     use_rocksdb(chunks.sparkSession)
     m = template_length // 2 if suppress is None else suppress
     return with_filters(chunks, filters).groupBy("recording_id").transformWithStateInPandas(
-        statefulProcessor=Detector(cleaning, template_length, m, thresholded),
+        statefulProcessor=Detector(cleaning, template_length, m, thresholded, lateness),
         outputStructType=PEAK_SCHEMA, outputMode="Append", timeMode="None",
     )
 
