@@ -10,6 +10,7 @@ from tracewell.llm import (
     decontaminate,
     hostrules,
     licenses,
+    phrases,
     quality,
     repeats,
     simhash,
@@ -147,3 +148,54 @@ def op3_sentencepiece(spark, sf_dir):
     decoded = subwords.decode(subwords.encode(documents(spark, sf_dir), vocabulary), vocabulary)
     crc = F.crc32("text").alias("decoded_crc32")
     return decoded.select("doc_id", "chunk", "n_chunks", "n_tokens", "ids", "text_crc32", crc)
+
+
+PHRASES_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), split as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as ws from pieces
+), f1 as (
+  select lang, w, count(*) as f from (select lang, unnest(ws) as w from split) group by all
+), totals as (select lang, sum(f)::bigint as n from f1 group by lang),
+f2 as (
+  select lang, ws[i] as w1, ws[i + 1] as w2, count(*) as f
+  from (select lang, ws, unnest(range(1, len(ws))) as i from split) group by all having count(*) >= 10
+), f3 as (
+  select lang, ws[i] as w1, ws[i + 1] as w2, ws[i + 2] as w3, count(*) as f
+  from (select lang, ws, unnest(range(1, len(ws) - 1)) as i from split) group by all having count(*) >= 10
+), inside as (
+  select lang, w1, w2, max(f) as longer
+  from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by all
+), two as (
+  select lang, w1 || ' ' || w2 as phrase, f2.f as a, x.f as l, y.f as r,
+    1000000::hugeint * f2.f * f2.f // (x.f::hugeint * y.f) as score
+  from f2 left join inside using (lang, w1, w2)
+  join f1 x on x.lang = f2.lang and x.w = f2.w1 join f1 y on y.lang = f2.lang and y.w = f2.w2
+  where longer is null or 100 * longer < 50 * f2.f
+), cuts as (
+  select f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 as phrase, f3.f as a,
+    x.f as l1, q.f as r1, p.f as l2, z.f as r2,
+    1000000::hugeint * f3.f * f3.f // (x.f::hugeint * q.f) as s1, 1000000::hugeint * f3.f * f3.f // (p.f::hugeint * z.f) as s2
+  from f3 join f1 x on x.lang = f3.lang and x.w = f3.w1 join f1 z on z.lang = f3.lang and z.w = f3.w3
+  join f2 p on p.lang = f3.lang and p.w1 = f3.w1 and p.w2 = f3.w2
+  join f2 q on q.lang = f3.lang and q.w1 = f3.w2 and q.w2 = f3.w3
+), every as (
+  select * from two union all
+  select lang, phrase, a, case when s1 <= s2 then l1 else l2 end, case when s1 <= s2 then r1 else r2 end, least(s1, s2)
+  from cuts
+), best as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from every
+)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from best join totals using (lang) where rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", PHRASES_SQL)
+def op11_phrase_collocations(spark, sf_dir):
+    """Each language's 2000 best phrases of two and three words."""
+    return phrases.collocations(documents(spark, sf_dir))
