@@ -18,6 +18,7 @@ from tracewell.llm import (
     tokenfile,
     toolcalls,
     toxicity,
+    turns,
 )
 from tracewell.llm.text import documents, remainder
 
@@ -199,3 +200,77 @@ from best join totals using (lang) where rank <= 2000
 def op11_phrase_collocations(spark, sf_dir):
     """Each language's 2000 best phrases of two and three words."""
     return phrases.collocations(documents(spark, sf_dir))
+
+
+REPAIR_SQL = r"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k
+  from conversations
+), damage as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(k, ''),
+      lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384::bigint * (c & 1)) end),
+    4294967295::bigint) % 20 as kind
+  from keyed
+), kept as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+  from damage where kind <> 0
+), numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last
+  from kept
+), faulty as (
+  select *, left(role, 1) as x, case when last = '' then 'blank'
+    when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when last not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(left(role, 1)) over (partition by conv_id order by i) as before
+  from numbered
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+    sum((fault = 'blank')::int)::bigint as blank, sum((fault = 'duplicate')::int)::bigint as duplicate,
+    sum((fault = 'truncated')::int)::bigint as truncated,
+    sum((before is not null and before || x not in ('su', 'ua', 'au'))::int)::bigint as illegal, count(*) as rows
+  from faulty group by conv_id
+), steps(p, x, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), names(x, role) as (values ('u', 'user'), ('a', 'assistant')
+), ins(p, r, c, a, t) as (
+  select p, p, 0, '', '' from range(4) s(p)
+  union all select p, 2, 5, 'I', chr(10) || 'user:' from range(4) s(p) where p <> 2
+  union all select p, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:' from range(2) s(p)
+  union all select 2, 3, 5, 'I', chr(10) || 'assistant:'
+), opts as (
+  select conv_id, i, r::bigint as r, r::bigint as q, 2 as c, 'D' as a, '' as t from faulty, range(4) s(r)
+  union all
+  select conv_id, i, p, q, case when fault = 'truncated' then 5 else 0 end, 'K', chr(10) || role || ':' || text
+  from faulty join steps using (x) where fault in ('', 'truncated')
+  union all
+  select conv_id, i, p, q, case when fault = 'truncated' then 6 else 1 end, 'R', chr(10) || names.role || ':' || text
+  from faulty, steps join names using (x) where fault in ('', 'truncated')
+), dp as (
+  select conv_id, 0::bigint as i, 0::bigint as q, {'c': 0::bigint, 'a': '', 't': ''} as best from facts
+  union all
+  select d.conv_id, d.i + 1, o.q, min({'c': d.best.c + ins.c + o.c, 'a': d.best.a || ins.a || o.a, 't': d.best.t || ins.t || o.t})
+  from dp d join ins on ins.p = d.q
+  join opts o on o.conv_id is not distinct from d.conv_id and o.i = d.i + 1 and o.r = ins.r
+  group by d.conv_id, d.i + 1, o.q
+), final as (
+  select f.conv_id, min({'c': d.best.c + ins.c, 'a': d.best.a || ins.a, 't': d.best.t || ins.t}) as best
+  from facts f join dp d on d.conv_id is not distinct from f.conv_id and d.i = f.rows
+  join ins on ins.p = d.q and (ins.r = 3 or (ins.r = 0 and ins.p = 0))
+  group by f.conv_id
+), ids as (select distinct conv_id from conversations)
+select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.c, 0) as cost,
+  coalesce(best.a, '') as audit, sha256(coalesce(substr(best.t, 2), '')) as repaired_sha256
+from ids left join facts on facts.conv_id is not distinct from ids.conv_id
+left join final on final.conv_id is not distinct from ids.conv_id
+"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark, sf_dir):
+    """Faults, cheapest repair and its hash of every conversation."""
+    return turns.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
