@@ -9,6 +9,7 @@ from catalog.registry import query
 from tracewell.llm import (
     decontaminate,
     hostrules,
+    html,
     licenses,
     phrases,
     quality,
@@ -20,7 +21,7 @@ from tracewell.llm import (
     toxicity,
     turns,
 )
-from tracewell.llm.text import documents, remainder
+from tracewell.llm.text import documents, remainder, small_batches
 
 
 @query("op6_simhash_near_dedup")
@@ -274,3 +275,10 @@ left join final on final.conv_id is not distinct from ids.conv_id
 def op12_conversation_repair(spark, sf_dir):
     """Faults, cheapest repair and its hash of every conversation."""
     return turns.repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op13_html_extraction")
+def op13_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    small_batches(spark)
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
