@@ -205,13 +205,16 @@ def quiet_segments(spark, sf):
     z0 as (select s.recording_id, s.target_id, s."start" as st, m.sample, m.channel, m.value::double as v from seg s
       join sel c on c.recording_id = s.recording_id and c.target_id = s.target_id
       join m on m.recording_id = s.recording_id and m.channel = c.channel and m.sample >= s."start" and m.sample < s."end"),
-    z as (select *, v - avg(v) over (partition by recording_id, target_id, st, channel) as z from z0),
-    tot as (select recording_id, target_id, sum(length) as total from seg group by 1, 2)
-    select a.recording_id, a.target_id, cast(lag as int) as lag, a.channel as early, b.channel as late,
-      round(sum(a.z * b.z) / any_value(total) / 1e6::double, 4) as millions
-    from z a, range({T}) r(lag) join z b on b.recording_id = a.recording_id and b.target_id = a.target_id and b.st = a.st
-      and b.sample = a.sample + lag join tot on tot.recording_id = a.recording_id and tot.target_id = a.target_id
-    group by 1, 2, 3, 4, 5""",
+    z as (select *, count(*) over w as n, count(*) over w * v - sum(v) over w as z from z0
+      window w as (partition by recording_id, target_id, st, channel)),
+    tot as (select recording_id, target_id, sum(length) as total from seg group by 1, 2),
+    -- n v - sum is a whole number: exact sums per segment, divided once
+    seg_sums as (select a.recording_id, a.target_id, a.st, cast(lag as int) as lag, a.channel as early, b.channel as late,
+        sum(a.z * b.z) / any_value(a.n * a.n)::double as s
+      from z a, range({T}) r(lag) join z b on b.recording_id = a.recording_id and b.target_id = a.target_id and b.st = a.st
+        and b.sample = a.sample + lag group by 1, 2, 3, 4, 5, 6)
+    select recording_id, target_id, lag, early, late, round(sum(s) / any_value(total) / 1e6::double, 4) as millions
+    from seg_sums join tot using (recording_id, target_id) group by 1, 2, 3, 4, 5""",
 )
 def lag_covariance(spark, sf):
     return fitted(spark, sf).products.withColumn("millions", F.round(F.col("value") / 1e6, 4)).drop("value")

@@ -19,7 +19,7 @@ from tracewell.sources.filters import left_margin
 
 KEYS = ["recording_id", "target_id"]
 SUMS = "recording_id string, target_id bigint, seg_start bigint, n bigint, sums array<double>"
-PRODUCTS = "recording_id string, target_id bigint, channels array<int>, products array<double>"
+PRODUCTS = "recording_id string, target_id bigint, channels array<int>, products array<double>, rests array<double>"
 
 
 def quiet_segments(
@@ -46,8 +46,8 @@ def _pieces(segments: DataFrame, length: int) -> DataFrame:
     )
 
 
-def segment_means(chunks: DataFrame, length: int, segments: DataFrame) -> DataFrame:
-    """Adds `means`, the mean of each of the target's channels over the segment."""
+def segment_sums(chunks: DataFrame, length: int, segments: DataFrame) -> DataFrame:
+    """Adds `sums`, each of the target's channels over the segment, and `samples`, how many it has."""
     schema = arrow_schema(SUMS)
     ready = chunks.join(_pieces(segments, length), ["recording_id", "chunk_id"])
 
@@ -63,13 +63,24 @@ def segment_means(chunks: DataFrame, length: int, segments: DataFrame) -> DataFr
 
     at = [*KEYS, "seg_start"]
     cells = ready.mapInArrow(add, SUMS).select(*at, "n", F.posexplode("sums").alias("i", "v"))
-    means = (
+    totals = (
         cells.groupBy(*at, "i")
-        .agg((F.sum("v") / F.sum("n")).alias("m"))
+        .agg(F.sum("v").alias("v"), F.sum("n").alias("samples"))
         .groupBy(*KEYS, F.col("seg_start").alias("start"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("means"))
+        .agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"),
+            F.first("samples").alias("samples"),
+        )
     )
-    return segments.join(means, [*KEYS, "start"])
+    return segments.join(totals, [*KEYS, "start"])
+
+
+def halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Doubles of 26 significant bits, whose sums are exact, and what is left of each value."""
+    v = values.astype(np.float64)
+    scaled = v * 134217729.0  # 2**27 + 1
+    high = scaled - (scaled - v)
+    return high, (values - high).astype(np.float64)
 
 
 def lagged_products(
@@ -82,8 +93,11 @@ def lagged_products(
     `segments` needs the target's `channels`. Each chunk contributes the products whose
     earlier sample it owns, so long segments split freely; tasks pass on one small array
     per target.
+
+    Samples are centred as n x - sum, which is exact for integers, and sums travel as two halves, so
+    the result does not depend on how chunks and tasks cut a segment.
     """
-    centred = segment_means(chunks, length, segments)
+    centred = segment_sums(chunks, length, segments)
     haloed = attach_halo(chunks, length, 0, template_length - 1)
     ready = haloed.join(_pieces(centred, length), ["recording_id", "chunk_id"])
     schema = arrow_schema(PRODUCTS)
@@ -96,25 +110,28 @@ def lagged_products(
                     first = max(s["start"], block.start) - block.start
                     own = min(s["end"], block.start + block.n) - block.start
                     seen = min(s["end"] - block.start, len(block.x))
-                    z = block.x[first:seen, column_index(block.channels, s["channels"])] - np.array(s["means"])
+                    x = block.x[first:seen, column_index(block.channels, s["channels"])]
+                    z = s["samples"] * x - np.array(s["sums"])
                     n = own - first
                     width = z.shape[1]
-                    total = np.zeros((template_length, width, width))
+                    total = np.zeros((template_length, width, width), np.longdouble)
                     for lag in range(template_length):
                         m = min(n, len(z) - lag)
                         if m > 0:
                             total[lag] = z[:m].T @ z[lag : lag + m]
+                    total /= np.longdouble(s["samples"]) ** 2
                     key = (block.recording_id, s["target_id"])
                     if key in held:
                         held[key][1] += total
                     else:
                         held[key] = [s["channels"], total]
                 if len(held) > 2000:
-                    yield from emit(((*k, c, p.ravel()) for k, (c, p) in held.items()), schema)
+                    yield from emit(((*k, c, *halves(p.ravel())) for k, (c, p) in held.items()), schema)
                     held = {}
-        yield from emit(((*k, c, p.ravel()) for k, (c, p) in held.items()), schema)
+        yield from emit(((*k, c, *halves(p.ravel())) for k, (c, p) in held.items()), schema)
 
-    cells = ready.mapInArrow(add, PRODUCTS).select(*KEYS, "channels", F.posexplode("products").alias("i", "v"))
+    pairs = F.posexplode(F.arrays_zip("products", "rests")).alias("i", "v")
+    cells = ready.mapInArrow(add, PRODUCTS).select(*KEYS, "channels", pairs)
     width = F.size("channels")
     sums = (
         cells.select(
@@ -125,7 +142,7 @@ def lagged_products(
             "v",
         )
         .groupBy(*KEYS, "lag", "early", "late")
-        .agg(F.sum("v").alias("_sum"))
+        .agg((F.sum("v.products") + F.sum("v.rests")).alias("_sum"))
     )
     totals = segments.groupBy(*KEYS).agg(F.sum("length").alias("_total"))
     return sums.join(totals, KEYS).select(*KEYS, "lag", "early", "late", (F.col("_sum") / F.col("_total")).alias("value"))
