@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.memory import IdMemory
-from tracewell.llm.text import LOWER, pieces, remembered, strings
+from tracewell.llm.text import LOWER, PIECE_BYTES, pieces, remembered, strings
 from tracewell.session import cut_lineage, scratch_path
 from tracewell.sources.files import resolve
 
@@ -175,11 +175,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory = IdMemory(self.encode)
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [f.ids for f in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.memory = IdMemory(self.encode, 1_000_000)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and how many each has. A special token parts words of one call."""
+        if not self.special:
+            found = [f.ids for f in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(f) for f in found], np.int64)
+        mark = self.special[0].decode()
+        end = self.tokenizer.token_to_id(mark)
+        texts = [b"".join(w + self.special[0] for w in words[k : k + 1000]).decode() for k in range(0, len(words), 1000)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(f.ids, np.uint32) for f in found])
+        at = np.flatnonzero(ids == end)
+        return ids[ids != end], np.diff(at, prepend=-1) - 1
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, first id of each row and the total)."""
@@ -213,7 +222,8 @@ for _a in range(5):
 def encoded(column: pa.Array, path: str, end_id: int | None):
     """(first row, end row, ids, offsets) of pieces of a text column, an end id after each text."""
     coder = remembered(("encoder", path), lambda: Encoder(path))
-    for row, end, data, offs in pieces(column):
+    # larger pieces repeat more words
+    for row, end, data, offs in pieces(column, 4 * PIECE_BYTES):
         raw = data.tobytes()
         if any(s in raw for s in coder.special):
             texts = [raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:])]
