@@ -78,6 +78,7 @@ class Vocabulary:
                 self.weight.setdefault(text[:k], NEVER)
         # a text may be cut before a blank that follows another character, and around line ends
         self.cuttable = not any("\n" in t or " " in t.lstrip(" ") for t, _, _ in found)
+        self.grow_tree()
         self.memory = IdMemory(self.encode_words)
 
     def search(self, text: str, start: int) -> tuple[list[int], list[int]]:
@@ -113,8 +114,72 @@ class Vocabulary:
             n = back[n]
         return out[::-1]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        return [self.encode_word(w.decode()) for w in words]
+    def grow_tree(self) -> None:
+        """The tree of all beginnings of pieces: children by (node, character), weight and id per node."""
+        node = {"": 0} | {text: k for k, text in enumerate(self.weight, 1)}
+        parent = np.array([node[text[:-1]] for text in self.weight], np.int64)
+        last = np.array([ord(text[-1]) for text in self.weight], np.int64)
+        key = parent << 21 | last
+        order = np.argsort(key)
+        self.child_key, self.child = key[order], order + 1
+        self.node_weight = np.array([NEVER, *self.weight.values()], np.int64)
+        self.node_id = np.array([-1, *(self.ids.get(text, -1) for text in self.weight)], np.int64)
+        self.first_child = np.full(1 << 21, -1, np.int32)
+        at_root = key < 1 << 21
+        self.first_child[key[at_root]] = np.flatnonzero(at_root) + 1
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and how many each has; as encode_word, for many words in step."""
+        texts = [w.decode() for w in words]
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        first = np.cumsum(length) - length
+        strange = np.flatnonzero(self.node_id[self.first_child[codes]] < 0)
+        easy = (length > 0) & (length <= 64)
+        easy[np.searchsorted(first, strange, side="right") - 1] = False
+        found: list = [None] * len(texts)
+        order = np.flatnonzero(easy)
+        order = order[np.argsort(length[order], kind="stable")]
+        for k in range(0, len(order), 8192):
+            at = order[k : k + 8192]
+            for word, ids in zip(at.tolist(), self.in_step(codes, first[at], length[at])):
+                found[word] = ids
+        for word in np.flatnonzero(~easy).tolist():
+            found[word] = np.array(self.encode_word(texts[word]), np.uint32)
+        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def in_step(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        """Ids of words without strange characters: the search of all of them, place by place."""
+        n, width = len(first), int(length.max())
+        best = np.full((n, width + 1), NEVER, np.int64)
+        back, piece = np.zeros((n, width + 1), np.int32), np.zeros((n, width + 1), np.int32)
+        best[:, 0] = 0
+        for i in range(width):
+            rows = np.flatnonzero(length > i)
+            node = self.first_child[codes[first[rows] + i]].astype(np.int64)
+            here = best[rows, i]
+            for j in range(i + 1, min(width, i + self.longest) + 1):
+                weight = self.node_weight[node]
+                score = here + weight
+                better = (weight > NEVER) & (score > best[rows, j])
+                to = rows[better]
+                best[to, j], back[to, j], piece[to, j] = score[better], i, self.node_id[node[better]]
+                on = length[rows] > j
+                rows, node, here = rows[on], node[on], here[on]
+                if not len(rows):
+                    break
+                key = node << 21 | codes[first[rows] + j]
+                at = np.minimum(np.searchsorted(self.child_key, key), len(self.child_key) - 1)
+                on = self.child_key[at] == key
+                rows, node, here = rows[on], self.child[at[on]], here[on]
+        out, count = np.zeros((n, width), np.uint32), np.zeros(n, np.int64)
+        place, rows = length.copy(), np.arange(n)
+        while len(rows):  # from the ends of the words back
+            out[rows, width - 1 - count[rows]] = piece[rows, place[rows]]
+            count[rows] += 1
+            place[rows] = back[rows, place[rows]]
+            rows = rows[place[rows] > 0]
+        return [ids[width - k :] for ids, k in zip(out, count.tolist())]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, first id of each row and the total)."""
