@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tracewell.llm.repeats import remove_repeats
+from tracewell.llm.repeats import remove_repeats, without_passages
 
 
 def direct(texts, window):
@@ -56,3 +56,52 @@ def test_repeated_rows_and_ids(spark):
     got = sorted((r.n_bytes, r.n_removed) for r in remove_repeats(docs, window=40, digit=10).collect())
     assert got == [(5, 0), (50, 50), (90, 90), (90, 90)]
     assert remove_repeats(docs.limit(0), window=40, digit=10).count() == 0
+
+
+def by_words(texts, window):
+    """Byte spans of repeated word windows, read from the definition."""
+    import re
+
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    raws = [(t or "").encode() for t in texts]
+    grams = [[tuple(r[a:b] for a, b in f[i : i + window]) for i in range(len(f) - window + 1)] for r, f in zip(raws, found)]
+    seen = Counter(g for gs in grams for g in gs)
+    out = []
+    for raw, f, gs in zip(raws, found, grams):
+        covered = {w for i, g in enumerate(gs) if seen[g] > 1 for w in range(i, i + window)}
+        gone = bytearray(len(raw))
+        for w in covered:  # with the white space between two covered words
+            a, b = f[w][0], f[w + 1][0] if w + 1 in covered else f[w][1]
+            gone[a:b] = b"\1" * (b - a)
+        kept = bytes(c for c, x in zip(raw, gone) if not x)
+        out.append((sum(gone), kept))
+    return out
+
+
+@pytest.mark.parametrize("seed,alphabet,window,digit", [(4, "abcd", 8, 3), (5, "aé", 5, 5), (6, "ab", 12, 2)])
+def test_word_windows_like_the_definition(spark, seed, alphabet, window, digit):
+    texts = [*corpus(seed, alphabet), "a \t" * 40, "b\n" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = remove_repeats(docs, window=40, digit=10, words=window, word_digit=digit).collect()
+    got = {r.doc_id: (r.word_bytes_removed, r.word_kept_sha256) for r in rows}
+    want = {k: (n, hashlib.sha256(kept).hexdigest()) for k, (n, kept) in enumerate(by_words(texts, window))}
+    assert got == want
+    both = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert both == dict(enumerate(direct(texts, 40)))
+
+
+def test_passages_leave_other_columns_alone(spark):
+    texts = [*corpus(7, "abcdef"), None]
+    rows = [(k, t, "a", 1, 2, None if t is None else len(t)) for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, kept string, mark int, _kept int, n_chars int"
+    docs = spark.createDataFrame(rows, schema)
+    found = without_passages(docs, words=9)
+    assert found.schema == docs.schema or found.dtypes == docs.dtypes
+    want = [kept.decode() for _, kept in by_words(texts, 9)]
+    for r in found.collect():
+        if texts[r.doc_id] is None:
+            assert r.text is None and r.n_chars is None
+        else:
+            assert (r.text, r.n_chars) == (want[r.doc_id], len(want[r.doc_id]))
+        assert (r.kept, r.mark, r["_kept"]) == ("a", 1, 2)
+    assert without_passages(docs.limit(0)).count() == 0

@@ -188,10 +188,14 @@ def one_of_each(
 
 def _only(docs: DataFrame, least: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of `docs` with the ids and marks of `least`, each once."""
-    stay = least.select(F.col("least.doc_id").alias("_stay_id"), F.col("least.mark").alias("_stay_mark"))
-    keyed = docs.withColumn("_row_mark", mark_of(text_col)).withColumn("_row_id", F.col(id_col).cast("long"))
-    same = F.col("_row_id").eqNullSafe(F.col("_stay_id")) & (F.col("_row_mark") == F.col("_stay_mark"))
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["_row_id", "_row_mark"]).select(*docs.columns)
+    stay = least.select(F.col("least.doc_id").alias("stay_id"), F.col("least.mark").alias("stay_mark"))
+    # the input's columns are one struct, so no name of theirs meets one of these
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select(
+        "row", F.col(f"row.`{id_col}`").cast("long").alias("row_id"), mark_of(f"row.`{text_col}`").alias("row_mark")
+    )
+    same = F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("row_mark") == F.col("stay_mark"))
+    kept = rows.join(stay, same, "left_semi").dropDuplicates(["row_id", "row_mark"])
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 # Near duplicates by similarity ---------------------------------------------------------------
@@ -351,18 +355,18 @@ def similar_pairs(kinds: DataFrame, chosen: DataFrame, size: int, similarity: fl
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """form and its distinct shingles, as 32-bit hashes; `docs` has form and text."""
+    """form and its distinct shingles, as 64-bit hashes; `docs` has form and text."""
 
     def run(batches):
         for batch in batches:
             for row, end, data, offs in pieces(batch.column(1)):
                 hashes, bounds = shingle_hashes(data, offs, size)
-                sets = [np.unique(hashes[a:b].astype(np.uint32)).view(np.int32) for a, b in zip(bounds, bounds[1:])]
+                sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds, bounds[1:])]
                 yield pa.record_batch(
-                    [batch.column(0).slice(row, end - row), pa.array(sets, pa.list_(pa.int32()))], ["form", "shingles"]
+                    [batch.column(0).slice(row, end - row), pa.array(sets, pa.list_(pa.int64()))], ["form", "shingles"]
                 )
 
-    return docs.mapInArrow(run, "form long, shingles array<int>")
+    return docs.mapInArrow(run, "form long, shingles array<long>")
 
 
 def one_of_similar(
