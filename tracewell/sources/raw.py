@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tracewell.sources.chunks import decode_int16
 from tracewell.sources.files import read_range, resolve, sizes
@@ -146,6 +146,92 @@ class RawReader(DataSourceReader):
                 yield pa.RecordBatch.from_pydict(row)
 
 
+@dataclass
+class Fetch(InputPartition):
+    recording_id: str
+    first: int
+    end: int
+    pieces: list
+
+    def __init__(self, recording_id, first, end, pieces):
+        super().__init__(None)
+        self.recording_id, self.first, self.end, self.pieces = recording_id, first, end, pieces
+
+
+class RawStreamReader(DataSourceStreamReader):
+    """Chunk rows of growing recordings; the offset is the next sample of each recording.
+
+    A poll looks at file sizes only; ranges are read in tasks. What a poll cannot list keeps its
+    offset and is asked for again; a task that fails reads the same range again, and so does a
+    query that starts from its checkpoint. Samples that are gone before they were read (old parts
+    are removed) are skipped to the first that is left; a recording that starts anew is followed
+    from its new head. `max_samples` bounds what a poll adds per recording; the first poll after a start
+    is not bounded, as nothing tells it where the query stands. `start`: "earliest" or "head".
+    """
+
+    def __init__(self, options: dict):
+        self.raw = RawReader(options)
+        self.fetch = int(options.get("fetch_samples", self.raw.length))
+        self.most = int(options.get("max_samples", 0))
+        self.start = options.get("start", "earliest")
+        #: offsets as of the last poll
+        self.at: dict[str, int] | None = None
+
+    def recordings(self) -> dict[str, list[Piece]]:
+        """What there is now; nothing if the folder cannot be listed, so that offsets stay."""
+        try:
+            return self.raw.recordings()
+        except OSError:
+            return {}
+
+    def heads(self) -> dict[str, int]:
+        return {k: parts[-1].start + parts[-1].n for k, parts in self.recordings().items()}
+
+    def initialOffset(self) -> dict:
+        at = self.heads() if self.start == "head" else {}
+        self.at = dict(at) if self.at is None else self.at
+        return at
+
+    def latestOffset(self) -> dict:
+        bounded, self.at = self.most > 0 and self.at is not None, self.at or {}
+        for name, parts in self.recordings().items():
+            head = parts[-1].start + parts[-1].n
+            here = self.at.get(name, parts[0].start)
+            self.at[name] = min(head, max(here, parts[0].start) + self.most) if bounded else head
+        return dict(self.at)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = dict(end) if self.at is None else self.at
+        plan = []
+        for name, pieces in self.raw.recordings().items():  # an error here fails the batch, which runs again
+            low, high = start.get(name, pieces[0].start), end.get(name, 0)
+            step = self.fetch * self.raw.per_task
+            for first in range(max(low, pieces[0].start), high, step):
+                last = min(high, first + step)
+                near = [p for p in pieces if p.start < last and p.start + p.n > first]
+                if near:
+                    plan.append(Fetch(name, first, last, near))
+        return plan
+
+    def read(self, partition: Fetch) -> Iterator[pa.RecordBatch]:
+        system, _ = resolve(self.raw.path)
+        ids = [self.raw.ids[c] for c in self.raw.columns]
+        for p in partition.pieces:
+            low, high = max(partition.first, p.start), min(partition.end, p.start + p.n)
+            for at in range(low, high, self.fetch):
+                x = self.raw.stretch(system, [p], at, min(high, at + self.fetch))
+                yield pa.RecordBatch.from_pydict({
+                    "recording_id": [partition.recording_id],
+                    "chunk_id": [at // self.raw.length],
+                    "start_sample": [at],
+                    "n_samples": pa.array([len(x)], pa.int32()),
+                    "channels": pa.array([ids], pa.list_(pa.int32())),
+                    **self.raw.samples(x),
+                    "lead": pa.array([0], pa.int32()),
+                    "trail": pa.array([0], pa.int32()),
+                })
+
+
 class RawRecordings(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -157,6 +243,9 @@ class RawRecordings(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return RawReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return RawStreamReader(self.options)
+
 
 @dataclass
 class ValueRange(InputPartition):

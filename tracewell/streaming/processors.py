@@ -9,6 +9,7 @@ bounded by the acquisition rate.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.functions.kernels import correlate, highpass_coefficients, recursive_filter, median_reference, window_peak_mask
 from tracewell.operators.signal import PEAK_SCHEMA, Cleaning, column_index, with_filters
-from tracewell.streaming.chunks import ORIGIN_MS, event_time, use_rocksdb
+from tracewell.streaming.chunks import use_rocksdb
 
 
 def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -28,56 +29,98 @@ def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class Detector(StatefulProcessor):
-    """Clean, correlate and suppress chunk by chunk.
+    """Clean, correlate and suppress chunk by chunk; with `sync`, stamp with the last edge.
 
     State: the recursive filter's registers, the cleaned samples still needed, the first
     sample that is not decided yet, and chunks that came before an earlier one. These are held
     until the gap before them is filled or the newest sample is more than `lateness` samples
-    past it; only then the gap restarts the signal state. A chunk that comes later still is
+    past it; only then the gap restarts the signal state. A recording that falls silent for
+    `idle_ms` gives up its gaps, so nothing stays held. A chunk that comes later still is
     given up and put out as a row of its first sample without target and score.
+
+    `sync`: chunks carry the sync bit of each sample. Edges are kept from the last one before
+    the first undecided sample on, as a point is decided after later edges may have come.
     """
 
-    def __init__(self, cleaning: Cleaning, template_length: int, suppress: int, thresholded: bool, lateness: int = 0):
+    def __init__(
+        self, cleaning: Cleaning, template_length: int, suppress: int, thresholded: bool, lateness: int = 0,
+        sync: bool = False, idle_ms: int | None = None,
+    ):
         self.cleaning, self.taps = cleaning, template_length
         self.suppress, self.thresholded, self.lateness = suppress, thresholded, lateness
+        self.sync, self.idle_ms = sync, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.signal = handle.getValueState(
             "signal", "next bigint, decided bigint, first bigint, registers array<double>, tail array<double>"
         )
-        self.held = handle.getListState("held", "start_sample bigint, channels array<int>, values array<double>")
+        self.edges = handle.getValueState("edges", "bit int, seq bigint, edges array<bigint>")
+        self.held = handle.getListState(
+            "held", "start_sample bigint, channels array<int>, values array<double>, sync array<int>"
+        )
+        self.bank = handle.getValueState("bank", FILTERS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _sorted(rows, ["start_sample"])
         if batch.empty:
             return
         filters = batch["filters"].iloc[0]
-        waiting = list(zip(batch["start_sample"].tolist(), batch["channels"], batch["values"]))
+        sync = batch["sync"] if self.sync else [None] * len(batch)
+        fresh = list(zip(batch["start_sample"].tolist(), batch["channels"], batch["values"], sync))
+        yield from self.advance(key, fresh, filters, self.lateness)
+        if self.idle_ms is not None and self.held.exists():
+            plain = lambda v: v.tolist() if hasattr(v, "tolist") else v
+            self.bank.update(([tuple(plain(f[c]) for c in FILTER_FIELDS) for f in filters],))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """No chunk came for a while: what is held goes on behind its gap."""
+        if self.held.exists():
+            filters = [dict(zip(FILTER_FIELDS, f)) for f in self.bank.get()[0]]
+            yield from self.advance(key, [], filters, -1)
+
+    def advance(self, key, fresh: list, filters: list, lateness: int) -> Iterator[pd.DataFrame]:
+        waiting = fresh
         if self.held.exists():
-            waiting = sorted([*waiting, *self.held.get()], key=lambda c: c[0])
+            waiting = sorted([*fresh, *self.held.get()], key=lambda c: c[0])
             self.held.clear()
-        newest_end = max(start + len(values) // len(channels) for start, channels, values in waiting)
+        if not waiting:
+            return
+        newest_end = max(start + len(values) // len(channels) for start, channels, values, _ in waiting)
         state = self.signal.get() if self.signal.exists() else None
-        width = len(batch["channels"].iloc[0])
+        width = len(waiting[0][1])
         upcoming, decided, first = (state[0], state[1], state[2]) if state else (None, -1, 0)
         registers = np.array(state[3]).reshape(2, width) if state else np.zeros((2, width))
         tail = np.array(state[4], dtype=float).reshape(-1, width) if state else np.empty((0, width))
+        bit, seq, edges = self.edges.get() if self.edges.exists() else (None, 0, [])
+        edges = list(edges)  # the last of them is number seq
         b, a = highpass_coefficients(self.cleaning.fc, self.cleaning.fs)
         m, T = self.suppress, self.taps
-        out = []
-        for k, (start, channels, values) in enumerate(waiting):
+        out: list[tuple] = []
+        for k, (start, channels, values, sync) in enumerate(waiting):
             x = np.asarray(values, dtype=float).reshape(-1, width)
             if upcoming is not None and start < upcoming:
-                out.append((key[0], None, start, None))
+                out.append(("late", None, start, None, None, None))
                 continue
             if upcoming != start:
                 # a recording begins at sample 0
-                if start > (upcoming or 0) and newest_end - (upcoming or 0) <= self.lateness:
-                    self.held.put([(s, [int(c) for c in cs], [float(v) for v in vs]) for s, cs, vs in waiting[k:]])
+                if start > (upcoming or 0) and newest_end - (upcoming or 0) <= lateness:
+                    self.held.put([
+                        (s, [int(c) for c in cs], [float(v) for v in vs], None if bits is None else [int(v) for v in bits])
+                        for s, cs, vs, bits in waiting[k:]
+                    ])
                     break
                 registers, tail, first = np.zeros((2, width)), np.empty((0, width)), start
-                decided = max(decided, start - 1)
+                decided, bit = max(decided, start - 1), None
             upcoming = start + len(x)
+            if sync is not None:
+                bits = np.concatenate([[-1 if bit is None else bit], np.asarray(sync) != 0]).astype(np.int8)
+                for at in (np.flatnonzero((bits[:-1] == 0) & (bits[1:] == 1)) + start).tolist():
+                    seq += 1
+                    edges.append(at)
+                    out.append(("edge", None, at, None, at, seq))
+                bit = int(bits[-1])
             if self.cleaning.highpass is not None:
                 x, registers = recursive_filter(x, b, a, registers)
             if self.cleaning.reference:
@@ -98,39 +141,69 @@ class Detector(StatefulProcessor):
                 mask &= (at > decided) & (at + m <= newest)
                 if self.thresholded:
                     mask &= d[lo:hi] > spec["threshold"]
-                for i in np.flatnonzero(mask):
-                    out.append((key[0], spec["target_id"], int(at[i]), float(d[lo + i])))
+                found = np.flatnonzero(mask)
+                last = np.searchsorted(edges, at[found], side="right")
+                for i, e in zip(found, last.tolist()):
+                    stamp = (edges[e - 1], seq - len(edges) + e) if e else (None, None)
+                    out.append(("peak", spec["target_id"], int(at[i]), float(d[lo + i]), *stamp))
                 reached = max(reached, newest - m)
             decided = reached
             # The next undecided sample looks back over m scores of T samples each.
             keep_from = max(first, decided + 1 - m - T)
             tail, first = tail[keep_from - first :], keep_from
         self.signal.update((upcoming, decided, first, registers.ravel().tolist(), tail.ravel().tolist()))
+        if self.sync:
+            passed = int(np.searchsorted(edges, decided + 1, side="right"))
+            self.edges.update((bit, seq, edges[max(0, passed - 1) :]))
         if out:
-            frame = pd.DataFrame(out, columns=["recording_id", "target_id", "sample", "score"])
-            yield frame.astype({"target_id": "Int64", "score": float})
+            frame = pd.DataFrame(
+                [(key[0], *row) for row in out],
+                columns=["recording_id", "kind", "target_id", "sample", "score", "edge_sample", "edge_seq"],
+            )
+            whole = {c: "Int64" for c in ("target_id", "edge_sample", "edge_seq")}
+            frame = frame.astype({**whole, "score": float})
+            yield frame if self.sync else frame[["recording_id", "target_id", "sample", "score"]]
 
     def close(self) -> None:
         pass
 
 
+FILTER_FIELDS = ["target_id", "chs", "taps", "left_margin", "threshold"]
+FILTERS = "filters array<struct<target_id: bigint, chs: array<int>, taps: array<double>, left_margin: int, threshold: double>>"
+STAMPED = "recording_id string, kind string, target_id bigint, sample bigint, score double, edge_sample bigint, edge_seq bigint"
+
+
 def detect_stream(
     chunks: DataFrame, filters: DataFrame, template_length: int, cleaning: Cleaning,
     suppress: int | None = None, thresholded: bool = True, lateness: int = 0,
+    sync: bool = False, idle_ms: int | None = None,
 ) -> DataFrame:
     """Detections of a stream of chunk rows; a point is decided once its right side is seen.
 
     Chunks may come out of order by up to `lateness` samples; later ones give a row without
-    target and score, so that nothing goes unseen.
+    target and score, so that nothing goes unseen. With `idle_ms` a recording that stays silent for
+    so long gives up its gaps; without, held chunks wait for the next one.
     A zero-phase filter needs the samples to come, so it is an error here.
+
+    `sync`: chunks have a column `sync`, the sync bit of each sample. Rows then have a `kind`: "edge"
+    with its number, "peak" with the edge at or before it (none before the first), "late".
     """
     if cleaning.highpass == "zero_phase":
         raise ValueError("a stream cannot be filtered with zero phase; use highpass='causal'")
     use_rocksdb(chunks.sparkSession)
     m = template_length // 2 if suppress is None else suppress
     return with_filters(chunks, filters).groupBy("recording_id").transformWithStateInPandas(
-        statefulProcessor=Detector(cleaning, template_length, m, thresholded, lateness),
-        outputStructType=PEAK_SCHEMA, outputMode="Append", timeMode="None",
+        statefulProcessor=Detector(cleaning, template_length, m, thresholded, lateness, sync, idle_ms),
+        outputStructType=STAMPED if sync else PEAK_SCHEMA, outputMode="Append",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
+    )
+
+
+def usable_spikes(stamped: DataFrame, fs: float) -> DataFrame:
+    """Peaks that have an edge, with the seconds since it."""
+    since = ((F.col("sample") - F.col("edge_sample")) / fs).alias("time_rel_s")
+    return stamped.where("kind = 'peak' and edge_seq is not null").select(
+        "recording_id", "target_id", "sample", "score", "edge_sample", "edge_seq", since
     )
 
 
@@ -164,22 +237,32 @@ class WordDecoder(StatefulProcessor):
         else:
             bit, edge, seq, code, n, start, start_edge, start_seq, last, upcoming = (
                 None, None, 0, 0, 0, 0, None, None, 0, None)
-        out = []
-        for s, now, field in zip(batch["sample"].tolist(), batch["bit"].tolist(), batch["code"].tolist()):
-            if bit == 0 and now != 0:
-                edge, seq = s, seq + 1
-                out.append((key[0], "edge", s, None, s, seq))
-            bit = now
-            if field == code and (upcoming is None or upcoming == s):
-                n += 1
-            else:
-                code, n, start = field, 1, s
-                start_edge, start_seq = edge, (seq if edge is not None else None)
-            upcoming = s + 1
-            if n == self.debounce and code != last:
+        sample = batch["sample"].to_numpy(np.int64)
+        bits, codes = (batch["bit"].to_numpy() != 0).astype(np.int8), batch["code"].to_numpy(np.int64)
+        before = np.concatenate([[-1 if bit is None else int(bit != 0)], bits[:-1]])
+        rises = np.flatnonzero((before == 0) & (bits == 1))
+        found = sample[rises]
+        out = [(key[0], "edge", s, None, s, seq + k) for k, s in enumerate(found.tolist(), 1)]
+        # runs of one code without a missing sample; the first may go on from the last batch
+        new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (sample[1:] != sample[:-1] + 1)])
+        starts = np.flatnonzero(new)
+        lengths = np.diff(np.append(starts, len(codes)))
+        counts = np.searchsorted(rises, starts, side="right")
+        for k, (i, length, e) in enumerate(zip(starts.tolist(), lengths.tolist(), counts.tolist())):
+            goes_on = k == 0 and codes[0] == code and (upcoming is None or upcoming == sample[0])
+            seen = n if goes_on else 0
+            if not goes_on:
+                code, start = int(codes[i]), int(sample[i])
+                start_edge = int(found[e - 1]) if e else edge
+                start_seq = seq + e if start_edge is not None else None
+            n = seen + length
+            if seen < self.debounce <= n and code != last:
                 if code != 0:
                     out.append((key[0], "onset", start, code, start_edge, start_seq))
                 last = code
+        if len(found):
+            edge, seq = int(found[-1]), seq + len(found)
+        bit, upcoming = int(bits[-1]), int(sample[-1]) + 1
         self.state.update((bit, edge, seq, code, n, start, start_edge, start_seq, last, upcoming))
         if out:
             frame = pd.DataFrame(out, columns=["recording_id", "kind", "sample", "code", "edge_sample", "edge_seq"])
@@ -201,101 +284,257 @@ def decode_stream(words: DataFrame, debounce: int) -> DataFrame:
 
 
 DECISIONS = "recording_id string, sample bigint, code int, outcome string, n_events bigint, trigger_sample bigint"
+LATE = "LATE"
+
+
+def in_samples(lateness: str | int, fs: float) -> int:
+    """Samples of an interval such as "50 milliseconds"; numbers are samples."""
+    if isinstance(lateness, int):
+        return lateness
+    number, unit = lateness.split()
+    return math.ceil(float(number) * {"m": 0.001, "s": 1.0}[unit[0]] * fs)
 
 
 class WindowDecider(StatefulProcessor):
     """Counts events in the window after every anchor and fires at the k-th one.
 
-    State: anchors whose window is open, and recent events (an anchor may arrive after
-    events of its window). A window fires as soon as its k-th event is known and expires
-    when the watermark passes its end.
+    Time is the newest sample that all of `sources` inputs have passed (rows carry their `source`),
+    kept per recording. A row more than `lateness` samples behind its time is late: it is put out with
+    the outcome LATE and changes nothing. A window fires as soon as its k-th event is known and
+    expires when time has passed its end by the lateness; a recording that is silent for `idle_ms`
+    closes its windows by the clock.
+
+    State is keyed finely, so a batch writes what it touches: an open anchor with its first events,
+    and recent events in stretches of a window's length (an anchor may come after its events).
     """
 
-    def __init__(self, start: int, end: int, k: int, fs: float):
-        self.start, self.end, self.k, self.fs = start, end, k, fs
+    def __init__(self, start: int, end: int, k: int, lateness: int, sources: int = 1, idle_ms: int | None = None):
+        self.start, self.end, self.k, self.lateness = start, end, k, lateness
+        self.sources, self.idle_ms = sources, idle_ms
+        self.stretch = max(1, end - start + 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", "anchors array<bigint>, codes array<int>, events array<bigint>")
-
-    def due(self, anchor: int) -> int:
-        """First millisecond at which no event of the window can be missing."""
-        return ORIGIN_MS + int((anchor + self.end) * 1000 / self.fs) + 1
-
-    def load(self):
-        if not self.state.exists():
-            return {}, []
-        anchors, codes, events = self.state.get()
-        return dict(zip(anchors, codes)), list(events)
-
-    def save(self, anchors: dict, events: list, watermark: int) -> None:
-        passed = (watermark - ORIGIN_MS) * self.fs / 1000 + self.start - 1
-        oldest = min([*[a + self.start for a in anchors], passed])
-        kept = [e for e in events if e >= oldest]
-        if anchors or kept:
-            self.state.update((list(anchors), list(anchors.values()), kept))
-        else:
-            self.state.clear()
+        self.anchors = handle.getMapState("anchors", "sample bigint, code int", "events array<bigint>")
+        self.recent = handle.getMapState("recent", "stretch bigint", "events array<bigint>")
+        self.newest = handle.getMapState("newest", "source int", "sample bigint")
 
-    def settle(self, key, anchors: dict, events: list, watermark: int) -> list:
-        at = np.sort(np.array(events, dtype=np.int64))
-        out = []
-        for a, code in sorted(anchors.items()):
-            low, high = np.searchsorted(at, a + self.start), np.searchsorted(at, a + self.end, side="right")
-            if high - low >= self.k:
-                out.append((key[0], a, code, "TRIGGER", self.k, int(at[low + self.k - 1])))
-            elif watermark >= self.due(a):
-                out.append((key[0], a, code, "NO_TRIGGER", int(high - low), None))
-            else:
-                continue
-            del anchors[a]
-        return out
+    def time(self) -> int | None:
+        """What all inputs have passed; None while one has not begun."""
+        found = [v[0] for _, v in self.newest.iterator()]
+        return min(found) if len(found) >= self.sources else None
 
-    def frame(self, out: list) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["recording_id", "sample", "code", "outcome", "n_events", "trigger_sample"])
-        made["trigger_sample"] = made["trigger_sample"].astype("Int64")
-        return made
+    def prepare(self, key, batch: pd.DataFrame) -> tuple[pd.DataFrame, dict[int, int], list[tuple]]:
+        """Rows of kind anchor and event with samples of one clock, what each source says of time, and
+        rows that are late already."""
+        return batch, batch.groupby("source")["clock"].max().dropna().to_dict(), []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        anchors, events = self.load()
-        known = set(anchors)
-        for part in rows:
-            is_anchor = part["kind"] == "anchor"
-            anchors.update(zip(part.loc[is_anchor, "sample"].tolist(), part.loc[is_anchor, "code"].tolist()))
-            events.extend(part.loc[part["kind"] == "event", "sample"].tolist())
-        watermark = timerValues.getCurrentWatermarkInMs()
-        out = self.settle(key, anchors, events, watermark)
-        for a in set(anchors) - known:
-            self.handle.registerTimer(self.due(a))
-        self.save(anchors, events, watermark)
+        parts = list(rows)
+        if not parts:
+            return
+        batch, clocks, out = self.prepare(key, pd.concat(parts))
+        before = self.time()
+        if before is not None:
+            is_late = batch["kind"].isin(["anchor", "event"]) & (batch["sample"] < before - self.lateness)
+            for s, code in batch.loc[is_late, ["sample", "code"]].itertuples(index=False):
+                out.append((key[0], int(s), None if pd.isna(code) else int(code), LATE, None, None))
+            batch = batch[~is_late]
+        for source, newest in clocks.items():
+            known = self.newest.getValue((int(source),))
+            if known is None or known[0] < newest:
+                self.newest.updateValue((int(source),), (int(newest),))
+        events = np.sort(batch.loc[batch["kind"] == "event", "sample"].to_numpy(np.int64))
+        touched: dict[tuple, list[int]] = {}
+        if len(events):
+            for anchor, (known,) in self.anchors.iterator():
+                low, high = np.searchsorted(events, [anchor[0] + self.start, anchor[0] + self.end + 1])
+                if high > low:
+                    touched[tuple(anchor)] = sorted([*known, *events[low:high].tolist()])[: self.k]
+            stretch = events // self.stretch
+            for at in np.unique(stretch).tolist():
+                known = self.recent.getValue((at,))
+                self.recent.updateValue((at,), ([*(known[0] if known else []), *events[stretch == at].tolist()],))
+        fresh = batch[batch["kind"] == "anchor"]
+        for a, code in zip(fresh["sample"].astype("int64").tolist(), fresh["code"].astype("int64").tolist()):
+            low, high = a + self.start, a + self.end
+            found = (self.recent.getValue((at,)) for at in range(low // self.stretch, high // self.stretch + 1))
+            touched[a, code] = sorted(e for f in found if f for e in f[0] if low <= e <= high)[: self.k]
+        for anchor, found in touched.items():
+            if len(found) < self.k:
+                self.anchors.updateValue(anchor, (found,))
+                continue
+            out.append((key[0], *anchor, "TRIGGER", self.k, found[-1]))
+            if self.anchors.containsKey(anchor):
+                self.anchors.removeKey(anchor)
+        now = self.time()
+        if now is not None:
+            out += self.expired(key, now - self.lateness)
+        if self.idle_ms is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         if out:
             yield self.frame(out)
 
+    def expired(self, key, passed: int) -> list[tuple]:
+        """Windows that end before `passed`; forgets events that no later anchor can ask for."""
+        out = []
+        for (a, code), (found,) in list(self.anchors.iterator()):
+            if a + self.end < passed:
+                out.append((key[0], a, code, "NO_TRIGGER", len(found), None))
+                self.anchors.removeKey((a, code))
+        for (at,) in list(self.recent.keys()):
+            if (at + 1) * self.stretch <= passed + min(self.start, 0):
+                self.recent.removeKey((at,))
+        return sorted(out)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        anchors, events = self.load()
-        watermark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        out = self.settle(key, anchors, events, watermark)
-        self.save(anchors, events, watermark)
-        if out:
-            yield self.frame(out)
+        """A silent recording: its windows are over by the clock, unless rows came in between."""
+        latest = max(self.handle.listTimers(), default=0)
+        if latest <= expiredTimerInfo.getExpiryTimeInMs():
+            out = self.expired(key, 1 << 62)
+            if out:
+                yield self.frame(out)
+
+    def frame(self, out: list) -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["recording_id", "sample", "code", "outcome", "n_events", "trigger_sample"])
+        return made.astype({c: "Int64" for c in ("sample", "code", "n_events", "trigger_sample")})
 
     def close(self) -> None:
         pass
 
 
+class AlignedDecider(WindowDecider):
+    """Decides on events of one stream and onsets of another, whose clocks only share sync edges.
+
+    Rows of source 0: "edge" with number and sample, and "event". Rows of source 1: "onset" with the
+    number of its last edge and the samples since, already at the first stream's rate, and "mark",
+    which only moves time. Their place on the first clock is counted from the edge with the same
+    number; they wait until that edge is known. An edge is forgotten once time has passed the next one
+    by the lateness: what still names it is late, and has no place.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.edges = handle.getMapState("edges", "seq bigint", "sample bigint")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "since array<bigint>, codes array<int>")
+        self.forgotten = handle.getValueState("forgotten", "seq bigint")
+
+    def prepare(self, key, batch: pd.DataFrame) -> tuple[pd.DataFrame, dict[int, int], list[tuple]]:
+        edges = batch[batch["kind"] == "edge"]
+        for seq, s in zip(edges["edge_seq"].astype("int64").tolist(), edges["sample"].astype("int64").tolist()):
+            self.edges.updateValue((seq,), (s,))
+        gone = self.forgotten.get()[0] if self.forgotten.exists() else 0
+        second = batch[batch["kind"].isin(["onset", "mark"])]
+        codes = second["code"].fillna(MARK).astype("int64").tolist()
+        came: dict[int, list] = {}
+        for seq, since, code in zip(second["edge_seq"].astype("int64").tolist(), second["sample"].astype("int64").tolist(), codes):
+            came.setdefault(seq, []).append((since, code))
+        placed, late = [], []
+        for seq in sorted({*came, *edges["edge_seq"].astype("int64").tolist()}):
+            before = self.waiting.getValue((seq,))
+            found = [*(zip(*before) if before else ()), *came.get(seq, ())]
+            if not found:
+                continue
+            edge = self.edges.getValue((seq,))
+            if edge is None and seq <= gone:
+                late += [(key[0], None, code, LATE, None, None) for _, code in found if code != MARK]
+                continue
+            if edge is None:
+                since, codes = zip(*found)
+                self.waiting.updateValue((seq,), (list(since), list(codes)))
+                continue
+            if before:
+                self.waiting.removeKey((seq,))
+            placed += [(edge[0] + since, code) for since, code in found]
+        clocks = batch.groupby("source")["clock"].max().dropna().to_dict()
+        if placed:
+            clocks[1] = max(clocks.get(1, -(1 << 62)), max(s for s, _ in placed))
+        anchors = pd.DataFrame([("anchor", s, c) for s, c in placed if c != MARK], columns=["kind", "sample", "code"])
+        return pd.concat([batch.loc[batch["kind"] == "event", ["kind", "sample", "code"]], anchors]), clocks, late
+
+    def expired(self, key, passed: int) -> list[tuple]:
+        known = sorted((seq, s) for (seq,), (s,) in self.edges.iterator())
+        over = [seq for (seq, _), (_, following) in zip(known, known[1:]) if following < passed]
+        for seq in over:
+            self.edges.removeKey((seq,))
+        if over:
+            self.forgotten.update((over[-1],))
+        return super().expired(key, passed)
+
+
+#: stands for the code of a mark in the state
+MARK = -(1 << 31)
+
+
+def _timed(rows: DataFrame, *more: str) -> DataFrame:
+    has = rows.columns
+    source = F.col("source").cast("int") if "source" in has else F.lit(0)
+    clock = F.col("clock") if "clock" in has else F.col("sample")
+    return rows.select(
+        "recording_id", "kind", F.col("sample").cast("long").alias("sample"), F.col("code").cast("int").alias("code"),
+        source.alias("source"), clock.cast("long").alias("clock"), *more,
+    )
+
+
 def decide_stream(
-    rows: DataFrame, start: int, end: int, k: int, fs: float, lateness: str = "50 milliseconds"
+    rows: DataFrame, start: int, end: int, k: int, fs: float, lateness: str | int = "50 milliseconds",
+    sources: int = 1, idle_ms: int | None = None,
 ) -> DataFrame:
-    """Decisions from one stream of anchors and events.
+    """Decisions from one stream of anchors and events, and the rows that came too late.
 
-    `rows`: recording_id, kind ("anchor", "event", anything else only moves time), sample,
-    code. Rows later than the allowed lateness are dropped by the watermark.
+    `rows`: recording_id, kind ("anchor", "event", anything else only moves time), sample, code;
+    optionally source (0, 1, ... of `sources` inputs that move time together) and clock (what a row
+    says of time, its sample unless given). Late rows have the outcome LATE: see `late_rows`.
     """
     use_rocksdb(rows.sparkSession)
-    timed = rows.select("recording_id", "kind", "sample", F.col("code").cast("int").alias("code"),
-        event_time(F.col("sample"), fs).alias("event_ts"),
+    return _timed(rows).groupBy("recording_id").transformWithStateInPandas(
+        statefulProcessor=WindowDecider(start, end, k, in_samples(lateness, fs), sources, idle_ms),
+        outputStructType=DECISIONS, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime",
+    )
+
+
+def decide_aligned_stream(
+    rows: DataFrame, start: int, end: int, k: int, fs: float, lateness: str | int = "50 milliseconds",
+    idle_ms: int | None = None,
+) -> DataFrame:
+    """Decisions on two streams with clocks of their own: `stamped_rows` and `onset_rows` in one."""
+    use_rocksdb(rows.sparkSession)
+    decider = AlignedDecider(start, end, k, in_samples(lateness, fs), sources=2, idle_ms=idle_ms)
+    return _timed(rows, "edge_seq").groupBy("recording_id").transformWithStateInPandas(
+        statefulProcessor=decider, outputStructType=DECISIONS, outputMode="Append",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
     )
-    return timed.withWatermark("event_ts", lateness).groupBy("recording_id").transformWithStateInPandas(
-        statefulProcessor=WindowDecider(start, end, k, fs),
-        outputStructType=DECISIONS, outputMode="Append", timeMode="EventTime",
+
+
+LIVE_ROWS = "recording_id string, kind string, sample bigint, code int, source int, clock bigint, edge_seq bigint"
+
+
+def stamped_rows(stamped: DataFrame, delay: int) -> DataFrame:
+    """Edges and usable peaks of `detect_stream(sync=True)` as rows of the first input.
+
+    A peak is put out up to `delay` samples (template and suppression) after an edge behind it, so
+    an edge moves time less far by that.
+    """
+    kind = F.when(F.col("kind") == "edge", "edge").when(F.col("edge_seq").isNotNull(), "event").otherwise("early")
+    return stamped.where("kind != 'late'").select(
+        "recording_id", kind.alias("kind"), "sample", F.lit(None).cast("int").alias("code"), F.lit(0).alias("source"),
+        (F.col("sample") - F.when(F.col("kind") == "edge", delay).otherwise(0)).alias("clock"), "edge_seq",
     )
+
+
+def onset_rows(decoded: DataFrame, fs: float, fs_events: float) -> DataFrame:
+    """Edges and stamped onsets of `decode_stream` as rows of the second input, at the first's rate."""
+    since = F.round((F.col("sample") - F.col("edge_sample")) * F.lit(float(fs_events)) / F.lit(float(fs))).cast("long")
+    return decoded.where("edge_seq is not null").select(
+        "recording_id", F.when(F.col("kind") == "edge", "mark").otherwise("onset").alias("kind"), since.alias("sample"),
+        "code", F.lit(1).alias("source"), F.lit(None).cast("long").alias("clock"), "edge_seq",
+    )
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("outcome") != LATE)
+
+
+def late_rows(rows: DataFrame) -> DataFrame:
+    """The side table: sample and code of what came too late."""
+    return rows.where(F.col("outcome") == LATE).select("recording_id", "sample", "code")
