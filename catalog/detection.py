@@ -185,10 +185,10 @@ def score_percentiles(spark, sf):
     """With a coarse sketch, so that small groups are bracketed like large ones."""
     trace = series(spark, sf)
     linear = quantiles.exact_quantiles(
-        trace, KEYS, F.col("score"), {"linear_50": 0.5, "linear_9999": 0.9999}, accuracy=100
+        trace, KEYS, F.col("score"), {"linear_50": 0.5, "linear_9999": 0.9999}
     )
     nearest = quantiles.exact_quantiles(
-        trace, KEYS, F.col("score"), {"nearest_50": 0.5, "nearest_9999": 0.9999}, "nearest", accuracy=100
+        trace, KEYS, F.col("score"), {"nearest_50": 0.5, "nearest_9999": 0.9999}, "nearest"
     )
     return rounded(linear, "linear_50", "linear_9999").join(nearest, KEYS)
 
@@ -202,7 +202,7 @@ def global_quantiles(spark, sf):
     """With a coarse sketch, so that small tables are bracketed like large ones."""
     prices = spark.read.parquet(f"{sf}/lineitem.parquet")
     return rounded(
-        quantiles.exact_quantiles(prices, [], F.col("l_extendedprice"), {"p50": 0.5, "p9999": 0.9999}, accuracy=100),
+        quantiles.exact_quantiles(prices, [], F.col("l_extendedprice"), {"p50": 0.5, "p9999": 0.9999}),
         "p50", "p9999",
     )
 

@@ -17,7 +17,7 @@ from tracewell.sources import filters as fl
 from tracewell.sources import metadata as md
 from tracewell.sources import sinks
 from tracewell.sources.files import resolve
-from tracewell.sources.raw import register
+from tracewell.sources.raw import layouts, register
 
 
 def make_folder(folder):
@@ -91,6 +91,37 @@ def raw_scan_halo(spark, sf):
     return rows.select("recording_id", "chunk_id", "lead", "trail", total.alias("total"))
 
 
+@query(
+    "raw_range_scan",
+    f"""with {MULTI} select recording_id, sample, channel, cast(value % 30000 as double) as value from m
+    where recording_id in ('rec0', 'rec2') and sample >= 128 and sample < 448""",
+)
+def raw_range_scan(spark, sf):
+    """Only the byte ranges of the wanted recordings and samples become tasks."""
+    folder = scratch_path(spark, "raw")
+    write_raw(ch.pack(signal(spark, sf).withColumn("value", F.col("value") % 30000), 100), folder)
+    return ch.unpack(scan(spark, folder, chunk_samples=64, recordings="rec0,rec2", from_sample=128, to_sample=448))
+
+
+@query(
+    "raw_layouts",
+    f"""with {MULTI} select recording_id, sample, channel, cast(value % 30000 as double) as value from m
+    where (recording_id = 'rec0' and channel in (0, 2)) or (recording_id <> 'rec0' and channel <> 5)""",
+)
+def raw_layouts(spark, sf):
+    """Recordings with different numbers of stored channels in one folder, each with its keep mask."""
+    folder = scratch_path(spark, "raw")
+    small = signal(spark, sf).withColumn("value", F.col("value") % 30000)
+    write_raw(ch.pack(small.where("recording_id != 'rec0' or channel < 3"), 100), folder)
+    first = F.col("recording_id") == "rec0"
+    table = small.select("recording_id").distinct().select(
+        "recording_id", F.when(first, 3).otherwise(CHANNELS).alias("n_channels"),
+        F.when(first, F.array(F.lit(0), F.lit(2))).otherwise(F.array(*(F.lit(c) for c in range(CHANNELS) if c != 5))).alias("columns"),
+    )
+    reader = register(spark).read.format("interleaved16").option("layout", layouts(table)).option("chunk_samples", 64)
+    return ch.unpack(reader.load(folder))
+
+
 CUST = """c as (select 'c' || c_custkey as recording_id, c_custkey as k, c_nationkey as n, c_name, c_mktsegment as s from customer)"""
 
 

@@ -272,3 +272,20 @@ def test_hot_recording_is_cut_into_blocks(spark):
     sizes = [r["count"] for r in spread.groupBy("_block").count().collect()]
     # The first and last block see one neighbour, negative and trailing ones only replicas.
     assert len(sizes) == 102 and max(sizes) <= 1010
+
+
+@pytest.mark.parametrize("band", [3, 40])
+def test_wide_bands_are_narrowed_in_rounds(spark, band):
+    import random
+
+    from tracewell.operators import quantiles
+
+    rng = random.Random(band)
+    rows = [("a", rng.gauss(0, 1) ** 5) for _ in range(3000)] + [("b", float(rng.randint(0, 9))) for _ in range(900)]
+    rows += [("c", 1e300), ("c", -1e300), ("c", 5.0), ("d", 7.0)] + [("e", 2.0 + k * 2**-51) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    asked = {"low": 0.001, "mid": 0.5, "high": 0.937}
+    for r in quantiles.exact_quantiles(df, ["g"], F.col("v"), asked, accuracy=100, band=band).collect():
+        values = np.array([v for g, v in rows if g == r.g])
+        want = [np.quantile(values, p) for p in asked.values()]
+        assert [r.low, r.mid, r.high] == pytest.approx(want, rel=1e-12)

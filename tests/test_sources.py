@@ -76,3 +76,30 @@ def test_legacy_filters(spark, tmp_path):
     (tmp_path / "filter_7.bin").write_bytes(b"12345")
     with pytest.raises(Exception, match="not a multiple"):
         fl.import_legacy(spark, str(tmp_path), 3).collect()
+
+
+def test_options_choose_what_is_planned(spark, tmp_path):
+    import numpy as np
+
+    from tracewell.sources.raw import RawReader, layouts, register
+
+    for name, width in (("a", 2), ("b", 3), ("c", 2)):
+        np.arange(1000 * width, dtype="<i2").tofile(f"{tmp_path}/{name}.bin")
+    table = spark.createDataFrame([("b", 3, [2, 0])], "recording_id string, n_channels int, columns array<int>")
+    options = {"n_channels": "2", "chunk_samples": "100", "chunks_per_task": "2", "halo_before": "5", "layout": layouts(table)}
+
+    def plan(**chosen):
+        reader = RawReader({"path": str(tmp_path), **options, **chosen})
+        return [(p.recording_id, p.first_chunk, p.last_chunk) for p in reader.partitions()]
+
+    assert len(plan()) == 15
+    assert plan(recordings="b", from_sample="250", to_sample="500") == [("b", 2, 4), ("b", 4, 5)]
+    assert plan(recordings="a,x", from_sample="900") == [("a", 9, 10)]
+    assert plan(to_sample="0") == []
+    with pytest.raises(ValueError, match="neither"):
+        RawReader({"path": str(tmp_path), "layout": options["layout"]}).partitions()
+    rows = register(spark).read.format("interleaved16").options(**options, recordings="b", from_sample=250, to_sample=500).load(str(tmp_path))
+    got = rows.orderBy("start_sample").collect()
+    assert [(r.start_sample, r.lead, r.channels) for r in got] == [(200, 5, [2, 0]), (300, 5, [2, 0]), (400, 5, [2, 0])]
+    assert got[1]["values"][10:14] == [902.0, 900.0, 905.0, 903.0]
+    assert rows.rdd.getNumPartitions() == 2

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import join_dimension
+from tracewell.session import cut_lineage, join_dimension
 
 # The sketch is off by at most 1 / accuracy of the rows; brackets allow three times that,
-# so by default the band that is ranked exactly holds 6 rows in 100,000.
+# so by default the first band holds 6 rows in 100,000.
 ACCURACY = 100_000
+# Different values of a band that are ranked in one window; wider bands are narrowed first.
+BAND, SPLIT = 50_000, 4096
 
 
 def exact_quantiles(
@@ -21,13 +23,15 @@ def exact_quantiles(
     probabilities: dict[str, float],
     method: str = "linear",
     accuracy: int = ACCURACY,
+    band: int = BAND,
 ) -> DataFrame:
     """One column per named probability, exact.
 
     A mergeable sketch brackets every requested rank; a second pass counts what lies
     below each bracket and keeps, pre-aggregated by value, only the narrow band inside
     it. Groups of up to `accuracy` values, too small for a bracket, use
-    their full range. `linear` interpolates between the two closest ranks, `nearest` takes rank
+    their full range. Bands of more than `band` different values are narrowed in rounds of counting
+    until what is ranked in one window has a fixed size, at any number of rows. `linear` interpolates between the two closest ranks, `nearest` takes rank
     floor(p * (n - 1) + 0.5).
     """
     values = df.select(*keys, value.cast("double").alias("_v")).where("_v is not null")
@@ -72,6 +76,7 @@ def exact_quantiles(
         .groupBy(*keys, F.col("_q.name").alias("_name"), F.col("_q.at").alias("_at"), "_band")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    banded = narrowed(banded, [*keys, "_name"], band)
     order = Window.partitionBy(*keys, "_name").orderBy(F.col("_band").asc_nulls_first())
     ranked = banded.withColumn("_upto", F.sum("_c").over(order))
     if method == "nearest":
@@ -97,5 +102,38 @@ def exact_quantiles(
     )
 
 
+def narrowed(banded: DataFrame, by: list[str], band: int) -> DataFrame:
+    """The bands (by, _at, _band, _c) with at most `band` different values, or values too close to part.
+
+    A round counts a band in SPLIT equal steps from its least to its greatest value, finds the steps of
+    the two wanted ranks, adds what lies below to the count under the null value and leaves out what
+    lies above. Every round keeps two steps of a few thousand, so rounds follow the logarithm.
+    """
+    before = None
+    while True:
+        banded = cut_lineage(banded)
+        sizes = banded.groupBy(*by).agg(
+            F.count("_band").alias("_n"), F.min("_band").alias("_least"), F.max("_band").alias("_most")
+        )
+        widest = sizes.agg(F.max("_n")).first()[0] or 0
+        if widest <= band or widest == before:
+            return banded
+        before = widest
+        # numbers of steps grow with the value, also where rounding makes them uneven
+        place = F.floor((F.col("_band") - F.col("_least")) / (F.col("_most") - F.col("_least")) * SPLIT)
+        step = F.when(F.col("_n") > band, F.coalesce(place, F.lit(-1))).otherwise(F.lit(0)).cast("int")
+        placed = join_dimension(banded, sizes, by, spread=F.xxhash64("_band")).withColumn("_step", step)
+        counted = placed.groupBy(*by, "_at", "_step").agg(F.sum("_c").alias("_in"))
+        upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_step"))
+        wanted = cut_lineage(counted.withColumn("_upto", upto).groupBy(*by).agg(
+            F.min(F.when(F.col("_upto") > F.floor("_at"), F.col("_step"))).alias("_from"),
+            F.min(F.when(F.col("_upto") > F.ceil("_at"), F.col("_step"))).alias("_to"),
+        ))
+        kept = join_dimension(placed, wanted, by, spread=F.xxhash64("_band"), stage=False)
+        inside = F.col("_step") <= F.coalesce("_to", F.lit(SPLIT))
+        under = F.when(F.col("_step") >= F.col("_from"), F.col("_band")).alias("_band")
+        banded = kept.where(inside).groupBy(*by, "_at", under).agg(F.sum("_c").alias("_c"))
+
+
 def median(df: DataFrame, keys: Sequence[str], value: Column, name: str = "median") -> DataFrame:
     return exact_quantiles(df, keys, value, {name: 0.5})

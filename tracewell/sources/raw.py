@@ -8,6 +8,7 @@ shuffle at all: `spark.read.format("interleaved16")`.
 from __future__ import annotations
 
 import ast
+import json
 import os
 import re
 from bisect import bisect_left, bisect_right
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tracewell.sources.chunks import decode_int16
@@ -57,30 +58,61 @@ class ChunkRange(InputPartition):
         self.pieces = pieces
 
 
+@dataclass
+class Layout:
+    """How a recording lies on disk and what is wanted of it."""
+
+    width: int
+    ids: list
+    columns: list
+
+
 class RawReader(DataSourceReader):
+    """Plans byte ranges of the wanted samples only, and reads them with their halo.
+
+    `recordings` (comma-separated), `from_sample` and `to_sample` choose what is planned: chunks that
+    overlap the range. They are options and no pushed filters, since Spark keeps what was pushed to a
+    Python source with the DataFrame, and a second query on it would miss rows. `layout`: JSON by recording of n_channels, and if they differ from all, channel_ids and
+    columns (which of the stored channels to deliver); other recordings take the options.
+    """
+
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.width = int(options["n_channels"])
         self.length = int(options.get("chunk_samples", 65536))
         self.before = int(options.get("halo_before", 0))
         self.after = int(options.get("halo_after", 0))
         self.per_task = int(options.get("chunks_per_task", 16))
         self.suffix = options.get("suffix", ".bin")
         self.payload = options.get("payload", "values")
-        wanted = options.get("columns")
-        ids = options.get("channel_ids")
-        self.ids = [int(c) for c in ids.split(",")] if ids else list(range(self.width))
-        self.columns = [int(c) for c in wanted.split(",")] if wanted else list(range(self.width))
+        numbers = lambda text: [int(c) for c in text.split(",")] if text else None
+        width = options.get("n_channels")
+        self.common = None if width is None else layout_of(
+            int(width), numbers(options.get("channel_ids")), numbers(options.get("columns"))
+        )
+        given = json.loads(options.get("layout", "{}"))
+        self.layouts = {k: layout_of(v["n_channels"], v.get("channel_ids"), v.get("columns")) for k, v in given.items()}
+        self.wanted = set(options["recordings"].split(",")) if "recordings" in options else None
+        low, high = options.get("from_sample"), options.get("to_sample")
+        self.first_chunk = None if low is None else int(low) // self.length
+        self.end_chunk = None if high is None else -(-int(high) // self.length)
+
+    def layout(self, name: str) -> Layout:
+        found = self.layouts.get(name, self.common)
+        if found is None:
+            raise ValueError(f"recording {name}: neither n_channels nor a layout is given")
+        return found
 
     def recordings(self) -> dict[str, list[Piece]]:
-        """`X.bin` is a whole recording; `X/<start>.bin` are consecutive parts of one."""
+        """`X.bin` is a whole recording; `X/part-<start>.bin` are consecutive parts of one."""
         found: dict[str, list[Piece]] = {}
         for path, size in sizes(self.path, self.suffix):
             stem = os.path.basename(path)[: -len(self.suffix)]
             part = re.fullmatch(r"part-(\d+)", stem)
             name = os.path.basename(os.path.dirname(path)) if part else stem
+            if self.wanted is not None and name not in self.wanted:
+                continue
             start = int(part.group(1)) if part else 0
-            found.setdefault(name, []).append(Piece(path, start, size // (2 * self.width)))
+            found.setdefault(name, []).append(Piece(path, start, size // (2 * self.layout(name).width)))
         return {k: sorted(v, key=lambda p: p.start) for k, v in found.items()}
 
     def partitions(self) -> list[InputPartition]:
@@ -89,25 +121,31 @@ class RawReader(DataSourceReader):
             first, end = pieces[0].start, pieces[-1].start + pieces[-1].n
             step = self.per_task
             starts, ends = [p.start for p in pieces], [p.start + p.n for p in pieces]
-            for chunk in range(first // self.length, -(-end // self.length), step):
+            lowest, highest = first // self.length, -(-end // self.length)
+            if self.first_chunk is not None:
+                lowest = max(lowest, self.first_chunk)
+            if self.end_chunk is not None:
+                highest = min(highest, self.end_chunk)
+            for chunk in range(lowest, highest, step):
+                last = min(chunk + step, highest)
                 low = chunk * self.length - self.before
-                high = (chunk + step) * self.length + self.after
+                high = last * self.length + self.after
                 # parts are in order and do not overlap
                 near = pieces[bisect_right(ends, low) : bisect_left(starts, high)]
                 if near:
-                    plan.append(ChunkRange(name, chunk, chunk + step, first, end, near))
+                    plan.append(ChunkRange(name, chunk, last, first, end, near))
         return plan
 
-    def stretch(self, system, pieces, low: int, high: int) -> np.ndarray:
+    def stretch(self, system, pieces, low: int, high: int, layout: Layout) -> np.ndarray:
         """Samples [low, high) from the parts that hold them."""
         parts = []
         for p in pieces:
             a, b = max(low, p.start), min(high, p.start + p.n)
             if a < b:
-                row = 2 * self.width
+                row = 2 * layout.width
                 data = read_range(system, p.path, (a - p.start) * row, (b - a) * row)
-                parts.append(decode_int16(data, self.width)[:, self.columns])
-        return np.concatenate(parts) if parts else np.empty((0, len(self.columns)))
+                parts.append(decode_int16(data, layout.width)[:, layout.columns])
+        return np.concatenate(parts) if parts else np.empty((0, len(layout.columns)))
 
     def samples(self, x: np.ndarray) -> dict:
         if self.payload == "int16":
@@ -116,7 +154,8 @@ class RawReader(DataSourceReader):
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
         system, _ = resolve(self.path)
-        ids = [self.ids[c] for c in self.columns]
+        layout = self.layout(partition.recording_id)
+        ids = [layout.ids[c] for c in layout.columns]
         # Stretches without a missing sample; a halo never reaches across a hole.
         runs: list[list[int]] = []
         for p in partition.pieces:
@@ -132,7 +171,7 @@ class RawReader(DataSourceReader):
                     continue
                 lead = min(self.before, start - low)
                 trail = min(self.after, high - end)
-                x = self.stretch(system, partition.pieces, start - lead, end + trail)
+                x = self.stretch(system, partition.pieces, start - lead, end + trail, layout)
                 row = {
                     "recording_id": [partition.recording_id],
                     "chunk_id": [chunk],
@@ -146,6 +185,21 @@ class RawReader(DataSourceReader):
                 yield pa.RecordBatch.from_pydict(row)
 
 
+def layout_of(width: int, ids: list[int] | None, columns: list[int] | None) -> Layout:
+    return Layout(width, ids or list(range(width)), columns if columns is not None else list(range(width)))
+
+
+def layouts(table: DataFrame) -> str:
+    """The `layout` option from a table: recording_id, n_channels, and optionally channel_ids, columns.
+
+    One row per recording of the folder: as many as the plan lists files anyway.
+    """
+    more = [c for c in ("channel_ids", "columns") if c in table.columns]
+    rows = table.select("recording_id", "n_channels", *more).collect()
+    fields = ["n_channels", *more]
+    return json.dumps({r.recording_id: {f: r[f] for f in fields if r[f] is not None} for r in rows})
+
+
 @dataclass
 class Fetch(InputPartition):
     recording_id: str
@@ -215,11 +269,12 @@ class RawStreamReader(DataSourceStreamReader):
 
     def read(self, partition: Fetch) -> Iterator[pa.RecordBatch]:
         system, _ = resolve(self.raw.path)
-        ids = [self.raw.ids[c] for c in self.raw.columns]
+        layout = self.raw.layout(partition.recording_id)
+        ids = [layout.ids[c] for c in layout.columns]
         for p in partition.pieces:
             low, high = max(partition.first, p.start), min(partition.end, p.start + p.n)
             for at in range(low, high, self.fetch):
-                x = self.raw.stretch(system, [p], at, min(high, at + self.fetch))
+                x = self.raw.stretch(system, [p], at, min(high, at + self.fetch), layout)
                 yield pa.RecordBatch.from_pydict({
                     "recording_id": [partition.recording_id],
                     "chunk_id": [at // self.raw.length],
