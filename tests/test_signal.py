@@ -113,3 +113,32 @@ def test_haloed_scan_needs_no_shuffle(spark, tmp_path):
     assert "Exchange hashpartitioning" not in top
     d = np.convolve(x[:700, 2], [-1, 2, 1], mode="same")
     assert sorted(r.sample for r in found.collect()) == ref.window_peaks(d, 4)
+
+
+def test_candidates_are_the_local_maxima_of_the_trace(spark):
+    import numpy as np
+
+    from tracewell.operators import peaks, signal as sg
+    from tracewell.sources import chunks as ch
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (900, 2))
+    x[130:330] = 1  # flat over several chunks
+    x[500:520] = 0
+    rows = [("r", s, c, float(x[s, c])) for s in range(900) for c in (0, 1) if not 700 <= s < 750]
+    chunks = ch.pack(spark.createDataFrame(rows, "recording_id string, sample bigint, channel int, value double"), 50)
+    taps = rng.integers(-2, 3, (7, 2)).astype(float).ravel().tolist()
+    filters = spark.createDataFrame(
+        [("r", 1, [0, 1], taps, 3, 0.0, None), ("r", 2, [1, 0], taps, 2, 0.0, None), ("r", 3, [0, 1], taps, 3, 0.0, 260)],
+        "recording_id string, target_id bigint, channels array<int>, taps array<double>, left_margin int, threshold double, from_sample bigint",
+    )
+    keys = ["recording_id", "target_id"]
+    got = sorted(tuple(r) for r in sg.candidates(chunks, 50, filters, 7).select(*keys, "sample", "score").collect())
+    plain = filters.drop("from_sample")
+    want = peaks.local_maxima(sg.score_trace(chunks, 50, plain.where("target_id < 3"), 7), keys)
+    late = ch.pack(spark.createDataFrame([r for r in rows if r[1] >= 260], "recording_id string, sample bigint, channel int, value double"), 50)
+    want = want.union(peaks.local_maxima(sg.score_trace(late, 50, plain.where("target_id = 3"), 7), keys))
+    want = sorted(tuple(r) for r in want.select(*keys, "sample", "score").collect())
+    assert got == want and len(got) > 100
+    high = sg.candidates(chunks, 50, filters, 7, minimum=5.0).select(*keys, "sample", "score").collect()
+    assert sorted(map(tuple, high)) == [r for r in want if r[3] >= 5]

@@ -40,17 +40,27 @@ def local_maxima(
     )
     v = F.col(score)
     sharp = seen.where((v > F.col("_prev")) & (v > F.col("_next"))).select(*keys, sample, score)
-    flat = cut_lineage(seen.where((v == F.col("_prev")) | (v == F.col("_next"))))
+    flat = seen.where((v == F.col("_prev")) | (v == F.col("_next"))).select(
+        *keys, sample, score, (v > F.col("_prev")).alias("rises"), (v > F.col("_next")).alias("falls")
+    )
+    return sharp.unionByName(flat_tops(flat, keys, sample, score, block))
+
+
+def flat_tops(
+    flat: DataFrame, keys: Sequence[str], sample: str = "sample", score: str = "score", block: int = BLOCK
+) -> DataFrame:
+    """Middles of flat stretches between a rise and a fall; `flat` has their rows, `rises` and `falls`."""
+    flat = cut_lineage(flat)
     # Rows of one flat top share the position of the row that starts it.
     tops = runs(flat, keys, sample, score, block)
-    rising = flat.where(v > F.col("_prev")).select(*keys, F.col(sample).alias("run_start"))
-    falling = flat.where(v > F.col("_next")).select(*keys, F.col(sample).alias("run_end"))
+    rising = flat.where("rises").select(*keys, F.col(sample).alias("run_start"))
+    falling = flat.where("falls").select(*keys, F.col(sample).alias("run_end"))
     middles = (
         tops.join(rising, [*keys, "run_start"], "left_semi")
         .join(falling, [*keys, "run_end"], "left_semi")
         .select(*keys, F.floor((F.col("run_start") + F.col("run_end")) / 2).alias(sample), score)
     )
-    return sharp.unionByName(middles)
+    return middles
 
 
 def window_peaks(

@@ -30,7 +30,8 @@ from tracewell.functions.kernels import (
     zero_phase_filter,
 )
 from tracewell.operators.matching import mark_near
-from tracewell.session import join_dimension
+from tracewell.operators.peaks import flat_tops
+from tracewell.session import cut_lineage, join_dimension
 from tracewell.sources.chunks import attach_halo, decode_int16, unpack_scores
 
 CHUNK_SCHEMA = (
@@ -215,9 +216,9 @@ def with_filters(chunks: DataFrame, filters: DataFrame) -> DataFrame:
     `filters`: recording_id, target_id, channels, taps (flat, time-major), left_margin,
     threshold. A probe has a bounded number of targets, so the array is bounded too.
     """
-    bank = filters.groupBy("recording_id").agg(
-        F.collect_list(F.struct("target_id", F.col("channels").alias("chs"), "taps", "left_margin", "threshold")).alias("filters")
-    )
+    more = [c for c in ("from_sample",) if c in filters.columns]
+    spec = F.struct("target_id", F.col("channels").alias("chs"), "taps", "left_margin", "threshold", *more)
+    bank = filters.groupBy("recording_id").agg(F.collect_list(spec).alias("filters"))
     return join_dimension(chunks, bank, ["recording_id"], max_rows=500, spread="chunk_id")
 
 
@@ -267,6 +268,58 @@ def score_trace(chunks, length, filters, template_length, cleaning=None, edge="z
     return unpack_scores(score(chunks, length, filters, template_length, cleaning, edge))
 
 
+CANDIDATES = "recording_id string, target_id bigint, sample bigint, score double, flat boolean, rises boolean, falls boolean"
+
+
+def candidates(
+    chunks: DataFrame,
+    length: int,
+    filters: DataFrame,
+    template_length: int,
+    cleaning: Cleaning | None = None,
+    minimum: float | None = None,
+) -> DataFrame:
+    """Local maxima of every filter's score, as `peaks.local_maxima` of the whole trace gives them.
+
+    Found where the score is made, so only points higher than both neighbours leave a task, and rows
+    of flat stretches, whose ends may lie in other chunks. `minimum` leaves out lower points. A filter
+    with `from_sample` sees zeros before that sample and has no scores there.
+    """
+    step = cleaning or Cleaning(highpass=None, reference=False)
+    before, after = step.reach()
+
+    def run(block: Block):
+        x, channels = step.apply(block, before, after)
+        at = block.start - block.lead + np.arange(len(x))
+        for spec in block.row["filters"]:
+            columns, taps = _filter_arrays(spec, channels)
+            begin = spec.get("from_sample") or 0
+            own = x[:, columns]
+            if begin > at[0]:
+                own = np.where((at >= begin)[:, None], own, 0.0)
+            d = correlate(own, taps, spec["left_margin"])
+            d[at < begin] = np.nan  # comparisons with what is not there are false
+            around = np.concatenate([[np.nan], d, [np.nan]])
+            rises, falls = d > around[:-2], d > around[2:]
+            flat = (d == around[:-2]) | (d == around[2:])
+            chosen = (rises & falls) | flat
+            if minimum is not None:
+                chosen &= d >= minimum
+            lo, hi = block.lead, block.lead + block.n
+            for i in np.flatnonzero(chosen[lo:hi]) + lo:
+                yield (
+                    block.recording_id, spec["target_id"], int(at[i]), float(d[i]), bool(flat[i]), bool(rises[i]), bool(falls[i])
+                )
+
+    reach = template_length + 1
+    haloed = attach_halo(chunks, length, before + reach, after + reach)
+    found = map_blocks(with_filters(haloed, filters), run, CANDIDATES)
+    keys = ["recording_id", "target_id"]
+    rows = cut_lineage(found)
+    sharp = rows.where("not flat").select(*keys, "sample", "score")
+    return sharp.unionByName(flat_tops(rows.where("flat").drop("flat"), keys))
+
+
 def detect_blocks(
     block: Block,
     cleaning: Cleaning,

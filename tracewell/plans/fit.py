@@ -58,16 +58,32 @@ def fit(
     waveforms = cut_lineage(
         templates.mean_waveforms(chunks, length, used, T, off, settings.max_spikes, order, lengths)
     )
+    local = local_units(targets, interferers)
+    times = local.join(spikes, ["recording_id", "unit_id"]).select(*KEYS, "spike_time").distinct()
+    return solved(chunks, length, waveforms, targets, interferers, times, targets.join(lengths, "recording_id"), settings)
+
+
+def local_units(targets: DataFrame, interferers: DataFrame) -> DataFrame:
+    """recording_id, target_id, unit_id of the target itself and its interferers."""
+    return interferers.select(*KEYS, "unit_id").unionByName(
+        targets.select(*KEYS, F.col("target_id").alias("unit_id"))
+    )
+
+
+def solved(
+    chunks: DataFrame, length: int, waveforms: DataFrame, targets: DataFrame, interferers: DataFrame,
+    times: DataFrame, spans: DataFrame, settings: FitSettings,
+) -> Fit:
+    """Channels, noise and filters from mean waveforms.
+
+    `times`: recording_id, target_id, spike_time of what is no noise; `spans`: n_samples of each target.
+    """
+    T, off = settings.template_length, settings.offset
     selected = cut_lineage(
         templates.select_channels(
             templates.channel_energy(waveforms), interferers, settings.n_channels, targets
         )
     )
-    local = interferers.select(*KEYS, "unit_id").unionByName(
-        targets.select(*KEYS, F.col("target_id").alias("unit_id"))
-    )
-    times = local.join(spikes, ["recording_id", "unit_id"]).select(*KEYS, "spike_time").distinct()
-    spans = targets.join(lengths, "recording_id")
     quiet = solve.quiet_segments(times, spans, T, off, settings.max_noise_samples)
     chans = selected.groupBy(*KEYS).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "channel"))), lambda s: s["channel"]).alias("channels")
@@ -203,8 +219,7 @@ def _operating_points(
     if suppression == "window":
         found = signal.detect(chunks, length, filters, T, suppress=apart, edge="zero", thresholded=False)
     else:
-        trace = signal.score_trace(chunks, length, filters, T)
-        found = pk.priority_peaks(pk.local_maxima(trace, KEYS), KEYS, apart)
+        found = pk.priority_peaks(signal.candidates(chunks, length, filters, T), KEYS, apart)
     truth = targets.join(spikes.withColumnRenamed("unit_id", "target_id"), KEYS).select(*KEYS, "spike_time")
     others = interferers.join(spikes, ["recording_id", "unit_id"]).select(*KEYS, "unit_id", "spike_time")
     curve = sweep.sweep(found, truth, KEYS, tolerance, interferers=others, guard=1e-9)
@@ -240,43 +255,78 @@ def data_fractions(
 ) -> DataFrame:
     """Refit on growing first parts and score the rest at one fixed threshold.
 
-    All fractions run in one job: a recording appears once per fraction, its id after the
-    fraction's number, which is taken off again whatever the id holds.
+    The signal is read once for all fractions: a target stands once per fraction, with its own end of
+    training, and only sparse rows are multiplied. Sums of waveforms are taken per stretch between two
+    ends and added up over the stretches before each end (with `max_spikes`, which chooses among all
+    spikes of a part, per fraction).
     """
+    T, off, n = settings.template_length, settings.offset, len(fractions)
     shares = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("number"), F.lit(float(f)).alias("fraction")) for i, f in enumerate(fractions)
-    ]))
-    tag = F.concat_ws(":", F.col("_share.number").cast("string"), "recording_id")
-
-    def repeat(df: DataFrame) -> DataFrame:
-        return df.withColumn("_share", shares).withColumn("recording_id", tag).drop("_share")
+        F.struct(F.lit(i).alias("part"), F.lit(float(f)).alias("train_fraction")) for i, f in enumerate(sorted(fractions))
+    ])).alias("share")
+    lengths = cut_lineage(templates.lengths_of(chunks))
+    parts = cut_lineage(
+        lengths.select("recording_id", "n_samples", shares).select(
+            "recording_id", "n_samples", "share.*",
+            F.floor(F.col("n_samples") * F.col("share.train_fraction")).cast("bigint").alias("split"),
+        )
+    )
 
-    lengths = (
-        templates.lengths_of(chunks).withColumn("_share", shares).withColumn("recording_id", tag)
-        .withColumn("train_fraction", F.col("_share.fraction")).drop("_share")
+    def coded(df: DataFrame, *ids: str) -> DataFrame:
+        """The rows once per fraction, ids with its number; `split` is where its training ends."""
+        joined = df.join(parts.select("recording_id", "part", "split"), "recording_id")
+        for c in ids:
+            joined = joined.withColumn(c, F.col(c) * n + F.col("part"))
+        return joined
+
+    all_targets = cut_lineage(coded(targets, "target_id").drop("part"))
+    all_rivals = cut_lineage(coded(interferers, "target_id", "unit_id").drop("part", "split"))
+    all_spikes = cut_lineage(coded(spikes, "unit_id").drop("part"))
+    wanted = local_units(all_targets, all_rivals).select("recording_id", "unit_id").distinct()
+    if settings.max_spikes is None:
+        # a spike counts from the first part on in which it is usable
+        ends_of = parts.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("part", "split"))).alias("ends"))
+        fits = F.filter("ends", lambda e: F.col("spike_time") < e["split"] - T + off)
+        first = F.try_element_at(fits, F.lit(1))["part"]
+        usable = spikes.join(ends_of, "recording_id").withColumn("unit_id", F.col("unit_id") * n + first)
+        usable = usable.where("unit_id is not null").drop("ends")
+        wanted = wanted.withColumn("unit_id", F.explode(F.sequence(F.col("unit_id") - F.pmod("unit_id", F.lit(n)), F.col("unit_id")))).distinct()
+    else:
+        usable = all_spikes.where(F.col("spike_time") < F.col("split") - T + off).drop("split")
+    usable = usable.join(wanted, ["recording_id", "unit_id"], "left_semi")
+    waveforms = templates.mean_waveforms(
+        chunks, length, usable, T, off, settings.max_spikes, order, lengths
     )
-    splits = cut_lineage(templates.split_at(lengths, F.col("train_fraction")))
-    many = repeat(chunks)
-    all_spikes, all_targets, all_rivals = repeat(spikes), repeat(targets), repeat(interferers)
-    fitted = fit(
-        cut_chunks(many, splits, "train"), length, templates.train_part(all_spikes, splits, "spike_time"),
-        all_targets, all_rivals, settings, order,
+    if settings.max_spikes is None:
+        part = F.pmod("unit_id", F.lit(n)).cast("int")
+        later = waveforms.withColumn("part", F.explode(F.sequence(part, F.lit(n - 1)))).withColumn(
+            "unit_id", F.floor(F.col("unit_id") / n) * n + F.col("part")
+        )
+        waveforms = later.groupBy("recording_id", "unit_id", "k", "channel").agg(
+            (F.sum(F.col("value") * F.col("n_used")) / F.sum("n_used")).alias("value"), F.sum("n_used").alias("n_used")
+        )
+    early = all_spikes.where("spike_time < split").drop("split")
+    times = local_units(all_targets, all_rivals).join(early, ["recording_id", "unit_id"]).select(*KEYS, "spike_time").distinct()
+    spans = all_targets.select(*KEYS, F.col("split").alias("n_samples"))
+    fitted = solved(
+        chunks, length, cut_lineage(waveforms), all_targets.drop("split"), all_rivals, times, spans, settings
     )
-    T = settings.template_length
-    filters = fitted.filters.withColumn("threshold", F.lit(float(threshold)))
-    trace = signal.score_trace(cut_chunks(many, splits, "test"), length, filters, T)
-    tops = pk.local_maxima(trace, KEYS).where(F.col("score") >= threshold)
+    ends = all_targets.select(*KEYS, F.col("split").alias("from_sample"))
+    filters = cut_lineage(fitted.filters.withColumn("threshold", F.lit(float(threshold))).join(ends, KEYS))
+    tops = signal.candidates(chunks, length, filters, T, minimum=float(threshold))
     found = cut_lineage(pk.priority_peaks(tops, KEYS, T // 2))
-    late = all_spikes.join(splits, "recording_id").where("spike_time >= split").drop("split")
-    truth = all_targets.join(late.withColumnRenamed("unit_id", "target_id"), KEYS).select(*KEYS, "spike_time")
+    late = all_spikes.where("spike_time >= split").select("recording_id", F.col("unit_id").alias("target_id"), "spike_time")
+    truth = all_targets.select(*KEYS).join(late, KEYS).select(*KEYS, "spike_time")
     result = sweep.evaluate(found, truth, KEYS, T // 4, guard=1e-9)
-    seconds = splits.join(lengths, "recording_id").select(
-        "recording_id", "train_fraction",
+    seconds = parts.select(
+        "recording_id", "part", "train_fraction",
         (F.col("split") / F.lit(float(fs))).alias("train_s"),
         ((F.col("n_samples") - F.col("split")) / F.lit(float(fs))).alias("test_s"),
     )
     return (
-        result.join(seconds, "recording_id")
+        result.withColumn("part", F.pmod("target_id", F.lit(n)).cast("int"))
+        .withColumn("target_id", F.floor(F.col("target_id") / n))
+        .join(seconds, ["recording_id", "part"])
+        .drop("part")
         .withColumn("fp_rate_hz", F.col("total_fp") / F.col("test_s"))
-        .withColumn("recording_id", F.regexp_replace("recording_id", "^[0-9]+:", ""))
     )
