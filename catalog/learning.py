@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.fitting import LEN, OFF, T, VALID, order
@@ -9,6 +10,7 @@ from catalog.registry import query
 from catalog.signals import packed
 from catalog.views import CHANNELS, CHUNK, EV, KEYS, MULTI, UNITS, lengths, read, truth, units
 from tracewell.operators import learned, signal, sweep, templates as tp
+from tracewell.session import cut_lineage
 from tracewell.sources.filters import left_margin
 
 N_OUT = 10
@@ -121,6 +123,42 @@ def examples(spark, sf):
     )
 
 
+HINGE_BIAS = 0.25
+
+
+def hinge_weights():
+    return [((7 * i) % 11 - 5) / 10 for i in range(64)]
+
+
+@query(
+    "hinge_sums",
+    f"""with c as (select vec_id, embedding, case when label = 0 then 1.0::double else -1.0::double end as y,
+      case when label = 0 then (select count(*) filter (where label <> 0) / greatest(count(*) filter (where label = 0), 1)::double from embeddings)
+      else 1 end as weight from embeddings),
+    s as (select *, greatest(0, 1 - y * ({HINGE_BIAS}::double + list_sum(list_transform(range(64), lambda i:
+      embedding[i + 1]::double * (((7 * i) % 11 - 5) / 10.0::double))))) as short from c),
+    g as (select *, -2 * weight * y * short as slope from s)
+    select 0::bigint as i, round(sum(weight * short * short), 6) as v from g
+    union all select i + 1, round(sum(slope * embedding[i + 1]::double), 6) from g, range(64) r(i) group by i
+    union all select 65, round(sum(slope), 6) from g union all select 66, round(sum(weight), 6) from g""",
+)
+def hinge_sums(spark, sf):
+    """Loss, gradient and weight at one point: what a round of the fit moves."""
+    sums = learned.hinge_sums(learned.weighted(examples(spark, sf)), np.array([*hinge_weights(), HINGE_BIAS]))
+    rows = spark.createDataFrame(list(enumerate(sums.tolist())), "i bigint, v double")
+    return rows.withColumn("v", F.round("v", 6))
+
+
+@query("hinge_warm_start")
+def hinge_warm_start(spark, sf):
+    """The fit from zero, and from the other learned filter: one loss, fewer rounds."""
+    rows = cut_lineage(learned.weighted(examples(spark, sf)))
+    cold = learned.fit_hinge(rows, 64, reg=0.01, max_rounds=60)
+    warm = learned.fit_hinge(rows, 64, reg=0.01, max_rounds=60, start=(cold.weights * 1.05, cold.bias))
+    out = [("zero", round(cold.loss, 6), cold.rounds), ("near", round(warm.loss, 6), warm.rounds)]
+    return spark.createDataFrame(out, "start string, loss double, rounds bigint")
+
+
 @query("svm_scores")
 def svm_scores(spark, sf):
     rows = examples(spark, sf)

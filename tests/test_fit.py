@@ -170,3 +170,31 @@ def test_nearest_units_sees_quiet_neighbours(spark):
     target = spark.createDataFrame([("r", 0)], "recording_id string, target_id bigint")
     assert [r.unit_id for r in templates.nearest_units(ranked, target, peaks, sites, 1).collect()] == [59]
     assert [r.unit_id for r in templates.nearest_units(ranked, target, peaks, sites, 1, pool=10).collect()] == [1]
+
+
+def test_hinge_fit_reaches_the_optimum_from_any_start(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 12))
+    y = np.where(x @ rng.normal(size=12) + 0.3 * rng.normal(size=400) > 0, 1.0, 0.0)
+    weight = np.where(y == 1, 2.0, 1.0)
+    rows = spark.createDataFrame(
+        [(v.tolist(), float(a), float(w)) for v, a, w in zip(x, y, weight)], "values array<double>, label double, weight double"
+    ).repartition(5)
+    cold = learned.fit_hinge(rows, 12, reg=0.01)
+
+    def loss_and_slope(p):
+        sign = 2 * y - 1
+        short = np.maximum(0, 1 - sign * (x @ p[:12] + p[12]))
+        slope = -2 * weight * sign * short / weight.sum()
+        return (weight * short**2).sum() / weight.sum() + 0.005 * p[:12] @ p[:12], np.append(slope @ x + 0.01 * p[:12], slope.sum())
+
+    at = np.append(cold.weights, cold.bias)
+    loss, slope = loss_and_slope(at)
+    assert cold.loss == pytest.approx(loss) and np.abs(slope).max() < 1e-5
+    # any other point is worse: the loss is convex
+    assert all(loss_and_slope(at + 0.01 * rng.normal(size=13))[0] > loss for _ in range(20))
+    taps = (cold.weights * 1.02).reshape(3, 4).T.ravel()
+    warm = learned.fit_hinge(rows, 12, reg=0.01, start=(learned.weights_from_taps(taps, 3, 4), cold.bias))
+    assert warm.loss == pytest.approx(cold.loss, abs=1e-9) and warm.rounds < cold.rounds
+    bounded = learned.fit_hinge(rows, 12, reg=0.01, max_rounds=3)
+    assert bounded.rounds == 3 and bounded.loss > cold.loss

@@ -6,8 +6,11 @@ channel. Random choices are seeded hashes of row identity.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -179,9 +182,103 @@ def fit_linear(examples: DataFrame, reg: float = 1e-4, max_iter: int = 100) -> L
     return svc.fit(features)
 
 
+@dataclass(frozen=True)
+class HingeFit:
+    weights: np.ndarray
+    bias: float
+    loss: float
+    #: passes over the examples
+    rounds: int
+
+
+def hinge_sums(examples: DataFrame, point: np.ndarray) -> np.ndarray:
+    """Weighted squared hinge loss at (weights, bias), its gradient, and the sum of the weights.
+
+    Tasks hand on one row each; the sums are d + 3 numbers.
+    """
+    d = len(point) - 1
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d + 3)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(0)
+            x = values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+            y = np.where(batch.column(1).to_numpy(zero_copy_only=False) == 1, 1.0, -1.0)
+            weight = batch.column(2).to_numpy(zero_copy_only=False)
+            short = np.maximum(0.0, 1 - y * (x @ point[:d] + point[d]))
+            slope = -2 * weight * y * short
+            total[0] += (weight * short**2).sum()
+            total[1 : d + 1] += slope @ x
+            total[d + 1] += slope.sum()
+            total[d + 2] += weight.sum()
+        yield pa.record_batch([pa.array(np.arange(d + 3)), pa.array(total)], ["i", "v"])
+
+    chosen = examples.select("values", F.col("label").cast("double"), F.col("weight").cast("double"))
+    rows = chosen.mapInArrow(add, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(d + 3)
+    for r in rows:
+        out[r.i] = r.v
+    return out
+
+
+def fit_hinge(
+    examples: DataFrame, width: int, reg: float = 1e-4, max_rounds: int = 100, tolerance: float = 1e-6,
+    start: tuple[Sequence[float], float] | None = None, memory: int = 10,
+) -> HingeFit:
+    """Weighted squared hinge loss with a ridge, minimised from given weights and bias.
+
+    A quasi-Newton descent: every round is one pass over the staged examples (values, label, weight)
+    that returns a loss and a gradient, so it scales with the tasks; the driver keeps `memory` past
+    steps of `width` numbers. The loss is convex: a start only changes the number of rounds.
+    """
+    rows = cut_lineage(examples)
+    point = np.zeros(width + 1)
+    if start is not None:
+        point[:width], point[width] = np.asarray(start[0], dtype=float), start[1]
+    ridge = np.append(np.full(width, reg), 0.0)
+    rounds = 0
+
+    def at(p: np.ndarray) -> tuple[float, np.ndarray]:
+        nonlocal rounds
+        rounds += 1
+        sums = hinge_sums(rows, p)
+        scale = max(sums[-1], 1e-300)
+        return sums[0] / scale + 0.5 * float(ridge @ p**2), sums[1:-1] / scale + ridge * p
+
+    loss, slope = at(point)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    while rounds < max_rounds and np.abs(slope).max() > tolerance:
+        direction, used = slope.copy(), []
+        for s, g in reversed(steps):
+            share = (s @ direction) / (s @ g)
+            used.append(share)
+            direction -= share * g
+        if steps:
+            s, g = steps[-1]
+            direction *= (s @ g) / (g @ g)
+        for (s, g), share in zip(steps, reversed(used)):
+            direction += s * (share - (g @ direction) / (s @ g))
+        size = 1.0 if steps else 1.0 / max(1.0, np.abs(slope).sum())
+        while rounds < max_rounds:
+            trial = point - size * direction
+            new_loss, new_slope = at(trial)
+            if new_loss <= loss - 1e-4 * size * (slope @ direction):
+                break
+            size /= 2
+        else:
+            break
+        s, g = trial - point, new_slope - slope
+        if s @ g > 1e-12 * (g @ g):
+            steps = [*steps, (s, g)][-memory:]
+        point, loss, slope = trial, new_loss, new_slope
+    return HingeFit(point[:width], float(point[width]), float(loss), rounds)
+
+
 def linear_score(values: Column, weights: Sequence[float], bias: float) -> Column:
     """w . x + b inside the JVM."""
-    products = F.zip_with(values, F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b)
+    products = F.zip_with(values, F.lit(np.asarray(weights, dtype=float)), lambda a, b: a * b)
     return F.aggregate(products, F.lit(float(bias)), lambda acc, p: acc + p)
 
 
@@ -212,6 +309,11 @@ def diagnostics(examples: DataFrame, weights: Sequence[float], bias: float) -> D
     )
 
 
+def weights_from_taps(taps: Sequence[float], n_channels: int, template_length: int) -> np.ndarray:
+    """Time-major taps of a fitted filter as channel-major weights, to start a fit from."""
+    return np.asarray(taps, dtype=float).reshape(template_length, n_channels).T.ravel()
+
+
 def train_with_mining(
     positives: DataFrame,
     negatives: DataFrame,
