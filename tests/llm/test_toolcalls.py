@@ -80,3 +80,21 @@ def test_long_chain_and_empty_table(spark):
     got = {r.id: r.level for r in link_tool_calls(docs).where(F.col("kind") == "call").collect()}
     assert got == {str(k): k for k in range(12)}
     assert link_tool_calls(docs.limit(0)).count() == 0
+
+
+def test_copies_of_one_row_and_null_turns(spark):
+    call = '<tool_call>{"id":"a","name":"f","arguments":{}}</tool_call>'
+    rows = [(1, 2, "assistant", call)] * 3 + [(1, None, "assistant", call), (1, 3, "user", '<tool_result>{"id":"a","content":1}</tool_result>')]
+    found = link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    calls = sorted((r.turn is not None, r.error, r.linked) for r in found if r.kind == "call")
+    assert calls == [(False, None, True)] + [(True, "duplicate", False)] * 3
+    assert [(r.error, r.linked) for r in found if r.kind == "result"] == [(None, True)]
+
+
+def test_every_branch_of_the_query_is_there(spark):
+    from tracewell.llm.queries import op9_tool_call_linking
+
+    rows = op9_tool_call_linking(spark, "/root/testdata/sf0.01").collect()
+    errors = {r.error for r in rows}
+    assert {None, "json", "duplicate", "reference", "cycle", "tool:absent", "type:n", "missing:limit,unknown:of"} <= errors
+    assert max(r.level or 0 for r in rows) >= 2 and {r.linked for r in rows if r.kind == "result"} == {True, False}

@@ -86,19 +86,94 @@ def op8_host_quality_rules(spark, sf_dir):
     )
 
 
-@query(
-    "op9_tool_call_linking",
-    """
-    select conv_id, turn, 'message' as kind, 0 as place, role, null::varchar as id, null::varchar as name,
-      null::int as level, null::boolean as linked, null::varchar as error,
-      '{"content":' || to_json(coalesce(text, '')) || ',"conv_id":' || conv_id || ',"kind":"message","role":' ||
-        to_json(role) || ',"turn":' || turn || '}' as json
-    from conversations
-    """,
+#: tools of the derived calls; "absent" has no schema
+TOOLS = [
+    ("search", "n", "integer", True), ("search", "of", "object", False), ("count", "n", "integer", True),
+    ("count", "limit", "integer", True),
+]
+
+CALLS_SQL = r"""
+with base as (
+  select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text,
+    case when conv_id % 17 = 0 then 'broken' when conv_id % 13 = 0 then 'same' when conv_id % 11 = 0 then 'lost'
+      when conv_id % 7 = 0 then 'cycle' else 'chain' end as plan,
+    ['search', 'count', 'absent'][conv_id % 3 + 1] as tool
+  from conversations
+), calls as (
+  select *, case when plan = 'same' then 'c1' else 'c' || turn end as id,
+    case plan when 'lost' then 'zz' when 'cycle' then 'c' || case when turn % 8 = 1 then turn else turn - 2 end
+      when 'chain' then case when turn % 8 <> 1 then 'c' || (turn - 2) end end as ref,
+    case when conv_id % 5 = 0 then '"' || length(text) || '"' else length(text)::varchar end as n,
+    row_number() over (partition by conv_id order by turn) as nth
+  from base where turn % 2 = 1
+), results as (select *, 'c' || (turn - 1) as id from base where turn % 2 = 0 and turn > 0),
+found as (
+  select c.*, '{"n":' || n || case when ref is null then '' else ',"of":{"$ref":"' || ref || '"}' end || '}' as arguments,
+    plan = 'same' and nth > 1 as again, concat_ws(',', case when tool = 'count' then 'missing:limit' end,
+      case when tool = 'absent' then 'tool:absent' end, case when tool <> 'absent' and conv_id % 5 = 0 then 'type:n' end,
+      case when tool = 'count' and ref is not null then 'unknown:of' end) as problems
+  from calls c
 )
+select conv_id, turn, 'message' as kind, 0 as place, role, null::varchar as id, null::varchar as name,
+  null::int as level, null::boolean as linked, null::varchar as error,
+  '{"content":' || to_json(text) || ',"conv_id":' || conv_id || ',"kind":"message","role":' || to_json(role) ||
+    ',"turn":' || turn || '}' as json
+from base
+union all
+select conv_id, turn, 'call', 0, role, null, null, null, false, 'json',
+  '{"conv_id":' || conv_id || ',"kind":"call","role":' || to_json(role) || ',"turn":' || turn || '}'
+from calls where plan = 'broken'
+union all
+select conv_id, turn, 'call', 0, role, id, tool,
+  case plan when 'chain' then ((turn - 1) // 2 % 4)::int when 'cycle' then null else 0 end,
+  not again and exists (select 1 from results r where r.conv_id = f.conv_id and r.id = f.id),
+  case when again then 'duplicate' when plan = 'lost' then 'reference' when plan = 'cycle' then 'cycle'
+    when problems <> '' then problems end,
+  '{"arguments":' || arguments || ',"conv_id":' || conv_id || ',"id":"' || id || '","kind":"call","name":"' || tool ||
+    '","role":' || to_json(role) || ',"turn":' || turn || '}'
+from found f where plan <> 'broken'
+union all
+select conv_id, turn, 'result', 0, role, id, null, null,
+  exists (select 1 from calls c where c.conv_id = r.conv_id and c.id = r.id and c.plan <> 'broken'), null,
+  '{"content":"' || length(text) || '","conv_id":' || conv_id || ',"id":"' || id || '","kind":"result","role":' ||
+    to_json(role) || ',"turn":' || turn || '}'
+from results r
+"""
+
+
+def with_calls(conversations):
+    """Every odd turn of the table makes a call, every later even turn answers the one before it.
+
+    Identifiers, names and arguments follow from conversation, turn and text; some conversations break
+    their JSON, repeat an identifier, refer to nothing or in a circle, or miss the tool's schema.
+    """
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.coalesce("text", F.lit(""))
+    rest = lambda k: conv % k == 0
+    length = F.char_length(text).cast("string")
+    n = F.when(rest(5), F.concat(F.lit('"'), length, F.lit('"'))).otherwise(length)
+    back = F.concat(F.lit("c"), turn - 2)
+    ref = (
+        F.when(rest(17) | rest(13), F.lit(None)).when(rest(11), "zz")
+        .when(rest(7), F.when(turn % 8 == 1, F.concat(F.lit("c"), turn)).otherwise(back)).when(turn % 8 != 1, back)
+    )
+    of = F.coalesce(F.concat(F.lit(',"of":{"$ref":"'), ref, F.lit('"}')), F.lit(""))
+    own = F.when(rest(13) & ~rest(17), "c1").otherwise(F.concat(F.lit("c"), turn))
+    tool = F.element_at(F.array(F.lit("search"), F.lit("count"), F.lit("absent")), (conv % 3 + 1).cast("int"))
+    call = F.concat(
+        F.lit('<tool_call>{"name":"'), tool, F.lit('","id":"'), own, F.lit('","arguments":{"n":'), n, of,
+        F.when(rest(17), "}").otherwise("}}"), F.lit("</tool_call>"),
+    )
+    result = F.concat(F.lit('<tool_result>{"id":"c'), turn - 1, F.lit('","content":"'), length, F.lit('"}</tool_result>'))
+    more = F.when(turn % 2 == 1, call).when(turn > 0, result).otherwise("")
+    return conversations.select("conv_id", "turn", "role", F.concat(text, more).alias("text"))
+
+
+@query("op9_tool_call_linking", CALLS_SQL)
 def op9_tool_call_linking(spark, sf_dir):
-    """Every message, call and result as canonical JSON; the table's tools have no schemas."""
-    return toolcalls.link_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """Every message, call and result as canonical JSON, calls linked, levelled and checked."""
+    schemas = spark.createDataFrame(TOOLS, toolcalls.SCHEMA)
+    return toolcalls.link_tool_calls(with_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")), schemas)
 
 
 @query("op10_suffix_array_dedup")

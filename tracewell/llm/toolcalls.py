@@ -13,7 +13,8 @@ sorting by (conv_id, turn, kind, place) gives the conversation back.
 
 Defined results: null texts are empty messages; null roles are `user`; broken JSON is a
 call with `error = 'json'`, never a failure; of repeated identifiers in a conversation the
-earliest place counts for links and the others have `error = 'duplicate'`; calls on a cycle or
+earliest place counts for links (null turns first, one copy of repeated rows) and the others have
+`error = 'duplicate'`; calls on a cycle or
 above one have a null level and `error = 'cycle'`; a reference to nothing is `'reference'`.
 Empty tables give empty results. Other columns are not read.
 """
@@ -66,7 +67,13 @@ def events(messages: DataFrame) -> DataFrame:
         ),
     )
     rows = base.select("conv_id", "turn", "role", F.explode(found).alias("e"))
+    columns = ["conv_id", "turn", "role", "kind", "place", "body"]
     rows = rows.select("conv_id", "turn", "role", "e.kind", "e.place", "e.body")
+    # copies of one row are told apart by a number, counted without bringing them together
+    copies = rows.where("kind != 'message'").groupBy(*columns).count().withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))
+    )
+    rows = rows.where("kind = 'message'").withColumn("copy", F.lit(1)).unionByName(copies.drop("count"))
     parsed = rows.withColumn(
         "json", F.when(F.col("kind") != "message", _canonical(F.col("body")))
     )
@@ -78,15 +85,20 @@ def events(messages: DataFrame) -> DataFrame:
         F.get_json_object("json", "$.name").alias("name"),
         F.when(F.col("kind") == "call", _canonical(F.get_json_object("json", "$.arguments"))).alias("arguments"),
         F.get_json_object("json", "$.content").alias("content"),
-        "body",
+        "body", "copy",
         ((F.col("kind") != "message") & F.col("json").isNull()).alias("broken"),
     )
 
 
+def _place() -> Column:
+    """Where an event stands in its conversation."""
+    return F.struct("turn", "place", "role", "copy")
+
+
 def first_of_id(rows: DataFrame) -> DataFrame:
     """The earliest place of every identifier of a conversation, by partial aggregates."""
     return rows.where(F.col("id").isNotNull()).groupBy(*KEY).agg(
-        F.min(F.struct("turn", "place")).alias("first_at")
+        F.min(_place()).alias("first_at")
     )
 
 
@@ -193,7 +205,7 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame | None = None) -> Da
         .union(result_ids.withColumn("kind", F.lit("result")))
     )
     linked = call_ids.select(*KEY).join(result_ids.select(*KEY), KEY).withColumn("linked", F.lit(True))
-    firsts = calls.join(call_ids, KEY).where(F.struct("turn", "place") == F.col("first_at"))
+    firsts = calls.join(call_ids, KEY).where(_place().eqNullSafe(F.col("first_at")))
     level = levels(cut_lineage(firsts.select(*KEY, "arguments"))).withColumn("kind", F.lit("call"))
     missing = (
         calls.select(*KEY, F.explode(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1))).alias("ref"))
@@ -219,13 +231,13 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame | None = None) -> Da
     error = (
         F.when(F.col("broken"), "json")
         .when(F.col("id").isNull(), "id")
-        .when(F.struct("turn", "place") != F.col("first_at"), "duplicate")
+        .when(F.col("first_at").isNotNull() & ~_place().eqNullSafe(F.col("first_at")), "duplicate")
         .when(F.col("lost"), "reference")
         .when((F.col("kind") == "call") & F.col("level").isNull(), "cycle")
         .when(F.col("problems") != "", F.col("problems"))
     )
     joined = joined.withColumn("error", error).withColumn(
-        "linked", F.coalesce(F.col("linked") & (F.struct("turn", "place") == F.col("first_at")), F.lit(False))
+        "linked", F.coalesce(F.col("linked") & (_place().eqNullSafe(F.col("first_at"))), F.lit(False))
     )
     plain = every.where("kind = 'message'").withColumns(
         {"level": F.lit(None).cast("int"), "linked": F.lit(None).cast("boolean"), "error": F.lit(None).cast("string")}
