@@ -198,3 +198,52 @@ def test_hinge_fit_reaches_the_optimum_from_any_start(spark):
     assert warm.loss == pytest.approx(cold.loss, abs=1e-9) and warm.rounds < cold.rounds
     bounded = learned.fit_hinge(rows, 12, reg=0.01, max_rounds=3)
     assert bounded.rounds == 3 and bounded.loss > cold.loss
+
+
+def lag_products(taps, width, n=6000, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width)) @ rng.normal(size=(width, width))
+    for k in range(1, 4):
+        x[k:] += 0.5**k * x[:-k]
+    return np.array([x[: n - m].T @ x[m:] / n for m in range(taps)]), rng
+
+
+@pytest.mark.parametrize("orientation", ["reference", "flattened"])
+@pytest.mark.parametrize("taps,width", [(1, 3), (2, 1), (15, 5), (31, 12)])
+def test_block_toeplitz_solve_equals_the_dense_one(taps, width, orientation):
+    from tracewell.operators import solve
+
+    products, rng = lag_products(taps, width)
+    R = solve.assemble(products, orientation)
+    loaded = R + np.eye(len(R)) * (1e-3 * np.trace(R) / len(R))
+    v = rng.normal(size=(len(R), min(3, len(R))))
+    blocks = solve.BlockToeplitz(products, orientation, 1e-3)
+    assert np.allclose(blocks @ v, loaded @ v, rtol=1e-11, atol=1e-9 * np.abs(loaded).max())
+    C = rng.normal(size=(len(R), min(2, len(R))))
+    want = solve.constrained_filter(R, C, 1e-3)
+    assert np.allclose(solve.constrained_filter_of(products, C, 1e-3, orientation, dense=0), want, rtol=1e-8, atol=1e-10 * np.abs(want).max())
+
+
+def test_wide_probe_within_a_fixed_memory():
+    import tracemalloc
+
+    from tracewell.operators import solve
+
+    products, rng = lag_products(61, 96, n=9000)
+    C = rng.normal(size=(61 * 96, 3))
+    tracemalloc.start()
+    found = solve.constrained_filter_of(products, C, 1e-3, "flattened")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(C.T @ found, [1, 0, 0], atol=1e-8)
+    assert peak < 100e6 < (61 * 96) ** 2 * 8
+
+
+def test_an_indefinite_matrix_is_still_solved():
+    from tracewell.operators import solve
+
+    products, rng = lag_products(9, 3)
+    products[0] -= 3 * np.eye(3) * products[0].max()
+    C = rng.normal(size=(27, 2))
+    want = solve.constrained_filter(solve.assemble(products, "reference"), C, 0.0)
+    assert np.allclose(solve.constrained_filter_of(products, C, 0.0, "reference", dense=0), want)

@@ -172,6 +172,93 @@ def assemble(products: np.ndarray, orientation: str) -> np.ndarray:
     return out.reshape(width * taps, width * taps)
 
 
+class BlockToeplitz:
+    """The noise matrix as its lag products: products with vectors by Fourier transforms.
+
+    Holds (2 taps) x channels x channels numbers, never the (channels x taps) squared of the matrix.
+    """
+
+    def __init__(self, products: np.ndarray, orientation: str, ridge: float):
+        taps, width, _ = products.shape
+        self.taps, self.width, self.size = taps, width, 2 * taps
+        # by_lag[d][i, k]: the entry of block (i, k) at row - column = d
+        ahead, behind = products.transpose(0, 2, 1), products
+        by_lag = np.zeros((self.size, width, width))
+        lags = np.arange(taps)
+        sign = 1 if orientation != "reference" else -1
+        for d in lags:
+            high, low = (ahead[d], behind[d]) if sign > 0 else (behind[d], ahead[d])
+            by_lag[d] = high
+            if d:
+                by_lag[-d] = low
+        # blocks above the diagonal are the transposes of those below
+        lower = np.tril(np.ones((width, width), bool))
+        mirrored = by_lag[-np.arange(self.size)].transpose(0, 2, 1)
+        by_lag = np.where(lower, by_lag, mirrored)
+        by_lag[taps] = 0
+        trace = taps * np.trace(by_lag[0])
+        by_lag[0] += np.eye(width) * (ridge * trace / (width * taps))
+        self.spectrum = np.fft.rfft(by_lag, axis=0)
+        # nearest circulant of every block, solved one frequency at a time
+        share = np.arange(taps)[:, None, None] / taps
+        ring = (1 - share) * by_lag[:taps]
+        ring[1:] += share[1:] * by_lag[taps + 1 :]
+        symbol = np.fft.rfft(ring, axis=0)
+        symbol = (symbol + symbol.conj().transpose(0, 2, 1)) / 2
+        values, vectors = np.linalg.eigh(symbol)
+        values = np.maximum(values, 1e-6 * values.max())
+        self.inverse = (vectors / values[:, None, :]) @ vectors.conj().transpose(0, 2, 1)
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        """Products with the columns of `v`, channel-major."""
+        x = np.fft.rfft(v.reshape(self.width, self.taps, -1).transpose(1, 0, 2), self.size, axis=0)
+        out = np.fft.irfft(self.spectrum @ x, self.size, axis=0)[: self.taps]
+        return out.transpose(1, 0, 2).reshape(v.shape)
+
+    def precondition(self, v: np.ndarray) -> np.ndarray:
+        x = np.fft.rfft(v.reshape(self.width, self.taps, -1).transpose(1, 0, 2), axis=0)
+        out = np.fft.irfft(self.inverse @ x, self.taps, axis=0)
+        return out.transpose(1, 0, 2).reshape(v.shape)
+
+    def solve(self, b: np.ndarray, tolerance: float = 1e-12, most: int = 2000) -> np.ndarray:
+        """Conjugate gradients for all columns at once; an error if they do not converge."""
+        x, r = np.zeros_like(b), b.copy()
+        z = self.precondition(r)
+        p, rz = z.copy(), (r * z).sum(0)
+        goal = tolerance * np.linalg.norm(b, axis=0)
+        for _ in range(most):
+            if (np.linalg.norm(r, axis=0) <= goal).all():
+                return x
+            q = self @ p
+            curve = (p * q).sum(0)
+            step = np.where(curve > 0, rz / np.where(curve > 0, curve, 1), 0.0)
+            x, r = x + step * p, r - step * q
+            z = self.precondition(r)
+            new = (r * z).sum(0)
+            p, rz = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0.0) * p, new
+        raise np.linalg.LinAlgError("no convergence: the matrix is not positive definite")
+
+
+#: unknowns from which the matrix is never built (3000 squared doubles are 72 MB)
+DENSE = 3000
+
+
+def constrained_filter_of(products: np.ndarray, C: np.ndarray, ridge: float, orientation: str, dense: int = DENSE) -> np.ndarray:
+    """`constrained_filter` from lag products, in a memory that follows them beyond `dense` unknowns.
+
+    A matrix that is not positive definite is solved as a whole.
+    """
+    if len(C) > dense:
+        try:
+            whitened = BlockToeplitz(products, orientation, ridge).solve(C)
+        except np.linalg.LinAlgError:
+            dense = len(C)
+    if len(C) <= dense:
+        return constrained_filter(assemble(products, orientation), C, ridge)
+    wanted = np.eye(C.shape[1])[0]
+    return whitened @ np.linalg.solve(C.T @ whitened, wanted)
+
+
 def constrained_filter(R: np.ndarray, C: np.ndarray, ridge: float) -> np.ndarray:
     """Minimum output noise with gain 1 on the first column of C and 0 on the others."""
     loaded = R + np.eye(len(R)) * (ridge * np.trace(R) / len(R))
@@ -226,8 +313,8 @@ def solve_filters(
         def one(cols, values, chs) -> list[float]:
             width = len(chs)
             C = np.array([np.asarray(c) for c in cols]).T
-            R = assemble(np.asarray(values).reshape(template_length, width, width), orientation)
-            flat = constrained_filter(R, C, ridge)
+            lagged = np.asarray(values).reshape(template_length, width, width)
+            flat = constrained_filter_of(lagged, C, ridge, orientation)
             return flat.reshape(width, template_length).T.ravel().tolist()
 
         return pd.Series([one(*row) for row in zip(columns, noise, channels)])
