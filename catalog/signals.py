@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.views import BLOCK, CHUNK, EV, KEYS, MULTI, TRUTH, events, series, signal, truth
+from catalog.views import BLOCK, CHANNELS, CHUNK, EV, KEYS, MULTI, TRUTH, events, series, signal, truth
 from tracewell.operators import matching, peaks, signal as dense, sweep
 from tracewell.operators.signal import Cleaning
 from tracewell.session import cut_lineage
@@ -166,6 +166,18 @@ def fir_trace(spark, sf):
     return whole(out).drop("target_id")
 
 
+@query("fir_trace_shared", pair_sql(2, "true"))
+def fir_trace_shared(spark, sf):
+    """Many filters of one recording share the transforms of its channels; one of them is shown."""
+    one = bank(spark, sf, PAIR, [1, 4], 2)
+    more = [bank(spark, sf, PAIR, [c, (c + 3) % CHANNELS], 2).withColumn("target_id", F.lit(c + 100).cast("bigint")) for c in range(3)]
+    filters = one
+    for other in more:
+        filters = filters.unionByName(other)
+    out = dense.score_trace(packed(spark, sf), CHUNK, filters, 5, method="fft").join(one.select("recording_id", "target_id"), ["recording_id", "target_id"], "left_semi")
+    return whole(out.withColumn("score", F.round("score"))).drop("target_id")
+
+
 @query("fir_trace_valid", pair_sql(2, "n.sample >= 2 and n.sample + 2 <= e"))
 def fir_trace_valid(spark, sf):
     out = dense.score_trace(packed(spark, sf), CHUNK, bank(spark, sf, PAIR, [1, 4], 2), 5, edge="valid")

@@ -85,3 +85,15 @@ def test_assembled_matrix_and_constraints():
     C = rng.normal(size=(2 * T, 3))
     f = constrained_filter(R, C, 1e-3)
     assert np.allclose(C.T @ f, [1, 0, 0], atol=1e-9)
+
+
+@pytest.mark.parametrize("n,length,left", [(1, 1, 0), (50, 7, 3), (5000, 61, 20), (3001, 61, 60), (2048, 5, 0), (0, 5, 2)])
+def test_shared_correlation_equals_the_direct_one(n, length, left):
+    from tracewell.functions.kernels import SharedCorrelation, correlate
+
+    rng = np.random.default_rng(n + length)
+    x = rng.normal(size=(n, 6))
+    shared = SharedCorrelation(x, length)
+    for columns in ([0], [4, 1, 2]):
+        taps = rng.normal(size=(length, len(columns)))
+        assert np.allclose(shared(np.array(columns), taps, left), correlate(x[:, columns], taps, left) if n else [], atol=1e-10)

@@ -97,6 +97,37 @@ def correlate(x, taps, left: int):
     )
 
 
+class SharedCorrelation:
+    """`correlate` for many filters of one stretch: overlapping frames whose transforms they share.
+
+    The forward transforms are made once per channel; a filter costs one product and one inverse
+    transform. Results are those of `correlate` up to rounding, so equal neighbours need not stay equal.
+    """
+
+    def __init__(self, x, length: int):
+        self.n, self.length = len(x), length
+        self.frame = max(1024, 1 << (8 * length - 1).bit_length())
+        self.step = self.frame - length + 1
+        count = -(-max(self.n, 1) // self.step)
+        padded = np.zeros((length - 1 + count * self.step + length - 1, x.shape[1]))
+        padded[length - 1 : length - 1 + self.n] = x
+        starts = np.arange(count) * self.step
+        frames = np.stack([padded[a : a + self.frame] for a in starts])
+        self.spectra = np.fft.rfft(frames, axis=1)
+
+    def __call__(self, columns, taps, left: int):
+        """score[n] = sum of x[n - left + k, columns] * taps[k]; zeros outside."""
+        response = np.fft.rfft(taps, self.frame, axis=0).conj()
+        together = np.einsum("fwc,wc->fw", self.spectra[:, :, columns], response)
+        valid = np.fft.irfft(together, self.frame, axis=1)[:, : self.step].ravel()
+        # valid[i] is the sum that starts at sample i - (length - 1)
+        first = self.length - 1 - left
+        out = np.zeros(self.n)
+        part = valid[first : first + self.n]
+        out[: len(part)] = part
+        return out
+
+
 def trailing_max(v, reach: int):
     """max(v[n - reach : n]) for every n, -inf where empty; log2(reach) passes."""
     out = np.full(len(v), -np.inf)

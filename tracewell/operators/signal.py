@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewell.functions.kernels import (
+    SharedCorrelation,
     correlate,
     highpass_coefficients,
     median_reference,
@@ -235,22 +236,29 @@ def score(
     template_length: int,
     cleaning: Cleaning | None = None,
     edge: str = "zero",
+    method: str = "direct",
 ) -> DataFrame:
     """Score chunks of every filter: sum over taps and channels around each sample.
 
+    `method="fft"` shares the transforms of a chunk's channels among all filters of its recording: for
+    many targets; equal to "direct" up to rounding.
+
     `edge="zero"` pads recording ends with zeros and scores every sample; `"valid"` keeps
     only samples whose whole window exists; `"open"` also leaves out the last of those, as
     the sliding learned score does. Cleaning runs in the same task.
     """
+    if method not in ("direct", "fft"):
+        raise ValueError(f"unknown method {method}")
     step = cleaning or Cleaning(highpass=None, reference=False)
     before, after = step.reach()
 
     def run(block: Block):
         x, channels = step.apply(block, before, after)
+        shared = SharedCorrelation(x, template_length) if method == "fft" else None
         for spec in block.row["filters"]:
             columns, taps = _filter_arrays(spec, channels)
             left = spec["left_margin"]
-            d = correlate(x[:, columns], taps, left)
+            d = shared(columns, taps, left) if shared else correlate(x[:, columns], taps, left)
             lo, hi = block.lead, block.lead + block.n
             if edge != "zero":
                 lo = max(lo, left)
@@ -263,9 +271,9 @@ def score(
     return map_blocks(with_filters(haloed, filters), run, SCORE_SCHEMA)
 
 
-def score_trace(chunks, length, filters, template_length, cleaning=None, edge="zero") -> DataFrame:
+def score_trace(chunks, length, filters, template_length, cleaning=None, edge="zero", method="direct") -> DataFrame:
     """`score` as one row per (recording, target, sample)."""
-    return unpack_scores(score(chunks, length, filters, template_length, cleaning, edge))
+    return unpack_scores(score(chunks, length, filters, template_length, cleaning, edge, method))
 
 
 CANDIDATES = "recording_id string, target_id bigint, sample bigint, score double, flat boolean, rises boolean, falls boolean"
