@@ -142,3 +142,21 @@ def test_candidates_are_the_local_maxima_of_the_trace(spark):
     assert got == want and len(got) > 100
     high = sg.candidates(chunks, 50, filters, 7, minimum=5.0).select(*keys, "sample", "score").collect()
     assert sorted(map(tuple, high)) == [r for r in want if r[3] >= 5]
+
+
+@pytest.mark.parametrize("recordings,bank_bytes", [(2, 64 << 20), (600, 64 << 20), (40, 1500)])
+def test_filters_come_to_the_signal(spark, recordings, bank_bytes):
+    from tracewell.operators import signal as sg
+
+    chunks = spark.range(recordings).selectExpr(
+        "concat('r', id) as recording_id", "0L as chunk_id", "0L as start_sample", "2 as n_samples", "array(0) as channels",
+        "array(double(id), 1D) as values",
+    )
+    bank = spark.range(recordings - 1).selectExpr(
+        "concat('r', id) as recording_id", "id as target_id", "array(0) as channels", "array(double(id), 2D) as taps",
+        "0 as left_margin", "0D as threshold",
+    )
+    joined = sg.with_filters(chunks, bank, bank_bytes)
+    assert "ShuffleExchange" not in joined._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    got = sorted((r.recording_id, r["values"][0], r.filters[0].taps[0], len(r.filters)) for r in joined.collect())
+    assert got == sorted((f"r{k}", float(k), float(k), 1) for k in range(recordings - 1))

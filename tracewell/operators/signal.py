@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -211,16 +212,29 @@ def highpass_carried(chunks: DataFrame, length: int, fc: float, fs: float) -> Da
     return map_blocks(joined, run, CHUNK_SCHEMA)
 
 
-def with_filters(chunks: DataFrame, filters: DataFrame) -> DataFrame:
+#: bytes of filters that one broadcast may hold
+BANK_BYTES = 64 << 20
+
+
+def with_filters(chunks: DataFrame, filters: DataFrame, bank_bytes: int = BANK_BYTES) -> DataFrame:
     """Attaches to every chunk the filters of its recording as one array column.
 
     `filters`: recording_id, target_id, channels, taps (flat, time-major), left_margin,
-    threshold. A probe has a bounded number of targets, so the array is bounded too.
+    threshold. A probe has a bounded number of targets, so the array is bounded too. The signal
+    stays where it is: banks are sent to it, in as many parts as their measured bytes ask for, and
+    each part meets the chunks of its own recordings only.
     """
     more = [c for c in ("from_sample",) if c in filters.columns]
     spec = F.struct("target_id", F.col("channels").alias("chs"), "taps", "left_margin", "threshold", *more)
-    bank = filters.groupBy("recording_id").agg(F.collect_list(spec).alias("filters"))
-    return join_dimension(chunks, bank, ["recording_id"], max_rows=500, spread="chunk_id")
+    size = F.sum(8 * F.size("taps") + 4 * F.size("channels") + 64)
+    bank = cut_lineage(filters.groupBy("recording_id").agg(F.collect_list(spec).alias("filters"), size.alias("_bytes")))
+    parts = 1 + (bank.agg(F.sum("_bytes")).first()[0] or 0) // bank_bytes
+    bank = bank.drop("_bytes")
+    if parts == 1:
+        return chunks.join(F.broadcast(bank), "recording_id")
+    of = F.pmod(F.xxhash64("recording_id"), F.lit(parts))
+    joined = [chunks.where(of == k).join(F.broadcast(bank.where(of == k)), "recording_id") for k in range(parts)]
+    return reduce(DataFrame.unionByName, joined)
 
 
 def _filter_arrays(spec: dict, channels: np.ndarray):
