@@ -13,7 +13,7 @@ from tracewell.session import cut_lineage, join_dimension
 # so by default the first band holds 6 rows in 100,000.
 ACCURACY = 100_000
 # Different values of a band that are ranked in one window; wider bands are narrowed first.
-BAND, SPLIT = 50_000, 4096
+BAND, SPLIT = 100_000, 4096
 
 
 def exact_quantiles(
@@ -61,13 +61,16 @@ def exact_quantiles(
         ]
     )
     if keys:
-        asked = stats.select(*keys, F.explode(wanted).alias("_q"))
-        joined = join_dimension(values, asked, list(keys), spread=F.xxhash64("_v"))
+        staged = cut_lineage(stats.select(*keys, "_n", F.explode(wanted).alias("_q")))
+        most = staged.agg(F.max("_n")).first()[0] or 0
+        joined = join_dimension(values, staged.drop("_n"), list(keys), spread=F.xxhash64("_v"), stage=False)
     else:  # one scalar bracket per probability
+        asked = stats.select("_n", wanted.alias("w")).first()
+        most = asked["_n"]
         brackets = [
             F.struct(F.lit(q["name"]).alias("name"), F.lit(q["at"]).alias("at"),
                      F.lit(q["low"]).cast("double").alias("low"), F.lit(q["high"]).alias("high"))
-            for q in stats.select(wanted.alias("w")).first()["w"]
+            for q in asked["w"]
         ]
         joined = values.select("_v", F.explode(F.array(*brackets)).alias("_q"))
     banded = (
@@ -76,7 +79,9 @@ def exact_quantiles(
         .groupBy(*keys, F.col("_q.name").alias("_name"), F.col("_q.at").alias("_at"), "_band")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    banded = narrowed(banded, [*keys, "_name"], band)
+    # what a sketch's slack leaves in a band, or a small group whole
+    if (most if most <= accuracy else 2 * slack * most) > band:
+        banded = narrowed(banded, [*keys, "_name"], band)
     order = Window.partitionBy(*keys, "_name").orderBy(F.col("_band").asc_nulls_first())
     ranked = banded.withColumn("_upto", F.sum("_c").over(order))
     if method == "nearest":
