@@ -103,3 +103,5 @@ def test_options_choose_what_is_planned(spark, tmp_path):
     assert [(r.start_sample, r.lead, r.channels) for r in got] == [(200, 5, [2, 0]), (300, 5, [2, 0]), (400, 5, [2, 0])]
     assert got[1]["values"][10:14] == [902.0, 900.0, 905.0, 903.0]
     assert rows.rdd.getNumPartitions() == 2
+    none = register(spark).read.format("interleaved16").options(**options, recordings="x").load(str(tmp_path))
+    assert none.count() == 0

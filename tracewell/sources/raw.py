@@ -152,7 +152,9 @@ class RawReader(DataSourceReader):
             return {"data": pa.array([x.astype("<i2").tobytes()], pa.binary())}
         return {"values": pa.array([x.astype(float).ravel()], pa.list_(pa.float64()))}
 
-    def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ChunkRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty plan
+            return
         system, _ = resolve(self.path)
         layout = self.layout(partition.recording_id)
         ids = [layout.ids[c] for c in layout.columns]
@@ -342,7 +344,9 @@ class NpyReader(DataSourceReader):
             for first in range(0, n, self.per_task)
         ]
 
-    def read(self, partition: ValueRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ValueRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty plan
+            return
         system, _ = resolve(self.path)
         item = int(partition.dtype[-1])
         data = read_range(
