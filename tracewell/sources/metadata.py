@@ -12,17 +12,17 @@ def key_values(texts: DataFrame, text: str = "text") -> DataFrame:
     """(recording_id, text) -> (recording_id, key, value) from `key=value` lines.
 
     The first `=` splits, leading `~` are dropped from keys, lines without `=` are
-    ignored, and the last line of a repeated key wins.
+    ignored, and the last line of a repeated key wins. A recording has one text, so its
+    keys are found in its row: nothing is sorted or moved.
     """
-    lines = texts.select("recording_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    line = F.trim(F.regexp_replace("line", "\r", ""))
-    parts = F.split(line, "=", 2)
-    return (
-        lines.where(F.contains(line, F.lit("=")))
-        .select("recording_id", "pos", F.regexp_replace(parts[0], "^~+", "").alias("key"), parts[1].alias("value"))
-        .groupBy("recording_id", "key")
-        .agg(F.max_by("value", "pos").alias("value"))
-    )
+    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(F.regexp_replace(line, "\r", "")))
+    parts = F.transform(F.filter(lines, lambda line: F.contains(line, F.lit("="))), lambda line: F.split(line, "=", 2))
+    cells = texts.select("recording_id", F.reverse(parts).alias("cells"))
+    keys = F.transform("cells", lambda cell: F.regexp_replace(cell[0], "^~+", ""))
+    found = cells.select("recording_id", "cells", keys.alias("keys"))
+    key = F.explode(F.array_distinct("keys")).alias("key")
+    last = F.element_at("cells", F.array_position(F.col("keys"), F.col("key")).cast("int"))
+    return found.select("recording_id", "cells", "keys", key).select("recording_id", "key", last[1].alias("value"))
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +35,12 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wide(kv: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """One row per recording with the named keys; `fields` maps key -> output column."""
-    return kv.groupBy("recording_id").agg(
+    """One row per recording with the named keys; `fields` maps key -> output column.
+
+    Rows go to their recording's partition before they are sorted for it, not after, so that a task
+    sorts a partition and never a whole split.
+    """
+    return kv.repartition("recording_id").groupBy("recording_id").agg(
         *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(c) for k, c in fields.items()]
     )
 
