@@ -28,10 +28,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays, the one with the smallest id.
 
-    Similar: five-word shingles, similarity of 0.8 or more.
+    Similar: SimHash fingerprints of three-word shingles within 2 bits, or, as those miss most edited
+    copies, five-word shingles with a similarity of 0.8 or more.
     """
     small_batches(spark)
-    return simhash.one_of_similar(docs, size=5, similarity=0.8)
+    return simhash.one_of_similar(docs, size=5, similarity=0.8, fp_size=3, radius=2)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

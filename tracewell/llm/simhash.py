@@ -369,6 +369,22 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "form long, shingles array<long>")
 
 
+def fingerprint_links(chosen: DataFrame, kinds: DataFrame, size: int, radius: int) -> DataFrame:
+    """Links (a, b) of forms whose fingerprints are equal or within the radius.
+
+    A form has the fingerprint of its first row; forms of one fingerprint hang on the least of them.
+    """
+    first = kinds.select("form", "first.doc_id", "first.mark")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.mark") == F.col("r.mark"))
+    marked = fingerprints(chosen, size=size).alias("l").join(first.alias("r"), same).select("r.form", "l.fp").distinct()
+    marked = cut_lineage(marked)
+    least = cut_lineage(marked.groupBy("fp").agg(F.min("form").alias("least")))
+    copies = marked.join(least, "fp").where("form != least").select(F.col("least").alias("a"), F.col("form").alias("b"))
+    near = links(least.select("fp"), radius)
+    near = near.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b")
+    return copies.union(near.select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def one_of_similar(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -376,11 +392,14 @@ def one_of_similar(
     size: int = 5,
     similarity: float = 0.8,
     bucket: int = BUCKET,
+    fp_size: int = 3,
+    radius: int | None = None,
 ) -> DataFrame:
     """One row of each group of similar texts, its smallest id, with all columns of `docs`.
 
     Links join all texts whose sets of shingles have a Jaccard similarity of at least
-    `similarity`, on the whole sets; groups are the components of links.
+    `similarity`, on the whole sets; groups are the components of links. With `radius`, fingerprints
+    within so many bits of each other are links too, as in `near_duplicates`.
     """
     chosen = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), mark_of(text_col).alias("mark"), F.col(text_col).alias("text")
@@ -392,6 +411,8 @@ def one_of_similar(
         )
     )
     edges = similar_pairs(kinds, chosen, size, similarity, bucket)
+    if radius is not None:
+        edges = edges.union(fingerprint_links(chosen, kinds, fp_size, radius)).distinct()
     found = components(edges)
     named = kinds.join(found, F.col("form") == F.col("node"), "left").select(F.coalesce("root", "form").alias("root"), "first")
     return _only(docs, named.groupBy("root").agg(F.min("first").alias("least")), id_col, text_col)
