@@ -2,10 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from tracewell.llm import phrases
 from tracewell.llm.phrases import collocations
 
 COLUMNS = "lang", "rank", "phrase", "a", "l", "r", "n", "score"
@@ -66,3 +69,32 @@ def test_sparse_tiles_reach_beyond_the_dense_one(spark):
 
 def test_empty_table(spark):
     assert collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+def test_a_batch_of_tile_rows_is_small():
+    # a batch has up to 1,000 rows (small_batches); both ends hold it whole
+    codes = np.arange(100_000)
+    rows = list(phrases._blocks(0, 0, codes, codes))
+    assert max(len(c) + len(n) for _, _, c, n in rows) * 1000 <= 16 << 20
+    assert b"".join(c for _, _, c, _ in rows) == codes.tobytes()
+
+
+def test_a_full_stripe_is_merged_in_little_memory():
+    rng = np.random.default_rng(5)
+    merged, total = phrases.Merged(), Counter()
+    for _ in range(20):
+        codes, counts = rng.integers(0, 300, 50), rng.integers(1, 9, 50)
+        merged.add(codes, counts)
+        for c, n in zip(codes.tolist(), counts.tolist()):
+            total[c] += n
+    assert dict(zip(merged.codes.tolist(), merged.counts.tolist())) == total
+    assert (np.diff(merged.codes) > 0).all()
+
+    full = phrases.Merged()
+    full.codes, full.counts = 2 * np.arange(phrases.STRIPE), np.ones(phrases.STRIPE, np.int64)
+    codes = rng.integers(0, 2 * phrases.STRIPE, phrases.STRIPE // 8)
+    tracemalloc.start()
+    full.add(codes, np.ones(len(codes), np.int64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20

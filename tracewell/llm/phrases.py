@@ -22,6 +22,7 @@ count and phrase; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,11 @@ DENSE = 1024
 IDS, PAIR_IDS, SIDE = 1 << 20, 1 << 22, 16
 #: words after which a task's sparse counts are written out
 CHUNK = 1 << 21
-#: different codes that one stripe of a tile should hold at most, and codes in one row
-STRIPE, BLOCK = 1 << 22, 1 << 12
+#: different codes that one stripe of a tile should hold at most, and codes in one row: 8 kB, as a
+#: batch of rows is held whole at both ends
+STRIPE, BLOCK = 1 << 21, 1 << 9
+#: rows of codes that a task hands on together
+TILE_ROWS = 512
 
 
 def language(column: str):
@@ -205,8 +209,8 @@ def _ids(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, (tile & np.int64((1 << 12) - 1)) << np.int64(SIDE) | codes & low
 
 
-def _sparse(codes: np.ndarray, stripes: int) -> list[tuple]:
-    """Sorted COO blocks of the codes, one per tile and stripe."""
+def _sparse(codes: np.ndarray, stripes: int) -> Iterator[tuple]:
+    """Sorted COO blocks of the codes, one and more per tile and stripe."""
     codes, counts = np.unique(codes, return_counts=True)
     tile = codes >> np.int64(2 * SIDE)
     stripe = (mixed(codes.view(np.uint64)) % np.uint64(stripes)).astype(np.int64)
@@ -214,11 +218,14 @@ def _sparse(codes: np.ndarray, stripes: int) -> list[tuple]:
     order = np.argsort(key, kind="stable")
     key = key[order]
     cuts = np.flatnonzero(np.diff(key)) + 1
-    out = []
     for part in np.split(order, cuts):
         if len(part):
-            out.extend(_blocks(int(tile[part[0]]), int(stripe[part[0]]), codes[part], counts[part]))
-    return out
+            yield from _blocks(int(tile[part[0]]), int(stripe[part[0]]), codes[part], counts[part])
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, TILE_ROWS)):
+        yield _tile_rows(part)
 
 
 def count_tiles(texts: DataFrame, left: Ranks, right: Ranks, triples: bool, stripes: int, chunk: int) -> DataFrame:
@@ -255,49 +262,73 @@ def count_tiles(texts: DataFrame, left: Ranks, right: Ranks, triples: bool, stri
             if far.any():
                 yield _far_rows(first[far], second[far])
             if seen >= chunk:
-                yield _tile_rows(_sparse(np.concatenate(held), stripes))
+                yield from _batches(_sparse(np.concatenate(held), stripes))
                 held, seen = [], 0
         if seen:
-            yield _tile_rows(_sparse(np.concatenate(held), stripes))
+            yield from _batches(_sparse(np.concatenate(held), stripes))
         at = np.flatnonzero(dense)
-        if len(at):
-            yield _tile_rows(list(_blocks(-1, 0, at, dense[at])))
+        yield from _batches(_blocks(-1, 0, at, dense[at]))
 
     return texts.mapInArrow(run, TILES)
 
 
+class Merged:
+    """Different codes in order, with their counts; what is added is sorted by itself and laid in."""
+
+    def __init__(self):
+        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        if not len(codes):
+            return
+        order = np.argsort(codes)
+        codes, counts = codes[order], counts[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        codes, counts = codes[first], np.add.reduceat(counts, first)
+        at = np.searchsorted(self.codes, codes)
+        known = at < len(self.codes)
+        known[known] = self.codes[at[known]] == codes[known]
+        self.counts[at[known]] += counts[known]
+        at, new = at[~known], ~known
+        self.codes, self.counts = np.insert(self.codes, at, codes[new]), np.insert(self.counts, at, counts[new])
+
+
 def frequent(tiles: DataFrame, left: Ranks, right: Ranks, least: int) -> DataFrame:
     """left, right, n of the neighbours that occur `least` times and more."""
     schema = "left long, right long, n long"
 
-    def merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        found, back = np.unique(np.concatenate(codes), return_inverse=True)
-        return found, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
-
-    def out(key, codes, counts) -> pa.RecordBatch:
-        code, n = merge(codes, counts)
-        code, n = code[n >= least], n[n >= least]
+    def out(key, merged: Merged) -> pa.RecordBatch:
+        enough = merged.counts >= least
+        code, n = merged.codes[enough], merged.counts[enough]
         a, b = (code // DENSE, code % DENSE) if key[0] < 0 else _ids(code)
         units = (pa.array(side.by_rank[ids].view(np.int64)) for side, ids in ((left, a), (right, b)))
         return pa.record_batch([*units, pa.array(n)], ["left", "right", "n"])
 
     def run(batches):
-        key, codes, counts, fresh = None, [], [], 0
+        key, merged, codes, counts, fresh = None, Merged(), [], [], 0
+
+        def lay_in():
+            nonlocal codes, counts, fresh
+            if fresh:
+                merged.add(np.concatenate(codes), np.concatenate(counts))
+            codes, counts, fresh = [], [], 0
+
         for batch in batches:
             for tile, stripe, c, n in zip(*(batch.column(i) for i in range(4))):
                 now = (tile.as_py(), stripe.as_py())
                 if now != key:
+                    lay_in()
                     if key is not None:
-                        yield out(key, codes, counts)
-                    key, codes, counts, fresh = now, [], [], 0
+                        yield out(key, merged)
+                    key, merged = now, Merged()
                 codes.append(np.frombuffer(c.as_py(), np.int64))
                 counts.append(np.frombuffer(n.as_py(), np.int64))
                 fresh += len(codes[-1])
-                if fresh > STRIPE // 2:
-                    merged = merge(codes, counts)
-                    codes, counts, fresh = [merged[0]], [merged[1]], 0
+                if fresh > STRIPE // 8:
+                    lay_in()
+        lay_in()
         if key is not None:
-            yield out(key, codes, counts)
+            yield out(key, merged)
 
     blocks = tiles.where("tile is not null").select("tile", "stripe", "codes", "counts")
     near = blocks.repartition("tile", "stripe").sortWithinPartitions("tile", "stripe").mapInArrow(run, schema)
