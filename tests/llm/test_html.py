@@ -86,3 +86,16 @@ def test_importance_like_direct_sums(spark):
     assert (m, own) == (40, pytest.approx(1 - same * 40 / (40 + PRIOR)))
     assert got[path[-1], "style"] == (40, pytest.approx(1 - 40 / (40 + PRIOR)))
     assert marked.where(F.col("host").isNull()).count() == 0
+
+
+def test_named_branches_are_in_the_tree(spark):
+    # the paragraph has four texts, each on 50 of 200 pages; its own importance is just above LOW, and what
+    # the wrapper holds besides is an article or a menu, whose importance is known by name
+    def page(k, part):
+        return f"<div class=w><{part}><p>t{k}</p></{part}><p>kind {k % 4}</p></div>"
+
+    rows = [(200 * h + k, f"http://h{h}/{k}", page(k, part)) for h, part in enumerate(("article", "nav")) for k in range(200)]
+    found = texts(spark, rows)
+    for k in range(200):
+        assert found[k][0] == f"t{k}\nkind {k % 4}"
+        assert found[200 + k][0] == ""

@@ -104,12 +104,12 @@ def look(tag: str, attributes: str) -> tuple[str, str]:
 
 class Node:
     """An open element: the keys from the root to its node, its state ("" nothing known, main,
-    noise) and its children's looks."""
+    noise), whether its own name gave it that state, and its children's looks."""
 
-    __slots__ = ("tag", "path", "state", "style")
+    __slots__ = ("tag", "path", "state", "named", "style")
 
-    def __init__(self, tag: str, path: tuple[int, ...], state: str):
-        self.tag, self.path, self.state = tag, path, state
+    def __init__(self, tag: str, path: tuple[int, ...], state: str, named: bool = False):
+        self.tag, self.path, self.state, self.named = tag, path, state, named
         self.style: list[str] = []
 
 
@@ -189,10 +189,11 @@ def parsed(page: str) -> Iterator[tuple]:
         if above.state == "noise":
             kind = "noise"
         above.style.append(appearance)
-        path = above.path
+        path, named = above.path, False
         if len(path) < DEEP:
             path = *path, hashed(f"{path[-1] if path else 0} {appearance}")
-        open_nodes.append(Node(tag, path, kind or above.state))
+            named = bool(kind) and not above.state
+        open_nodes.append(Node(tag, path, kind or above.state, named))
         opened[tag] += 1
         if tag in VOID:
             yield closed()
@@ -224,16 +225,20 @@ def content(key: int) -> int:
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """What each page adds to its host's tree, for nodes with nothing known about them.
+    """What each page adds to its host's tree.
 
-    kind "style": a node and its children; "text": a content node and one of its texts. `shows`
-    is 1 once per page and node. Inside named parts nothing is gathered: names decide there.
+    kind "style": a node and its children; "text": a content node and one of its texts; "noise" and
+    "main": the top node of a branch with that name, whose importance is known and goes up the tree
+    like any other. `shows` is 1 once per page and node. Below such a node nothing is gathered.
     """
 
     def of_page(page: str) -> Iterator[tuple]:
         styles: dict[tuple, list[str]] = {}
         texts: dict[tuple, dict[int, None]] = {}
+        named: dict[tuple[tuple, str], None] = {}
         for kind, node, *text in parsed(page):
+            if node.named and kind == "node":
+                named[node.path, node.state] = None
             if node.state or not node.path:
                 continue
             if kind == "text":
@@ -242,6 +247,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
                 styles.setdefault(node.path, []).extend(node.style)
         for path, style in styles.items():
             yield path[-1], path[-2] if len(path) > 1 else 0, len(path), "style", hashed("\n".join(style)), 1
+        for path, state in named:
+            yield path[-1], path[-2] if len(path) > 1 else 0, len(path), state, 0, 1
         for path, found in texts.items():
             for k, value in enumerate(found):
                 yield content(path[-1]), path[-1], len(path) + 1, "text", value, int(k == 0)
@@ -266,7 +273,10 @@ def _facts(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def own_importance(facts: DataFrame) -> DataFrame:
-    """host, node, parent, depth, kind, m (pages), kinds (styles or texts), own importance."""
+    """host, node, parent, depth, kind, m (pages), kinds (styles or texts), own importance.
+
+    A named branch has the importance of its name.
+    """
     by = ["host", "node", "parent", "depth", "kind"]
     values = facts.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"), F.sum("shows").alias("shows"))
     nodes = values.groupBy(*by).agg(
@@ -275,7 +285,8 @@ def own_importance(facts: DataFrame) -> DataFrame:
     )
     same = F.when(F.col("m") > 1, F.col("mean_log_n") / F.log("m")).otherwise(0.0)
     own = 1 - same * F.col("m") / (F.col("m") + PRIOR)
-    return nodes.select(*by, "m", "kinds", own.alias("own"))
+    by_name = F.when(F.col("kind") == "noise", 0.0).when(F.col("kind") == "main", 1.0)
+    return nodes.select(*by, "m", "kinds", F.coalesce(by_name, own).alias("own"))
 
 
 def low_nodes(own: DataFrame, gamma: float, low: float) -> DataFrame:
@@ -290,12 +301,14 @@ def low_nodes(own: DataFrame, gamma: float, low: float) -> DataFrame:
         )
         weight = F.pow(F.lit(gamma), F.col("kinds"))
         mixed = (1 - weight) * F.col("own") + weight * F.col("children")
-        importance = F.when(F.col("children").isNull(), F.col("own")).otherwise(mixed)
+        element = F.col("kind") == "style"
+        importance = F.when(element & F.col("children").isNotNull(), mixed).otherwise(F.col("own"))
         # the best content below; an element without any has none
-        best = F.when(F.col("kind") == "text", F.col("own")).otherwise(F.coalesce("best", F.lit(0.0)))
+        best = F.when(element, F.coalesce("best", F.lit(0.0))).otherwise(F.col("own"))
         joined = level.join(children, ["host", "node"], "left")
-        below = cut_lineage(joined.select("host", "node", "parent", "m", importance.alias("importance"), best.alias("best")))
-        gone = (F.col("importance") < low) & (F.col("best") < 2 * low)
+        below = cut_lineage(joined.select("host", "node", "parent", "kind", "m", importance.alias("importance"), best.alias("best")))
+        # an element that only looks like a named one (its name is a role) is judged by its own pages
+        gone = (F.col("importance") < low) & (F.col("best") < 2 * low) & F.col("kind").isin("style", "text")
         found = found.unionByName(below.where(gone).select("host", "node"))
     return found
 
