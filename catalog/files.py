@@ -10,7 +10,7 @@ from catalog.signals import PAIR, bank, packed
 from catalog.views import CHANNELS, EV, KEYS, MULTI, OTHERS, SPAN, events, others, read, signal
 from catalog.detection import CURVE_COLUMNS, GRID, NMS, RATES, SWEEP, TRUTH, curve, nms_window, rounded
 from catalog.digital import KTH, ONSETS, WORD, onsets, window_counts
-from tracewell.operators.signal import map_blocks
+from tracewell.operators.signal import blocks_of
 from tracewell.session import scratch_path
 from tracewell.sources import chunks as ch
 from tracewell.sources import filters as fl
@@ -25,18 +25,36 @@ def make_folder(folder):
     system.create_dir(inner, recursive=True)
 
 
+#: chunks of a recording that one part may hold
+PART_CHUNKS = 64
+
+
 def write_raw(chunks, folder):
-    """Chunk rows as raw int16 parts `<recording>/part-<start>.bin`, written by the tasks."""
+    """Chunk rows as raw int16 parts `<recording>/part-<start>.bin`, written by the tasks.
+
+    Chunks that follow each other are one part, up to PART_CHUNKS of them; a missing one begins a new part.
+    """
+    stretch = F.floor(F.col("chunk_id") / PART_CHUNKS)
+    dealt = chunks.repartition("recording_id", stretch).sortWithinPartitions("recording_id", "start_sample")
 
-    def write(block):
+    def write(batches):
         system, inner = resolve(folder)
-        system.create_dir(f"{inner}/{block.recording_id}", recursive=True)
-        path = f"{inner}/{block.recording_id}/part-{block.start}.bin"
-        with system.open_output_stream(path) as out:
-            out.write(block.x.astype("<i2").tobytes())
-        yield (block.recording_id, block.n)
+        out, follows = None, None
+        try:
+            for block in (block for batch in batches for block in blocks_of(batch)):
+                if (block.recording_id, block.chunk_id // PART_CHUNKS, block.start) != follows:
+                    if out is not None:
+                        out.close()
+                    system.create_dir(f"{inner}/{block.recording_id}", recursive=True)
+                    out = system.open_output_stream(f"{inner}/{block.recording_id}/part-{block.start}.bin")
+                out.write(block.x.astype("<i2").tobytes())
+                follows = block.recording_id, block.chunk_id // PART_CHUNKS, block.start + block.n
+        finally:
+            if out is not None:
+                out.close()
+        yield from ()
 
-    map_blocks(chunks, write, "recording_id string, n int").count()
+    dealt.mapInArrow(write, "done int").count()
 
 
 def write_npy(values, path):

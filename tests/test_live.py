@@ -234,3 +234,29 @@ def test_held_chunks_go_on_when_nothing_comes(spark, tmp_path):
     assert got == want
 
 
+
+
+def test_many_short_recordings_are_few_tasks(tmp_path):
+    folder = str(tmp_path / "raw")
+    x = np.arange(24).reshape(-1, 2)
+    for k in range(200):
+        write_parts(folder, f"r{k:03}", x + k, [(0, 5), (5, 12)])
+    reader = RawStreamReader({"path": folder, "n_channels": "2", "fetch_samples": "4"})
+    parts = reader.partitions(start := reader.initialOffset(), reader.latestOffset())
+    assert len(parts) <= 10
+    got = [(b["recording_id"][0].as_py(), b["start_sample"][0].as_py(), b["values"][0].as_py()) for p in parts for b in reader.read(p)]
+    want = [(f"r{k:03}", a, (x + k)[a:b].ravel().tolist()) for k in range(200) for a, b in ((0, 4), (4, 5), (5, 9), (9, 12))]
+    assert sorted(got) == want and start == {}
+
+
+def test_consecutive_chunks_are_one_raw_part(spark, tmp_path):
+    from catalog.files import write_raw
+
+    folder = str(tmp_path / "raw")
+    rows = [("a", k, 10 * k, 10, [0], [float(v) for v in range(10 * k, 10 * k + 10)]) for k in (0, 1, 2, 5, 6, 64, 65)]
+    schema = "recording_id string, chunk_id bigint, start_sample bigint, n_samples int, channels array<int>, values array<double>"
+    write_raw(spark.createDataFrame(rows, schema).repartition(4), folder)
+    read = {name: np.fromfile(f"{folder}/a/{name}", "<i2").tolist() for name in os.listdir(f"{folder}/a")}
+    assert read == {
+        "part-0.bin": [*range(30)], "part-50.bin": [*range(50, 70)], "part-640.bin": [*range(640, 660)],
+    }

@@ -203,15 +203,28 @@ def layouts(table: DataFrame) -> str:
 
 
 @dataclass
-class Fetch(InputPartition):
+class Fetch:
+    """Samples [first, end) of a recording and the files that hold them."""
+
     recording_id: str
     first: int
     end: int
     pieces: list
 
-    def __init__(self, recording_id, first, end, pieces):
+
+@dataclass
+class Fetches(InputPartition):
+    """What one task reads: a long stretch of one recording, or short ones of many."""
+
+    fetches: list
+
+    def __init__(self, fetches):
         super().__init__(None)
-        self.recording_id, self.first, self.end, self.pieces = recording_id, first, end, pieces
+        self.fetches = fetches
+
+
+#: a task takes further stretches up to so many bytes and files, so that many short recordings are few tasks
+TASK_BYTES, TASK_FILES = 8 << 20, 64
 
 
 class RawStreamReader(DataSourceStreamReader):
@@ -258,27 +271,44 @@ class RawStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.at = dict(end) if self.at is None else self.at
-        plan = []
+        plan: list[InputPartition] = []
+        held: list[Fetch] = []
+        held_bytes = held_files = 0
         for name, pieces in self.raw.recordings().items():  # an error here fails the batch, which runs again
             low, high = start.get(name, pieces[0].start), end.get(name, 0)
             step = self.fetch * self.raw.per_task
+            row = 2 * self.raw.layout(name).width
+            starts, ends = [p.start for p in pieces], [p.start + p.n for p in pieces]
             for first in range(max(low, pieces[0].start), high, step):
                 last = min(high, first + step)
-                near = [p for p in pieces if p.start < last and p.start + p.n > first]
-                if near:
-                    plan.append(Fetch(name, first, last, near))
+                # parts are in order and do not overlap
+                near = pieces[bisect_right(ends, first) : bisect_left(starts, last)]
+                if not near:
+                    continue
+                size = (last - first) * row
+                if held and (held_bytes + size > TASK_BYTES or held_files + len(near) > TASK_FILES):
+                    plan.append(Fetches(held))
+                    held, held_bytes, held_files = [], 0, 0
+                held.append(Fetch(name, first, last, near))
+                held_bytes, held_files = held_bytes + size, held_files + len(near)
+        if held:
+            plan.append(Fetches(held))
         return plan
 
-    def read(self, partition: Fetch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Fetches) -> Iterator[pa.RecordBatch]:
         system, _ = resolve(self.raw.path)
-        layout = self.raw.layout(partition.recording_id)
+        for wanted in partition.fetches:
+            yield from self.fetched(system, wanted)
+
+    def fetched(self, system, wanted: Fetch) -> Iterator[pa.RecordBatch]:
+        layout = self.raw.layout(wanted.recording_id)
         ids = [layout.ids[c] for c in layout.columns]
-        for p in partition.pieces:
-            low, high = max(partition.first, p.start), min(partition.end, p.start + p.n)
+        for p in wanted.pieces:
+            low, high = max(wanted.first, p.start), min(wanted.end, p.start + p.n)
             for at in range(low, high, self.fetch):
                 x = self.raw.stretch(system, [p], at, min(high, at + self.fetch), layout)
                 yield pa.RecordBatch.from_pydict({
-                    "recording_id": [partition.recording_id],
+                    "recording_id": [wanted.recording_id],
                     "chunk_id": [at // self.raw.length],
                     "start_sample": [at],
                     "n_samples": pa.array([len(x)], pa.int32()),
