@@ -3,6 +3,7 @@ several block widths: the result must not depend on how a recording is cut."""
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,13 @@ def test_wide_bands_are_narrowed_in_rounds(spark, band):
         values = np.array([v for g, v in rows if g == r.g])
         want = [np.quantile(values, p) for p in asked.values()]
         assert [r.low, r.mid, r.high] == pytest.approx(want, rel=1e-12)
+
+
+def test_blocks_are_settled_together():
+    # many small blocks are one call, with few rows a batch; a block is never cut
+    keys, block = ["a"] * 5 + [None] * 4 + ["b"] * 40_000, [0, 0, 1, 1, 1, 0, 0, 0, 2] + [k // 10 for k in range(40_000)]
+    table = pa.table({"k": pa.array(keys), "b": pa.array(block)})
+    parts = list(peaks.whole_blocks(iter(table.to_batches(max_chunksize=7)), ["k", "b"]))
+    assert pa.concat_tables(parts).equals(table) and 2 <= len(parts) <= 3
+    assert all(parts[i].slice(parts[i].num_rows - 1).to_pylist() != parts[i + 1].slice(0, 1).to_pylist() for i in range(len(parts) - 1))
+    assert list(np.flatnonzero(peaks.block_changes(table.slice(0, 12), ["k", "b"])) + 1) == [2, 5, 8, 9]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,8 +127,8 @@ def run_peaks(
     )
 
 
-def settle(at: np.ndarray, score: np.ndarray, low: float, high: float, distance: int):
-    """Decide the peaks of one block that do not depend on anything outside [low, high).
+def settle(at: np.ndarray, score: np.ndarray, low: np.ndarray | float, high: np.ndarray | float, distance: int):
+    """Decide the peaks of blocks that do not depend on anything outside [low, high) of their block.
 
     Highest first, later index first among equals: a peak is kept, and removes its
     neighbours closer than `distance`, when it sees its whole neighbourhood and no higher
@@ -149,6 +150,40 @@ def settle(at: np.ndarray, score: np.ndarray, low: float, high: float, distance:
     return state
 
 
+def block_changes(rows: pa.Table, by: Sequence[str]) -> np.ndarray:
+    """Whether each row but the first begins another block than the row before; nulls are equal."""
+    n = rows.num_rows
+    out = np.zeros(max(n - 1, 0), bool)
+    for name in by:
+        now, before = rows[name].slice(1), rows[name].slice(0, max(n - 1, 0))
+        out |= pc.fill_null(pc.not_equal(now, before), False).to_numpy()
+        out |= pc.is_null(now).to_numpy() != pc.is_null(before).to_numpy()
+    return out
+
+
+#: rows that are settled together, in whole blocks
+TOGETHER = 16_384
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch], by: Sequence[str]) -> Iterator[pa.Table]:
+    """Rows sorted by block in stretches of whole blocks: at most one block is held besides."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seen = pa.Table.from_batches([*(b.slice(b.num_rows - 1) for b in held[-1:]), batch])
+        ends = np.flatnonzero(block_changes(seen, by)) + 1 - (seen.num_rows - batch.num_rows)
+        if len(ends) and rows + ends[-1] >= TOGETHER:
+            cut = int(ends[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def priority_peaks(
     peaks: DataFrame,
     keys: Sequence[str],
@@ -172,23 +207,27 @@ def priority_peaks(
     columns = [*keys, sample, score]
     schema = peaks.select(*columns).schema.simpleString()[7:-1] + ",_state int"
 
-    def decide(block_rows: pd.DataFrame) -> pd.DataFrame:
-        rows = block_rows.sort_values(sample)
-        start = int(rows[BLK].iloc[0]) * block
-        rows["_state"] = settle(
-            rows[sample].to_numpy(),
-            rows[score].to_numpy(),
-            start - reach,
-            start + block + reach,
-            distance,
-        )
-        return rows.loc[rows[CORE], [*columns, "_state"]]
+    def decide(rows: pa.Table) -> pa.RecordBatch:
+        """The core rows of whole blocks with their states; blocks stand apart on one axis."""
+        at = rows[sample].to_numpy().astype(np.int64)
+        number = np.cumsum(np.concatenate([[0], block_changes(rows, [*keys, BLK])]))
+        start = rows[BLK].to_numpy() * block
+        moved = number * (block + 2 * reach + distance) - start
+        low = start - reach + moved
+        state = settle(at + moved, rows[score].to_numpy(), low, low + block + 2 * reach, distance)
+        core = rows.append_column("_state", pa.array(state, pa.int32())).filter(rows[CORE])
+        return core.select([*columns, "_state"]).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_blocks(batches, [*keys, BLK]):
+            yield from decide(rows).to_batches()
 
     accepted = None
     waiting = peaks.select(*columns)
     while True:
         spread = with_halo(waiting, sample, reach, reach, block)
-        decided = cut_lineage(spread.groupBy(*keys, BLK).applyInPandas(decide, schema))
+        dealt = spread.repartition(*keys, BLK).sortWithinPartitions(*keys, BLK, sample)
+        decided = cut_lineage(dealt.mapInArrow(run, schema))
         kept = decided.where("_state = 1").drop("_state")
         accepted = kept if accepted is None else accepted.unionByName(kept)
         undecided = decided.where("_state = -1").drop("_state")
