@@ -202,17 +202,18 @@ def training_diagnostics(spark, sf):
 @query("learned_threshold")
 def learned_threshold(spark, sf):
     """Train with hard-negative mining, export as a filter, threshold from its own trace."""
-    cut = snippets(spark, sf)
+    chunks, spikes = packed(spark, sf), cut_lineage(units(spark, sf))
+    cut = cut_lineage(tp.snippets(chunks, CHUNK, spikes, T, OFF))
     pos, neg = cut.where("unit_id < 10"), cut.where("unit_id >= 10")
     model = learned.train_with_mining(pos, neg, neg, rounds=2, per_unit=50, reg=0.01, max_iter=20)
     weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
-    bank = packed(spark, sf).select("recording_id").distinct().select(
+    bank = chunks.select("recording_id").distinct().select(
         "recording_id", F.lit(0).cast("bigint").alias("target_id"),
         F.sequence(F.lit(0), F.lit(CHANNELS - 1)).alias("channels"),
         learned.taps_from_weights(weights, CHANNELS, T).alias("taps"),
         F.lit(OFF).alias("left_margin"), F.lit(0.0).alias("threshold"),
     )
-    trace = signal.score_trace(packed(spark, sf), CHUNK, bank, T, edge="open")
+    trace = signal.score_trace(chunks, CHUNK, bank, T, edge="open")
     trace = trace.withColumn("score", F.col("score") + F.lit(float(model.intercept)))
-    out = sweep.robust_threshold(trace, ["recording_id", "target_id"], units(spark, sf), T, OFF, spike_keys=KEYS)
+    out = sweep.robust_threshold(trace, ["recording_id", "target_id"], spikes, T, OFF, spike_keys=KEYS)
     return out.select("recording_id", "target_id", F.round("threshold", 4).alias("threshold"))

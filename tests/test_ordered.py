@@ -300,3 +300,17 @@ def test_blocks_are_settled_together():
     assert pa.concat_tables(parts).equals(table) and 2 <= len(parts) <= 3
     assert all(parts[i].slice(parts[i].num_rows - 1).to_pylist() != parts[i + 1].slice(0, 1).to_pylist() for i in range(len(parts) - 1))
     assert list(np.flatnonzero(peaks.block_changes(table.slice(0, 12), ["k", "b"])) + 1) == [2, 5, 8, 9]
+
+
+def test_scores_are_made_once_for_a_robust_threshold(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    trace = series(spark, range(500)).mapInArrow(counted, "recording_id string, sample bigint, score double")
+    spikes = spark.createDataFrame([("a", 100), ("a", 250)], "recording_id string, spike_time bigint")
+    assert sweep.robust_threshold(trace, K, spikes, 5, 2).count() == 1
+    assert made.value == 500

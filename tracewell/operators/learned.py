@@ -334,6 +334,6 @@ def train_with_mining(
         extra = cut_lineage(mined.select("values", F.lit(0.0).alias("label")))
         if extra.isEmpty():
             break
-        examples = cut_lineage(examples.unionByName(extra))
+        examples = examples.unionByName(extra)  # both are staged
         model = fit_linear(weighted(examples), reg, max_iter // 2)
     return model

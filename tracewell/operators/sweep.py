@@ -217,7 +217,8 @@ def robust_threshold(
     keys = list(keys)
     before = template_length + template_offset - 1
     after = template_offset + template_length // 2
-    masked = mark_near(scores, spikes, list(spike_keys or keys), sample, spike_time, before, after, "_busy")
+    # staged: the scores are made once for the passes below
+    masked = cut_lineage(mark_near(scores, spikes, list(spike_keys or keys), sample, spike_time, before, after, "_busy"))
     free = masked.groupBy(*keys).agg(F.count_if(~F.col("_busy")).alias("_free"))
     # Only keys that have no free sample at all fall back to everything.
     used = join_dimension(masked, free, keys, spread=sample).where(~F.col("_busy") | (F.col("_free") == 0))
