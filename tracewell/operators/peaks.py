@@ -207,7 +207,7 @@ def priority_peaks(
     columns = [*keys, sample, score]
     schema = peaks.select(*columns).schema.simpleString()[7:-1] + ",_state int"
 
-    def decide(rows: pa.Table) -> pa.RecordBatch:
+    def decide(rows: pa.Table) -> pa.Table:
         """The core rows of whole blocks with their states; blocks stand apart on one axis."""
         at = rows[sample].to_numpy().astype(np.int64)
         number = np.cumsum(np.concatenate([[0], block_changes(rows, [*keys, BLK])]))
