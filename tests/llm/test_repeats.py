@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tracewell.llm.repeats import remove_repeats, without_passages
+from tracewell.llm.repeats import Windows, first_digits, marked, remove_repeats, without_passages
 
 
 def direct(texts, window):
@@ -105,3 +105,15 @@ def test_passages_leave_other_columns_alone(spark):
             assert (r.text, r.n_chars) == (want[r.doc_id], len(want[r.doc_id]))
         assert (r.kept, r.mark, r["_kept"]) == ("a", 1, 2)
     assert without_passages(docs.limit(0)).count() == 0
+
+
+def test_a_text_with_a_period_is_few_rows(spark):
+    texts = ["in on " * 200, "x " + "in on " * 150, "in on " * 26 + "end", "a" * 3000, "ab" * 1500 + "c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [Windows("bytes", 400, 100), Windows("words", 50, 10)]
+    # 4,426 rows when each period was one
+    assert first_digits(marked(docs, "doc_id", "text"), kinds).count() <= 20
+    rows = remove_repeats(docs, words=50).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == dict(enumerate(direct(texts, 400)))
+    want = {k: (n, hashlib.sha256(kept).hexdigest()) for k, (n, kept) in enumerate(by_words(texts, 50))}
+    assert {r.doc_id: (r.word_bytes_removed, r.word_kept_sha256) for r in rows} == want

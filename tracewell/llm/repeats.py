@@ -7,7 +7,7 @@ more than one member. The digits of a window, most significant first:
 1. its key: the `digit` symbols within it whose hash is least (the leftmost on ties), found for all
    windows of a text at once by a sliding minimum. Neighbouring windows share their key, so a
    stretch of windows, not each window, is one row. Keys seen once end here: their windows cannot
-   be repeated.
+   be repeated. Where a text has a period, neighbouring stretches are equal; such a run is one row.
 2. its stretch: all symbols of the windows that share the key. Equal stretches are runs of
    repeated windows, however many copies there are; one of each is kept to compare others with.
 3. for keys with different stretches only: blocks of neighbouring windows. Windows of a block
@@ -156,8 +156,11 @@ def cuts(offs: np.ndarray, window: int, limit: int = PIECE_BYTES):
 
 
 def first_digits(docs: DataFrame, kinds: Sequence[Windows]) -> DataFrame:
-    """kind, key, stretch, doc_id, mark, lo, hi, at: a row for each run of windows with one key."""
-    schema = "kind int, key long, stretch long, doc_id long, mark int, lo int, hi int, at int"
+    """kind, key, stretch, doc_id, mark, lo, hi, at, until: a row for each run of windows with one key.
+
+    Equal runs that follow each other are one row: the first is lo to hi, the last ends at `until`.
+    """
+    schema = "kind int, key long, stretch long, doc_id long, mark int, lo int, hi int, at int, until int"
 
     def run(batches):
         for batch in batches:
@@ -174,29 +177,42 @@ def first_digits(docs: DataFrame, kinds: Sequence[Windows]) -> DataFrame:
             if not len(lo):
                 continue
             raw, whole, width = part.tobytes(), xxhash.xxh3_64_intdigest, part.itemsize
-            same = [whole(raw[x:y]) for x, y in zip((lo * width).tolist(), ((hi + window) * width).tolist())]
+            spans = zip((lo * width).tolist(), ((hi + window) * width).tolist())
+            same = np.array([whole(raw[x:y]) for x, y in spans], np.uint64)
             of = row + np.searchsorted(inner, lo, side="right") - 1
+            new = np.ones(len(lo), bool)
+            for x in (of, key, same, hi - lo):
+                new[1:] &= x[1:] == x[:-1]
+            new[1:] = ~new[1:]
+            first = np.flatnonzero(new)
+            until = hi[np.append(first[1:], len(lo)) - 1]
+            lo, hi, at, key, same, of = (x[first] for x in (lo, hi, at, key, same, of))
             base = offs[of] - a
             owner = pa.array(base_row + of)
             yield pa.record_batch(
                 [
                     pa.array(np.full(len(lo), k, np.int32)),
                     pa.array(key.view(np.int64)),
-                    pa.array(np.array(same, np.uint64).view(np.int64)),
+                    pa.array(same.view(np.int64)),
                     batch.column(0).take(owner),
                     batch.column(1).take(owner),
-                    *(pa.array((x - base).astype(np.int32)) for x in (lo, hi, at)),
+                    *(pa.array((x - base).astype(np.int32)) for x in (lo, hi, at, until)),
                 ],
-                ["kind", "key", "stretch", "doc_id", "mark", "lo", "hi", "at"],
+                ["kind", "key", "stretch", "doc_id", "mark", "lo", "hi", "at", "until"],
             )
 
     return docs.mapInArrow(run, schema)
 
 
+def members(rows: DataFrame) -> Column:
+    """How many rows these are, where equal neighbours count one by one."""
+    return F.sum(F.expr("(until - lo + 1) div (hi - lo + 1)")) if "until" in rows.columns else F.count(F.lit(1))
+
+
 def several(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Groups of two rows and more. They are staged: a join with them then reads both sides from
+    """Groups of two members and more. They are staged: a join with them then reads both sides from
     shuffles, so a hot group's partition can be split."""
-    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    found = rows.groupBy(*by).agg(members(rows).alias("n")).where(F.col("n") > 1)
     return cut_lineage(found.select(*by))
 
 
@@ -220,13 +236,14 @@ def refined(alive: DataFrame, group: list[str], kind: str) -> tuple[DataFrame, D
     """
     kinds = cut_lineage(
         alive.groupBy(*group, kind).agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "lo", "hi", "at")).alias("one")
+            members(alive).alias("n"), F.min(F.struct(*ROW, "lo", "hi", "at")).alias("one")
         )
     )
+    last = F.col("until" if "until" in alive.columns else "hi").alias("hi")
     equal = alive.join(kinds.where("n > 1").select(*group, kind), [*group, kind], "left_semi")
     mixed = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
     undecided = cut_lineage(mixed.where("kinds > 1 and least = 1").select(*group))
-    return equal.select("kind", *ROW, "lo", "hi"), kinds.join(undecided, group, "left_semi").select("kind", "key", "one.*")
+    return equal.select("kind", *ROW, "lo", last), kinds.join(undecided, group, "left_semi").select("kind", "key", "one.*")
 
 
 def digests(docs: DataFrame, ranges: DataFrame, step: int, kinds: Sequence[Windows]) -> DataFrame:
