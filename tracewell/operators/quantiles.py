@@ -63,7 +63,7 @@ def exact_quantiles(
     if keys:
         staged = cut_lineage(stats.select(*keys, "_n", F.explode(wanted).alias("_q")))
         most = staged.agg(F.max("_n")).first()[0] or 0
-        joined = join_dimension(values, staged.drop("_n"), list(keys), spread=F.xxhash64("_v"), stage=False)
+        joined = join_dimension(values, staged.drop("_n"), list(keys), spread=F.xxhash64("_v"), stage=False, largest=most)
     else:  # one scalar bracket per probability
         asked = stats.select("_n", wanted.alias("w")).first()
         most = asked["_n"]
@@ -127,14 +127,14 @@ def narrowed(banded: DataFrame, by: list[str], band: int) -> DataFrame:
         # numbers of steps grow with the value, also where rounding makes them uneven
         place = F.floor((F.col("_band") - F.col("_least")) / (F.col("_most") - F.col("_least")) * SPLIT)
         step = F.when(F.col("_n") > band, F.coalesce(place, F.lit(-1))).otherwise(F.lit(0)).cast("int")
-        placed = join_dimension(banded, sizes, by, spread=F.xxhash64("_band")).withColumn("_step", step)
+        placed = join_dimension(banded, sizes, by, spread=F.xxhash64("_band"), largest=widest).withColumn("_step", step)
         counted = placed.groupBy(*by, "_at", "_step").agg(F.sum("_c").alias("_in"))
         upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_step"))
         wanted = cut_lineage(counted.withColumn("_upto", upto).groupBy(*by).agg(
             F.min(F.when(F.col("_upto") > F.floor("_at"), F.col("_step"))).alias("_from"),
             F.min(F.when(F.col("_upto") > F.ceil("_at"), F.col("_step"))).alias("_to"),
         ))
-        kept = join_dimension(placed, wanted, by, spread=F.xxhash64("_band"), stage=False)
+        kept = join_dimension(placed, wanted, by, spread=F.xxhash64("_band"), stage=False, largest=widest)
         inside = F.col("_step") <= F.coalesce("_to", F.lit(SPLIT))
         under = F.when(F.col("_step") >= F.col("_from"), F.col("_band")).alias("_band")
         banded = kept.where(inside).groupBy(*by, "_at", under).agg(F.sum("_c").alias("_c"))

@@ -72,14 +72,19 @@ def sweep(
         ).alias("_grid")
     )
     packed = cut_lineage(packed)
+    n_truth = cut_lineage(truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_truth")))
+    most = n_truth.agg(F.max("n_truth")).first()[0] or 0
     best = best_nearby(truth.select(*keys, truth_time), peaks, keys, truth_time, sample, score, tolerance, "_best", block)
     hit_levels = (
-        join_dimension(best, packed, keys, spread=truth_time, stage=False)
+        join_dimension(best, packed, keys, spread=truth_time, stage=False, largest=most)
         .groupBy(*keys, F.coalesce(_passed(F.col("_best")), F.lit(0)).alias("_level"))
         .agg(F.count(F.lit(1)).alias("_truth"))
     )
     marked = mark_near(peaks.select(*keys, sample, score), truth, keys, sample, truth_time, tolerance, tolerance)
-    levelled = join_dimension(marked, packed, keys, spread=sample, stage=False).withColumn("_level", _passed(F.col(score)))
+    most = peaks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    levelled = join_dimension(marked, packed, keys, spread=sample, stage=False, largest=most).withColumn(
+        "_level", _passed(F.col(score))
+    )
     peak_levels = levelled.groupBy(*keys, "_level").agg(
         F.count(F.lit(1)).alias("_detections"),
         F.count_if(~F.col(NEAR)).alias("_fp"),
@@ -97,7 +102,6 @@ def sweep(
     totals = levels.groupBy(*keys, "_level").agg(
         *[F.sum(c).alias(c) for c in ("_truth", "_detections", "_fp")]
     )
-    n_truth = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_truth"))
     curve = (
         steps.join(totals, [*keys, "_level"], "left")
         .withColumn("hits", upto("_truth"))
