@@ -51,7 +51,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, long ones in chunks, with the checksum of what they decode to."""
     small_batches(spark)
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = subwords.decode(subwords.encode(docs, vocabulary), vocabulary)
+    # written before it is decoded: in one stage every task has two Python workers, which stay until the end
+    encoded = cut_lineage(subwords.encode(docs, vocabulary))
+    decoded = subwords.decode(encoded, vocabulary)
     crc = F.crc32("text").alias("decoded_crc32")
     return decoded.select("doc_id", "chunk", "n_chunks", "n_tokens", "ids", "text_crc32", crc)
 

@@ -1,13 +1,17 @@
 """The pipeline's stages against brute force on one small planted corpus."""
 
+import pathlib
 import random
+import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from test_near_duplicates import jaccard
 from test_repeats import by_words
 from test_text_operators import WORDS, prose, quality_rows
+from tracewell.llm import text
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, mark int, kept string, row string, _row_mark string, _row_id int"
 
@@ -78,3 +82,39 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_has_one_python_worker_a_task(spark, folder):
+    path, _, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    plan = corpus_pipeline.encoding(spark, docs, path)._jdf.queryExecution().executedPlan().toString()
+    # encoding and decoding chained: two workers for every task, which all wait beside later stages
+    assert plan.count("MapInArrow") == 1
+
+
+def test_workers_give_back_what_a_task_freed(monkeypatch):
+    calls = []
+    monkeypatch.setattr(text, "give_back", lambda: calls.append(1))
+
+    @text.tidy
+    def run(batches):
+        yield from batches
+
+    assert list(run(iter("abc"))) == ["a", "b", "c"] and calls == [1]
+    some = run(iter("abc"))
+    next(some)
+    some.close()  # a consumer that stops early, as a limit does
+    assert calls == [1, 1]
+
+
+def test_freed_memory_goes_back():
+    def held():
+        rollup = pathlib.Path("/proc/self/smaps_rollup").read_text()
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", rollup)[1]) / 1024
+
+    small = [np.ones(10_000) for _ in range(2000)]  # 160 MB below the size that is mapped apart
+    last = np.ones(10_000)  # keeps the heap's end
+    del small
+    before = held()
+    text.give_back()
+    assert held() < before - 100 and last.sum() == 10_000

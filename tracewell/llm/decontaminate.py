@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import ALNUM, Rolling, mixed, pieces, utf8, words
+from tracewell.llm.text import ALNUM, Rolling, mixed, pieces, tidy, utf8, words
 
 GRAM = 3
 PASSAGE, OVERLAP = 128, 32
@@ -179,6 +179,7 @@ def leaks_in(known: Passages, column: pa.Array, size: int, min_score: float):
 
 
 def find_leaks(docs: DataFrame, block, size: int, min_score: float) -> DataFrame:
+    @tidy
     def run(batches):
         for batch in batches:
             rows = list(leaks_in(block.value, batch.column(1), size, min_score))
@@ -198,6 +199,7 @@ def find_leaks(docs: DataFrame, block, size: int, min_score: float) -> DataFrame
 def drop_leaks(docs: DataFrame, block, text_col: str, size: int, min_score: float) -> DataFrame:
     place = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)

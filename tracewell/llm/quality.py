@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import SPACE, Rolling, mixed, pieces, words
+from tracewell.llm.text import SPACE, Rolling, mixed, pieces, tidy, words
 
 MAX_DOCS, MAX_CHARS = 2500, 12_000
 ROUNDS, STEPS, RIDGE = 3, 120, 1.0
@@ -314,6 +314,7 @@ def score_quality(
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # weights of a fixed number of inputs
 
+    @tidy
     def run(batches):
         for batch in batches:
             for row, end, score, count, shares in scored(sent.value, batch.column(1)):
@@ -335,6 +336,7 @@ def keep_good(docs: DataFrame, model: Field, text_col: str = "text") -> DataFram
     """The rows whose text scores one half or more, with all their columns; no shuffle."""
     sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for row, end, score, _, _ in scored(sent.value, batch.column(place)):

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import PIECE_BYTES, SPACE, Rolling, pieces, utf8, words
+from tracewell.llm.text import PIECE_BYTES, SPACE, Rolling, pieces, tidy, utf8, words
 from tracewell.session import cut_lineage
 
 WINDOW, WORDS = 400, 50
@@ -162,6 +162,7 @@ def first_digits(docs: DataFrame, kinds: Sequence[Windows]) -> DataFrame:
     """
     schema = "kind int, key long, stretch long, doc_id long, mark int, lo int, hi int, at int, until int"
 
+    @tidy
     def run(batches):
         for batch in batches:
             for k, kind in enumerate(kinds):
@@ -274,6 +275,7 @@ def digests(docs: DataFrame, ranges: DataFrame, step: int, kinds: Sequence[Windo
                     whole = digest(raw[low * width : (high + window) * width], (last - high) * step + high - low)
                     yield row, k, key, block, core, whole, low, high, at
 
+    @tidy
     def run(batches):
         for batch in batches:
             rows = hashed(batch)
@@ -369,6 +371,7 @@ def cleaned(docs: DataFrame, kinds: Sequence[Windows]) -> DataFrame:
             "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left.decode("utf-8", "ignore"),
         }
 
+    @tidy
     def run(batches):
         for batch in batches:
             found = []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.components import components
-from tracewell.llm.text import LOWER, SPACE, mixed, pieces, words
+from tracewell.llm.text import LOWER, SPACE, mixed, pieces, tidy, words
 from tracewell.session import cut_lineage
 
 SEED = 42
@@ -90,6 +90,7 @@ def fingerprints(
 ) -> DataFrame:
     """doc_id, mark (a hash of the text) and fp (64 bits as a long) of every row; one narrow pass."""
 
+    @tidy
     def hashed(batches):
         for batch in batches:
             found = [
@@ -215,6 +216,7 @@ def slot_counts(docs: DataFrame, size: int) -> np.ndarray:
     """How many shingles of all texts fall on each counter; `docs` has text."""
     step = SLOTS // SLOT_PARTS
 
+    @tidy
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
@@ -247,6 +249,7 @@ def forms(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     schema = "doc_id long, mark long, form long, n int, prefix array<long>"
     order = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, size))
 
+    @tidy
     def run(batches):
         for batch in batches:
             for row, end, data, offs in pieces(batch.column(2)):
@@ -357,6 +360,7 @@ def similar_pairs(kinds: DataFrame, chosen: DataFrame, size: int, similarity: fl
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """form and its distinct shingles, as 64-bit hashes; `docs` has form and text."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for row, end, data, offs in pieces(batch.column(1)):

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm.memory import IdMemory
-from tracewell.llm.text import pieces, remembered, strings
+from tracewell.llm.text import pieces, remembered, strings, tidy
 from tracewell.session import cut_lineage
 
 CHUNK = 16_384
@@ -248,6 +248,7 @@ CHUNKS = "row long, doc_id long, chunk int, n_chunks int, part string, size int"
 def split_long(docs: DataFrame, chunk: int, look: int, prefix: str) -> DataFrame:
     """The chunks of long texts with what a piece may reach of the next one."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for row, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -271,6 +272,7 @@ def split_long(docs: DataFrame, chunk: int, look: int, prefix: str) -> DataFrame
 
 
 def matrices(chunks: DataFrame, path: str) -> DataFrame:
+    @tidy
     def run(batches):
         words = vocabulary(path)
         for batch in batches:
@@ -356,6 +358,7 @@ def id_batch(doc, chunk, n_chunks, ids: np.ndarray, at: np.ndarray, crc: list[in
 
 
 def encode_whole(docs: DataFrame, path: str, prefix: bool) -> DataFrame:
+    @tidy
     def run(batches):
         words = vocabulary(path)
         for batch in batches:
@@ -380,6 +383,7 @@ def encode_chunks(chunks: DataFrame, states: DataFrame, path: str, prefix: bool)
         "doc_id", "chunk", "n_chunks", "part", "size", "enter", "leave"
     )
 
+    @tidy
     def run(batches):
         words = vocabulary(path)
         for batch in batches:
@@ -430,6 +434,7 @@ def decode(encoded: DataFrame, path: str, prefix: bool = True) -> DataFrame:
     schema = T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())])
     place, chunk = names.index("ids"), names.index("chunk")
 
+    @tidy
     def run(batches):
         words = vocabulary(path)
         for batch in batches:

@@ -6,8 +6,10 @@ worked on in pieces of about a megabyte, so memory is bounded by the piece or by
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
+from functools import wraps
 from types import ModuleType
 from typing import Any
 
@@ -151,6 +153,29 @@ def remainder(column: str, divisor: int):
     return F.crc32(F.col(column).cast("string")) % divisor
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system; glibc and Arrow keep a good part of it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for mapInArrow whose worker holds no freed memory when its task is over.
+
+    Workers outlive their tasks and wait with what they hold, beside those that work.
+    """
+
+    @wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def remembered(key: tuple, make: Callable[[], Any]) -> Any:
     """One object per Python worker, kept across its tasks (functions arrive anew with each)."""
     name = "tracewell_worker_objects"
