@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from tracewell.llm.queries import op10_suffix_array_dedup
 from tracewell.llm.repeats import Windows, first_digits, marked, remove_repeats, without_passages
 
 
@@ -117,3 +118,19 @@ def test_a_text_with_a_period_is_few_rows(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == dict(enumerate(direct(texts, 400)))
     want = {k: (n, hashlib.sha256(kept).hexdigest()) for k, (n, kept) in enumerate(by_words(texts, 50))}
     assert {r.doc_id: (r.word_bytes_removed, r.word_kept_sha256) for r in rows} == want
+
+
+def test_query_catches_short_passages(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n, size: " ".join("".join(rng.choices("abcdefghijklm", k=size)) for _ in range(n))
+    short, long = text(60, 4), text(60, 8)  # 299 and 539 bytes
+    texts = [f"{text(40, 5)} {p} {text(30, 5)}" for p in (short, short, long, long)] + [text(130, 5), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op10_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    # the contract's columns leave what is below 400 bytes, those of words do not
+    assert {k: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for k, r in rows.items()} == dict(enumerate(direct(texts, 400)))
+    want = [(n, hashlib.sha256(kept).hexdigest()) for n, kept in by_words(texts, 50)]
+    assert {k: (r.word_bytes_removed, r.word_kept_sha256) for k, r in rows.items()} == dict(enumerate(want))
+    assert [rows[k].n_removed > 0 for k in range(6)] == [False, False, True, True, False, False]
+    assert [rows[k].word_bytes_removed > 0 for k in range(6)] == [True] * 4 + [False] * 2

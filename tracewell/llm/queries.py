@@ -178,8 +178,8 @@ def op9_tool_call_linking(spark, sf_dir):
 
 @query("op10_suffix_array_dedup")
 def op10_suffix_array_dedup(spark, sf_dir):
-    """Bytes of repeated 400-byte windows removed from every document."""
-    return repeats.remove_repeats(documents(spark, sf_dir))
+    """Bytes of repeated 400-byte windows removed from every document, and those of repeated 50-word windows."""
+    return repeats.remove_repeats(documents(spark, sf_dir), words=repeats.WORDS)
 
 
 @query("op4_token_files")

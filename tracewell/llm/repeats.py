@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.text import PIECE_BYTES, SPACE, Rolling, pieces, tidy, utf8, words
-from tracewell.session import cut_lineage
+from tracewell.session import settled
 
 WINDOW, WORDS = 400, 50
 #: bytes of the first digit: longer ones end more windows early, shorter ones give fewer rows
@@ -214,7 +214,7 @@ def several(rows: DataFrame, by: list[str]) -> DataFrame:
     """Groups of two members and more. They are staged: a join with them then reads both sides from
     shuffles, so a hot group's partition can be split."""
     found = rows.groupBy(*by).agg(members(rows).alias("n")).where(F.col("n") > 1)
-    return cut_lineage(found.select(*by))
+    return settled(found.select(*by))
 
 
 def with_text(docs: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
@@ -226,7 +226,7 @@ def with_text(docs: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
 
 def shared_rows(rows: DataFrame, group: list[str]) -> DataFrame:
     """Rows that are not alone in their group."""
-    return cut_lineage(rows.join(several(rows, group), group, "left_semi"))
+    return settled(rows.join(several(rows, group), group, "left_semi"))
 
 
 def refined(alive: DataFrame, group: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +235,7 @@ def refined(alive: DataFrame, group: list[str], kind: str) -> tuple[DataFrame, D
     A group is undecided if it has several kinds, one of them alone. Only counts and one row
     per kind are gathered, never a group.
     """
-    kinds = cut_lineage(
+    kinds = settled(
         alive.groupBy(*group, kind).agg(
             members(alive).alias("n"), F.min(F.struct(*ROW, "lo", "hi", "at")).alias("one")
         )
@@ -243,7 +243,7 @@ def refined(alive: DataFrame, group: list[str], kind: str) -> tuple[DataFrame, D
     last = F.col("until" if "until" in alive.columns else "hi").alias("hi")
     equal = alive.join(kinds.where("n > 1").select(*group, kind), [*group, kind], "left_semi")
     mixed = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    undecided = cut_lineage(mixed.where("kinds > 1 and least = 1").select(*group))
+    undecided = settled(mixed.where("kinds > 1 and least = 1").select(*group))
     return equal.select("kind", *ROW, "lo", last), kinds.join(undecided, group, "left_semi").select("kind", "key", "one.*")
 
 
@@ -307,17 +307,17 @@ def repeated_spans(docs: DataFrame, kinds: Sequence[Windows]) -> tuple[DataFrame
 
     Texts are shuffled whole once, to keep those that share any key; later passes move these.
     """
-    firsts = cut_lineage(first_digits(docs, kinds))
+    firsts = settled(first_digits(docs, kinds))
     by_key = ["kind", "key"]
     shared = shared_rows(firsts, by_key)
     touched = shared.select(*ROW).distinct()
-    near = cut_lineage(with_text(docs, touched, "left_semi"))
+    near = settled(with_text(docs, touched, "left_semi"))
     equal, ranges = refined(shared, by_key, "stretch")
     step = min(STEP, *(k.window for k in kinds))  # windows of a block share symbols
-    blocks = cut_lineage(digests(near, ranges, step, kinds))
+    blocks = settled(digests(near, ranges, step, kinds))
     same = [*by_key, "block", "core"]
     also, ranges = refined(shared_rows(blocks, same), same, "whole")
-    windows = cut_lineage(digests(near, ranges, 1, kinds))
+    windows = settled(digests(near, ranges, 1, kinds))
     twice = windows.join(several(windows, same), same, "left_semi").select("kind", *ROW, "lo", "hi")
     window = F.element_at(F.array(*(F.lit(k.window) for k in kinds)), F.col("kind") + 1)
     return equal.union(also).union(twice).withColumn("hi", F.col("hi") + window), near
@@ -345,9 +345,10 @@ def mark_of(text_col: str) -> Column:
     return F.hash(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def cleaned(docs: DataFrame, kinds: Sequence[Windows]) -> DataFrame:
+def cleaned(docs: DataFrame, kinds: Sequence[Windows], texts: bool) -> DataFrame:
     """doc_id, mark and found of the documents that lose anything: for each kind of windows, in
-    order, n_removed (bytes), n_spans, kept_sha256 and kept; null where the kind removes nothing.
+    order, n_removed (bytes), n_spans, kept_sha256 and kept (with `texts`); null where the kind
+    removes nothing.
 
     `docs` is marked(). Bytes are removed as they are counted; where that would halve a
     character, the kept text leaves the rest of it out.
@@ -368,7 +369,7 @@ def cleaned(docs: DataFrame, kinds: Sequence[Windows]) -> DataFrame:
         left = b"".join([*rest, raw[at:]])
         return {
             "n_removed": len(raw) - len(left), "n_spans": len(gone),
-            "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left.decode("utf-8", "ignore"),
+            "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left.decode("utf-8", "ignore") if texts else None,
         }
 
     @tidy
@@ -405,7 +406,7 @@ def remove_repeats(
     if words is not None:
         kinds.append(Windows("words", words, min(words, word_digit)))
     chosen = marked(docs, id_col, text_col)
-    found = cleaned(chosen, kinds)
+    found = cleaned(chosen, kinds, texts=False)
     parts = [F.col("found")[k][f].alias(f"{f}_{k}") for k in range(len(kinds)) for f in ("n_removed", "n_spans", "kept_sha256")]
     changed = found.select(*ROW, *parts)
     facts = chosen.select(
@@ -433,7 +434,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n_chars follows the text. Null texts stay null; rows of equal id and text have equal results; names
     of other columns are free.
     """
-    found = cleaned(marked(docs, id_col, text_col), [Windows("words", words, min(words, WORD_DIGIT))])
+    found = cleaned(marked(docs, id_col, text_col), [Windows("words", words, min(words, WORD_DIGIT))], texts=True)
     changed = found.select(F.col("doc_id").alias("id"), "mark", F.col("found")[0]["kept"].alias("kept"))
     # the input's columns are one struct, so no name of theirs meets one of these
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select(
